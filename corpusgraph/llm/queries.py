@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, tokens
+from . import mixing, simhash, substring, tokens
 from .common import documents
 
 
@@ -28,9 +28,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
     "op6_simhash": op6_simhash,
+    "op4_substring": op4_substring,
 }
 ORACLES: dict[str, str] = {}
