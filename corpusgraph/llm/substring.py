@@ -52,14 +52,15 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def anchored_runs(words: np.ndarray, doc_ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one anchor value: (anchor, key of the run's words, document, start in the concatenation, windows)."""
+    """Maximal runs of windows with one anchor value: (anchor, key of the run's words, document, start in the concatenation, windows, whether the anchor stands in it more than once)."""
     n = len(words)
     k = min(ANCHOR_WORDS, window)
     empty = np.zeros(0, np.int64)
+    nothing = empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty, empty > 0
     if n < window:
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return nothing
     span = SpanHash(words)
-    least = span.of(np.arange(n - k + 1), k)
+    grams = least = span.of(np.arange(n - k + 1), k)
     wide, done = window - k + 1, 1
     while done < wide:  # minima over `done` k-grams grow to `wide`
         step = min(done, wide - done)
@@ -68,12 +69,16 @@ def anchored_runs(words: np.ndarray, doc_ends: np.ndarray, window: int) -> tuple
     doc = np.searchsorted(doc_ends, np.arange(n - window + 1), "right")
     at = np.flatnonzero(np.arange(window, n + 1) <= doc_ends[doc])
     if not len(at):
-        return empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty
+        return nothing
     value, owner = least[at], doc[at]
     first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])]))
     count = np.diff(np.concatenate([first, [len(at)]]))
     start = at[first]
-    return value[first], span.of(start, count + window - 1), owner[first], start, count
+    inside = count + window - k  # k-grams of a run
+    ends = np.cumsum(inside)
+    spot = np.arange(ends[-1]) + np.repeat(start - ends + inside, inside)
+    again = np.add.reduceat((grams[spot] == np.repeat(value[first], inside)).astype(np.int32), ends - inside) > 1
+    return value[first], span.of(start, count + window - 1), owner[first], start, count, again
 
 
 class SuffixAutomaton:
@@ -149,7 +154,7 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         held, count = [], 0
 
         def flush():
-            anchor, key, doc_id, null, h, start, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            anchor, key, doc_id, null, h, start, n, again = (np.concatenate(x) for x in zip(*held, strict=True))
             shard = (anchor >> np.uint64(40)).astype(np.int64) % shards
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -157,15 +162,15 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             for part in np.array_split(some, max(1, len(some) // 256)):
                 pick = [by[cuts[s] : cuts[s + 1]] for s in part]
                 blob = lambda x: pa.array([x[p].tobytes() for p in pick], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *map(blob, (anchor, key, doc_id, null, h, start, n))], ["shard", *PACKED])
+                yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *map(blob, (anchor, key, doc_id, null, h, start, n, again))], ["shard", *PACKED])
 
         for batch in text_slices(batches, "text"):
             _, words, ends = _split(texts(batch))
-            anchor, key, owner, start, n = anchored_runs(words, ends, window)
+            anchor, key, owner, start, n, again = anchored_runs(words, ends, window)
             ids = batch.column("doc_id")
             doc_id, null, h = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column("h").to_numpy()
             begin = ends - np.diff(np.concatenate([[0], ends])) if len(ends) else ends
-            held.append((anchor, key, doc_id[owner], null[owner], h[owner], (start - begin[owner]).astype(np.int32), n.astype(np.int32)))
+            held.append((anchor, key, doc_id[owner], null[owner], h[owner], (start - begin[owner]).astype(np.int32), n.astype(np.int32), again))
             count += len(anchor)
             if count >= HELD_RUNS:
                 yield from flush()
@@ -173,12 +178,11 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         if count:
             yield from flush()
 
-    PACKED = ("anchor", "run", "doc_id", "null", "h", "start", "n")
+    PACKED = ("anchor", "run", "doc_id", "null", "h", "start", "n", "again")
     packed = narrow.mapInArrow(runs, "shard int, " + ", ".join(f"{c} binary" for c in PACKED)).repartition("shard")
 
-    # 2. Runs of equal words: all but the first are repeats. The first runs of an anchor with several, or of a run that can repeat itself, are asked for.
-    longest = window - min(ANCHOR_WORDS, window) + 1
-    kinds = (np.uint64, np.uint64, np.int64, np.bool_, np.int64, np.int32, np.int32)
+    # 2. Runs of equal words: all but the first are repeats. The first runs of an anchor with several, or of a run that may repeat itself, are asked for.
+    kinds = (np.uint64, np.uint64, np.int64, np.bool_, np.int64, np.int32, np.int32, np.bool_)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -190,16 +194,16 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             yield from _compare([np.concatenate(x) for x in zip(*held.pop(s), strict=True)])
 
     def _compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, key, doc_id, null, h, start, n = cols
+        anchor, key, doc_id, null, h, start, n, again = cols
         by = np.lexsort((start, h, doc_id, null, key, anchor))
-        anchor, key, doc_id, null, h, start, n = (x[by] for x in (anchor, key, doc_id, null, h, start, n))
+        anchor, key, doc_id, null, h, start, n, again = (x[by] for x in cols)
         same = lambda *xs: np.concatenate([[False], np.all([x[1:] == x[:-1] for x in xs], axis=0)])
         string = same(anchor, key)
         place = string & same(doc_id, null, h, start)  # the same place of a row given twice
         first = ~string
         group = np.cumsum(~same(anchor)) - 1
         strings = np.bincount(group, first)
-        wide, asked = strings[group] > AUTOMATON_STRINGS, first & ((strings[group] > 1) | (n > longest))
+        wide, asked = strings[group] > AUTOMATON_STRINGS, first & ((strings[group] > 1) | again)
         # a place equal to the first is the first, not a repeat
         head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
         gone = string & ~place & ((doc_id != doc_id[head]) | (null != null[head]) | (h != h[head]) | (start != start[head]))
