@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, substring, tokens
+from . import lang_crf, mixing, simhash, substring, tokens
 from .common import documents
 
 
@@ -32,10 +32,15 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(documents(spark, sf_dir))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_crf.predict_held_out(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
     "op6_simhash": op6_simhash,
     "op4_substring": op4_substring,
+    "op3_language_id": op3_language_id,
 }
 ORACLES: dict[str, str] = {}
