@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lang_crf, mixing, simhash, substring, tokens
+from . import decontam, lang_crf, mixing, simhash, substring, tokens
 from .common import documents
 
 
@@ -36,11 +36,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_crf.predict_held_out(documents(spark, sf_dir))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
     "op6_simhash": op6_simhash,
     "op4_substring": op4_substring,
     "op3_language_id": op3_language_id,
+    "op1_decontamination": op1_decontamination,
 }
 ORACLES: dict[str, str] = {}
