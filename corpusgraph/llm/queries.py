@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lang_crf, mixing, simhash, substring, tokens
+from . import decontam, lang_crf, licenses, mixing, simhash, substring, tokens
 from .common import documents
 
 
@@ -40,6 +40,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
@@ -47,5 +51,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substring": op4_substring,
     "op3_language_id": op3_language_id,
     "op1_decontamination": op1_decontamination,
+    "op5_licenses": op5_licenses,
 }
 ORACLES: dict[str, str] = {}
