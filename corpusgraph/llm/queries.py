@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lang_crf, licenses, mixing, simhash, substring, tokens
+from . import chats, decontam, lang_crf, licenses, mixing, simhash, substring, tokens, topk, url_lists
 from .common import documents
 
 
@@ -44,6 +44,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_lists.judge(url_lists.derived_captures(pages), url_lists.derived_entries(pages))
+
+
+def op7_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.maximal_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embeddings_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_token_output": op10_token_output,
@@ -52,5 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op1_decontamination": op1_decontamination,
     "op5_licenses": op5_licenses,
+    "op2_url_filters": op2_url_filters,
+    "op7_chats": op7_chats,
+    "op8_top_k": op8_top_k,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filters": url_lists.ORACLE, "op7_chats": chats.ORACLE, "op8_top_k": topk.ORACLE}
