@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one Python step holds at a time (a single longer text stands alone).
@@ -66,6 +66,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def same(a, b):
-    """Null-safe equality of two columns."""
-    return F.col(a).eqNullSafe(F.col(b)) if isinstance(a, str) else a.eqNullSafe(b)
+#: Columns that name a row by its content; rows equal in all columns have one name.
+ROW = ("_row1", "_row2")
+
+
+def with_row_names(df: DataFrame) -> DataFrame:
+    """df with two 64-bit hashes over all its columns, never null, by which rows are found again."""
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    return df.withColumns({name: F.xxhash64(F.lit(i), *parts) for i, name in enumerate(ROW)})
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with _i, the number of a row among rows equal to it."""
+    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(0))))

@@ -261,6 +261,35 @@ def fit(labelled: DataFrame, seed: int = 42) -> Model:
     return train(labels, lexicon.reshape(len(labels), LEXICON).T, rows, seed)
 
 
+def predict(model: Model, data: list[bytes]) -> tuple[list[str], np.ndarray, Words | None, np.ndarray]:
+    """Label and score of each text, its words, and their marginals."""
+    n = len(data)
+    names, means = [UNKNOWN] * n, np.zeros(n)
+    if not model.labels:
+        return names, means, None, np.zeros((0, 0))
+    words = Words.of(data)
+    gamma = marginals(model, words)
+    sizes = np.bincount(words.text, minlength=n)
+    sums = np.stack([np.bincount(words.text, gamma[:, k], n) for k in range(len(model.labels))], axis=1)
+    best = sums.argmax(axis=1)
+    for i in np.flatnonzero(sizes).tolist():
+        if data[i].isascii() or _ANY_LETTER.search(data[i].decode()):
+            names[i], means[i] = model.labels[best[i]], min(1.0, sums[i, best[i]] / sizes[i])
+    return names, means, words, gamma
+
+
+def keep_known(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
+    """The documents (all their columns) whose language is known with min_score at least."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            names, means, _, _ = predict(sent.value, texts(batch))
+            yield batch.filter(pa.array([name != UNKNOWN and mean >= min_score for name, mean in zip(names, means, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, model: Model, keep: tuple = (), with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score (and the columns in keep; with_spans: runs of words of one label).
 
@@ -273,23 +302,15 @@ def identify(docs: DataFrame, model: Model, keep: tuple = (), with_spans: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in text_slices(batches, "text"):
-            data, n = texts(batch), batch.num_rows
-            names, means, spans = [UNKNOWN] * n, np.zeros(n), [[] for _ in range(n)]
-            if model.labels:
-                words = Words.of(data)
-                gamma = marginals(model, words)
-                sizes = np.bincount(words.text, minlength=n)
-                sums = np.stack([np.bincount(words.text, gamma[:, k], n) for k in range(len(model.labels))], axis=1)
-                best = sums.argmax(axis=1)
-                for i in np.flatnonzero(sizes).tolist():
-                    if data[i].isascii() or _ANY_LETTER.search(data[i].decode()):
-                        names[i], means[i] = model.labels[best[i]], min(1.0, sums[i, best[i]] / sizes[i])
-                if with_spans and len(gamma):
-                    tag = gamma.argmax(axis=1)
-                    first = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (words.text[1:] != words.text[:-1])]))
-                    heads = np.searchsorted(words.text, np.arange(n))
-                    for a, b in zip(first.tolist(), np.concatenate([first[1:], [len(tag)]]).tolist(), strict=True):
-                        spans[words.text[a]].append({"start": int(a - heads[words.text[a]]), "n": b - a, "lang": model.labels[tag[a]]})
+            n = batch.num_rows
+            names, means, words, gamma = predict(model, texts(batch))
+            spans = [[] for _ in range(n)]
+            if with_spans and len(gamma):
+                tag = gamma.argmax(axis=1)
+                first = np.flatnonzero(np.concatenate([[True], (tag[1:] != tag[:-1]) | (words.text[1:] != words.text[:-1])]))
+                heads = np.searchsorted(words.text, np.arange(n))
+                for a, b in zip(first.tolist(), np.concatenate([first[1:], [len(tag)]]).tolist(), strict=True):
+                    spans[words.text[a]].append({"start": int(a - heads[words.text[a]]), "n": b - a, "lang": model.labels[tag[a]]})
             cols = [batch.column(c) for c in ("doc_id", *keep)] + [pa.array(names), pa.array(means)]
             if with_spans:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("lang", pa.string())]))))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import ROW, numbered, with_row_names, write_table
 
 #: Words in a document: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,3 +119,12 @@ def mix_to_targets(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1
     t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole")
     out = rows.join(t, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("copies", F.col("whole") + F.col("picked").cast("int"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
+
+
+def repeat_to_targets(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 42) -> DataFrame:
+    """The documents (all their columns), each as often as mix_to_targets takes it. Copies of documents without words are 1 in a source that is taken whole, else 0."""
+    marked = with_row_names(docs)
+    copies = mix_to_targets(marked, weights, share, most, seed, ROW).groupBy(*ROW).agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).filter("_sum > 0")
+    # equal rows share their copies evenly, the first ones taking what is left
+    met = numbered(marked).join(copies, list(ROW)).withColumn("_n", F.floor(F.col("_sum") / F.col("_rows")) + (F.col("_i") <= F.col("_sum") % F.col("_rows")).cast("int"))
+    return met.filter("_n > 0").withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(docs.columns)

@@ -110,3 +110,29 @@ def test_table(spark, sf_dir):
 
 def test_empty(spark):
     assert simhash.simhash_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_dense_groups():
+    rng = np.random.default_rng(2)
+    fps = np.unique(np.uint64(12345) ^ sum(np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64) for _ in range(2)))
+    label = simhash.trie_join(fps, np.zeros(len(fps), int), np.zeros(len(fps), int), 4)
+    assert (label == 0).all()
+
+
+def test_near_copies(spark):
+    rng = np.random.default_rng(8)
+    vocab = np.array([f"w{i}" for i in range(3000)])
+    rows, group = [], {}
+    for i in range(60):
+        words = rng.choice(vocab, 400)
+        for j in range(3):
+            copy = words.copy()
+            copy[rng.integers(0, 400, 2 * j)] = "edited"
+            rows.append((i * 10 + j, " ".join(copy), "clash"))
+            group[i * 10 + j] = i
+    rows += [(5000 + i, " ".join(rng.choice(vocab, 300)), "clash") for i in range(100)] + [(0, rows[0][1], "clash"), (None, rows[0][1], "clash"), (7000, None, "clash"), (7001, "", "clash")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = [r["doc_id"] for r in simhash.drop_near_copies(docs).collect()]
+    assert sorted(kept) == sorted([i * 10 for i in range(60)] + [5000 + i for i in range(100)] + [7000])
+    assert simhash.drop_near_copies(docs).columns == docs.columns
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []
