@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ ESCAPE = 15
 #: A block takes whole documents up to so many ids (or one longer document), and decodes by itself.
 BLOCK_IDS = 1 << 16
 #: Entries a Python worker keeps of encoded words; a bound on memory only, other words are encoded each time.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -107,7 +108,8 @@ class Encoder:
     """The tokenizers library behind a cache of encoded words.
 
     A text whose words are parted by single spaces and line ends alone is cut before each of them: byte-level pre-tokenization also
-    cuts there, so the ids of the parts are the ids of the text. Any other text goes to the library whole.
+    cuts there, so the ids of the parts are the ids of the text. Any other text goes to the library whole. A word of Latin letters,
+    and a full stop or comma after it, are pieces of their own, for which the library's model alone is asked.
     """
 
     def __init__(self, path: str):
@@ -124,17 +126,29 @@ class Encoder:
         self.marks = [x["content"] for x in spec.get("added_tokens", [])]
         self.cuts = self.cuts and len(self._ids(["\n"])[0]) == 4
         self.known: dict[str, bytes] = {}
+        if self.cuts:
+            self.line, *points = self._ids(["\n", ".", ","])
+            self.points = dict(zip(".,", points, strict=True))
+            # the byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for those from 256 on, in order
+            plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+            self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - plain))}
+            self.model = self.library.model
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _letters(self, piece: str) -> bytes:
+        """Ids of letters (after a space or not), which pre-tokenization leaves whole, straight from the library's model."""
+        mapped = piece.replace(" ", self.alphabet[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list = [b""] * len(batch)
         whole, cut = [], []
         for i, text in enumerate(batch):
-            if self.cuts and text and text.replace("\n", " ") == " ".join(text.split()) and not any(m in text for m in self.marks):
-                cut.append((i, ("\n" + text).replace("\n", " \n")[1:].split(" ")))
+            if self.cuts and (keys := _keys(text)) and not any(m in text for m in self.marks):
+                cut.append((i, keys))
             elif text:
                 whole.append(i)
         for i, ids in zip(whole, self._ids([batch[i] for i in whole]), strict=True):
@@ -145,13 +159,12 @@ class Encoder:
             seen.update(keys)
         todo = []
         for k in seen.difference(known):
-            # a comma or full stop after a letter is a piece of its own
-            if k[-1] in ".," and len(k) > 1 and k[-2].isalpha() and (stem := known.get(k[:-1])) is not None and (mark := known.get("\n" + k[-1])) is not None:
-                new[k] = stem + mark[4:]
+            line = k[0] == "\n"
+            word, mark = (k[1:-1], k[-1]) if line and k[-1] in self.points else (k[:-1], k[-1]) if k[-1] in self.points else (k[1:] if line else k, "")
+            if word.isalpha() and max(word) < "\u0250":
+                new[k] = (self.line if line else b"") + self._letters(word if line else " " + word) + self.points.get(mark, b"")
             else:
                 todo.append(k)
-        if "\n." not in known:
-            todo += ["\n.", "\n,"]
         new.update(zip(todo, self._ids([k if k[0] == "\n" else " " + k for k in todo]), strict=True))
         if len(known) < CACHE_WORDS:
             known.update(new)
@@ -164,6 +177,19 @@ class Encoder:
         return out
 
 
+def _keys(text: str) -> list[str] | None:
+    """The words of a text, with the line end put before each first word of a line; None unless single spaces and line ends are all its white space."""
+    words, at = text.split(), 0
+    lines = text.split("\n")
+    spaces = text.count(" ") + len(lines) - 1
+    if len(words) != spaces + 1 or sum(map(len, words)) + spaces != len(text):
+        return None
+    for line in lines:
+        words[at] = "\n" + words[at]
+        at += line.count(" ") + 1
+    return words
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -197,7 +223,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, par
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = keyed.repartitionByRange(partitions or _parts(docs), *order).sortWithinPartitions(*order)
+    ranged = keyed.repartitionByRange(partitions or _parts(docs), order[0]).sortWithinPartitions(*order)  # by doc_id alone: the sample of the range goes to the driver
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, enc, tail = TaskContext.get().partitionId(), encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
