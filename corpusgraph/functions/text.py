@@ -16,6 +16,11 @@ def _sub(c: Column, pattern: str, to: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(to))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once, where f would otherwise compute it anew in each step of an inner lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: C) -> Column:
     """Without Unicode white space at either end."""
     return _sub(_sub(_c(c), r"(?U)\A\s+"), r"(?U)\s+\z")
@@ -32,9 +37,8 @@ def content_hash(c: C) -> Column:
 
 def char_shingles(c: C, n: int = 5) -> Column:
     """Distinct n-grams of characters of the normalized text; a shorter text is its own only shingle."""
-    t = normalize_text(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.array_distinct(grams)
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+    return F.array_distinct(let(normalize_text(c), grams))
 
 
 def jaccard(a: C, b: C) -> Column:
