@@ -35,10 +35,23 @@ def content_hash(c: C) -> Column:
     return F.sha2(normalize_text(c).cast("binary"), 256)
 
 
+def _gram_starts(chars: Column, n: int) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+
+
+def _chars(c: C) -> Column:
+    """Characters of the normalized text as an array: a place of an array is found at once, that of a string by counting from its start."""
+    return F.regexp_extract_all(normalize_text(c), F.lit("(?s)(.)"), 1)
+
+
 def char_shingles(c: C, n: int = 5) -> Column:
     """Distinct n-grams of characters of the normalized text; a shorter text is its own only shingle."""
-    grams = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
-    return F.array_distinct(let(normalize_text(c), grams))
+    return F.array_distinct(let(_chars(c), lambda a: F.transform(_gram_starts(a, n), lambda i: F.array_join(F.slice(a, i + 1, F.lit(n)), ""))))
+
+
+def shingle_hashes(c: C, n: int = 5) -> Column:
+    """64-bit hashes of char_shingles, distinct: smaller to shuffle and faster to compare."""
+    return F.array_distinct(let(_chars(c), lambda a: F.transform(_gram_starts(a, n), lambda i: F.xxhash64(*[F.get(a, i + k) for k in range(n)]))))
 
 
 def jaccard(a: C, b: C) -> Column:

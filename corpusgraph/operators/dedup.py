@@ -38,7 +38,7 @@ def near_pairs(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     Shingles are ordered by how rare they are in the document; two sets of similarity t share one of the first n - ceil(t * n) + 1
     of each, so only chunks that share such a rare shingle (and whose sizes allow t) are compared.
     """
-    sets = chunks.select("document_id", "chunk_index", T.char_shingles("content").alias("grams")).withColumn("n", F.size("grams"))
+    sets = chunks.select("document_id", "chunk_index", T.shingle_hashes("content").alias("grams")).withColumn("n", F.size("grams"))
     each = sets.select("document_id", "chunk_index", "n", F.explode("grams").alias("gram"))
     rare = each.groupBy("document_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("document_id", "chunk_index").orderBy("df", "gram"))

@@ -230,3 +230,40 @@ def usable_chunks(chunks: DataFrame) -> DataFrame:
 
 def preview(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.substring("content", 1, 500).alias("preview"))
+
+
+def list_workspaces(docs: DataFrame, by: str = "updated") -> DataFrame:
+    """workspace, updated_at: latest first, or by name."""
+    w = docs.groupBy("workspace").agg(F.max("updated_at").alias("updated_at"))
+    return w.orderBy(F.desc("updated_at"), "workspace") if by == "updated" else w.orderBy("workspace")
+
+
+def link_assets(docs: DataFrame, assets: DataFrame, workspace: str = "workspace") -> DataFrame:
+    """Documents whose image placeholders show the document's assets in order; page markers go."""
+    url = T.asset_url(workspace, "asset_id")
+    placed = assets.join(docs.select(F.col("id").alias("document_id"), workspace), "document_id").withColumn("a", F.struct("page_no", "asset_id", "caption", url.alias("url")))
+    grouped = placed.groupBy("document_id").agg(F.sort_array(F.collect_list("a")).alias("assets")).withColumnRenamed("document_id", "id")
+    met = docs.join(grouped, "id", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<struct<page_no:int,asset_id:string,caption:string,url:string>>")))
+    return met.select("id", T.strip_page_markers(T.inject_images("text", "assets")).alias("text"))
+
+
+def prepare_embedding_inputs(chunks: DataFrame, limit: int = 1600, overlap: int = 200) -> DataFrame:
+    """document_id, chunk_index, part, input: clean inputs, over-long ones in parts (see pool_embeddings)."""
+    from corpusgraph.operators.chunking import split_for_embedding
+
+    return chunks.select("document_id", "chunk_index", F.posexplode(split_for_embedding(T.sanitize_embed_input("content"), limit, overlap)).alias("part", "input"))
+
+
+def locate_passage(needles: DataFrame, blocks: DataFrame) -> DataFrame:
+    """needle_id, block_no, score: the block of its document that holds a needle (document_id, needle) whole, else the one with most of its words.
+
+    Of the needle's first 12 distinct words of four characters at least, max(2, 40 %) must be in the block; the first block wins a tie.
+    """
+    low = needles.withColumn("needle", T.normalize_text("needle"))
+    low = low.withColumn("words", F.slice(F.array_distinct(F.filter(F.split("needle", " "), lambda w: F.length(w) >= 4)), 1, 12))
+    met = low.join(blocks.withColumn("block", T.normalize_text("content")).select("document_id", "block_no", "block"), "document_id")
+    found = F.size(F.filter("words", lambda w: F.contains("block", w)))
+    need = F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.size("words")))
+    score = F.when(F.contains("block", "needle"), 1000).when(found >= need, found)
+    best = met.withColumn("score", score).filter("score is not null").groupBy("needle_id").agg(F.max(F.struct("score", (-F.col("block_no")).alias("first"))).alias("best"))
+    return best.select("needle_id", (-F.col("best.first")).alias("block_no"), F.col("best.score").alias("score"))

@@ -14,10 +14,11 @@ Q: dict = {}
 O: dict = {}
 
 
-def query(name: str, sql: str):
+def query(name: str, sql: str | None):
     def add(f):
         Q[name] = f
-        O[name] = sql
+        if sql:
+            O[name] = sql
         return f
 
     return add
@@ -284,3 +285,75 @@ def _(spark, d):
     sep = F.when(F.col("content").like("%.") & (F.length("content") % 5 == 0), 1).otherwise(0)
     w = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     return S.chunks(spark, d).select("document_id", "chunk_index", (F.lit(1) + F.coalesce(F.sum(sep).over(w), F.lit(0))).alias("page"))
+
+
+@query("t5_list_workspaces", f"WITH {S.DOCS} SELECT workspace, max(updated_at) AS updated_at FROM docs GROUP BY workspace")
+def _(spark, d):
+    return documents.list_workspaces(S.docs(spark, d))
+
+
+@query("a3_document_breakdown", f"WITH {S.DOCS} SELECT id, filename, chunk_count FROM docs")
+def _(spark, d):
+    return documents.document_breakdown(S.docs(spark, d)).select("id", "filename", "chunk_count")
+
+
+@query("t7_order_assets", f"WITH {S.ASSETS} SELECT asset_id, page_no FROM assets ORDER BY page_no, asset_id LIMIT 100")
+def _(spark, d):
+    return documents.page_rows(S.assets(spark, d).select("asset_id", "page_no"), ["page_no", "asset_id"], 100, 0)
+
+
+@query("j3_resolve_assets", f"WITH {S.ASSETS}, {S.CHUNKS}, hits AS (SELECT document_id AS query_id, document_id, page_no, chunk_index + 1 AS rank, CASE WHEN document_id % 4 = 1 AND chunk_index = 0 THEN 'img-' || document_id || '-0' END AS ref FROM chunks), listed AS (SELECT query_id, asset_id, min(rank) AS rank FROM hits JOIN assets ON asset_id = ref GROUP BY ALL), paged AS (SELECT query_id, asset_id, min(rank) AS rank FROM hits JOIN assets USING (document_id, page_no) WHERE page_no > 0 AND query_id NOT IN (SELECT query_id FROM listed) GROUP BY ALL) SELECT query_id, asset_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank, asset_id) AS INT) AS place FROM (SELECT * FROM listed UNION ALL SELECT * FROM paged) QUALIFY place <= 3")
+def _(spark, d):
+    ref = F.when((F.col("document_id") % 4 == 1) & (F.col("chunk_index") == 0), F.array(F.format_string("img-%d-0", "document_id"))).otherwise(F.array().cast("array<string>"))
+    hits = S.chunks(spark, d).select(F.col("document_id").alias("query_id"), "document_id", "page_no", (F.col("chunk_index") + 1).alias("rank"), ref.alias("image_refs"))
+    return documents.resolve_assets(hits, S.assets(spark, d))
+
+
+@query("j9_locate_passage", f"WITH {S.CHUNKS} SELECT document_id AS needle_id, CAST(min(chunk_index) AS INT) AS block_no, 1000 AS score FROM chunks AS c JOIN (SELECT document_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS needle FROM chunks WHERE chunk_index = 0) AS n USING (document_id) WHERE contains(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), needle) GROUP BY document_id")
+def _(spark, d):
+    c = S.chunks(spark, d)
+    needles = c.filter("chunk_index = 0").select(F.col("document_id").alias("needle_id"), "document_id", F.col("content").alias("needle"))
+    return documents.locate_passage(needles, c.withColumnRenamed("chunk_index", "block_no"))
+
+
+@query("tx3_link_assets", f"WITH {S.DOCS} SELECT id, CASE WHEN image_count > 0 THEN '![Figure 0](/static/doc-images/kb_' || workspace || '/images/img-' || id || '-0.png)' ELSE '' END || text AS text FROM docs")
+def _(spark, d):
+    docs = S.docs(spark, d).withColumn("text", F.concat(F.lit("<!-- image -->"), "text"))
+    return documents.link_assets(docs, S.assets(spark, d))
+
+
+@query("tx4_embedding_inputs", None)
+def _(spark, d):
+    return documents.prepare_embedding_inputs(S.chunks(spark, d))
+
+
+@query("p8_preview", f"WITH {S.CHUNKS} SELECT document_id AS query_id, chunk_index AS chunk_id, left(content, 500) AS preview FROM chunks")
+def _(spark, d):
+    return documents.preview(S.chunks(spark, d).select(F.col("document_id").alias("query_id"), F.col("chunk_index").alias("chunk_id"), "content"))
+
+
+@query("s_lists_and_cuts", "SELECT doc_id, source || '|' || lang AS encoded, 2 AS n_decoded, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS cut, left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 500) AS caption, source || ' > ' || lang || ': ' || left(text, 100) AS contextualized FROM documents")
+def _(spark, d):
+    pair = F.array("source", "lang")
+    return S.table(spark, d, "documents").select(
+        "doc_id", T.encode_list(pair).alias("encoded"), F.size(T.decode_list(F.concat(T.encode_list(pair), F.lit("|")))).alias("n_decoded"), T.truncate("text", 200).alias("cut"),
+        T.clip_caption("text").alias("caption"), T.contextualize(pair, "text").alias("contextualized"),
+    )
+
+
+@query("s_markers", "SELECT doc_id, text AS bare, 'x' || text AS thought, 1 + len(string_split(text, chr(10))) - 1 AS pages FROM documents")
+def _(spark, d):
+    return S.table(spark, d, "documents").select(
+        "doc_id", T.strip_artifacts(F.concat(F.lit("<unused1>: "), "text")).alias("bare"),
+        F.concat(F.lit("x"), T.strip_artifacts("text")).alias("thought"), T.page_count("text", "\n").cast("bigint").alias("pages"),
+    )
+
+
+@query("s18_highlight", "SELECT doc_id, regexp_replace(text, '(?i)(the|and)', '<mark>\\1</mark>', 'g') AS marked FROM documents")
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", T.highlight("text", F.lit("the of and")).alias("marked"))
+
+
+@query("s16_s17_slugs_and_needles", f"WITH {S.CHUNKS} SELECT document_id, chunk_index, left(trim(regexp_replace(regexp_replace(trim(content), '[`*_>#|]', ' ', 'g'), '\\s+', ' ', 'g')), 220) AS needle FROM chunks")
+def _(spark, d):
+    return S.chunks(spark, d).select("document_id", "chunk_index", T.search_needle("content").alias("needle"))
