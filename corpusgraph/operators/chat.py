@@ -163,3 +163,39 @@ def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy().orderBy("id"))
     valid = results.filter(~F.startswith("response", F.lit("ERROR"))).select("id", rank.alias("n"))
     return results.join(valid.join(scores.filter(~F.isnan("score")), "n").select("id", "score"), "id", "left")
+
+
+# --- turns and history ---------------------------------------------------------------------------------------------------------
+
+
+def assemble_chat_context(hits: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """query_id, context: labelled sources with citation ids, then the images (query_id, asset_id, page_no, caption) as a list."""
+    label = T.source_label(T.citation_id("query_id", "rank"), "file", "page_no", "heading_path")
+    joined = lambda df, order, line, glue: df.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), glue).alias("t"))
+    out = joined(hits, "rank", F.concat(label, F.lit("\n"), F.col("content")), "\n\n").withColumnRenamed("t", "context")
+    if images is None:
+        return out
+    line = F.concat(F.lit("- [IMG-"), "asset_id", F.lit("] Page "), F.col("page_no").cast("string"), F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit(': "'), "caption", F.lit('"'))).otherwise(""))
+    listed = joined(images, "asset_id", line, "\n").withColumnRenamed("t", "listed")
+    return out.join(listed, "query_id", "left").select("query_id", F.concat_ws("\n\n", "context", F.concat(F.lit("Available images:\n"), "listed")).alias("context"))
+
+
+def build_turns(messages: DataFrame, n: int = 2) -> DataFrame:
+    """The user turns with what came right before: conv_id, turn, prompt."""
+    df = history_window(messages, n).filter("role = 'user'")
+    before = F.nullif(recap(F.col("history"), n), F.lit(""))
+    return df.select("conv_id", "turn", F.concat_ws("\n\n", F.concat(F.lit("Earlier:\n"), before), F.concat(F.lit("Question: "), "content")).alias("prompt"))
+
+
+def append_messages(history: DataFrame, new: DataFrame) -> DataFrame:
+    return history.unionByName(new, allowMissingColumns=True)
+
+
+def clear_history(history: DataFrame, conversations: DataFrame) -> DataFrame:
+    return history.join(conversations.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
+def split_sources(c: str) -> Column:
+    """struct<vector, kg> of an array of sources with a field type."""
+    of = lambda kind: F.filter(F.col(c), lambda s: s["type"] == kind)
+    return F.struct(of("vector").alias("vector"), of("kg").alias("kg"))

@@ -160,3 +160,15 @@ def html_to_markdown(c: Column) -> Column:
     ):
         t = F.regexp_replace(t, F.lit(pattern), F.lit(to))
     return T.strip(t)
+
+
+def inject_table_captions(docs: DataFrame, captions: DataFrame) -> DataFrame:
+    """document_id, text with a caption line after each table whose first three header cells match (document_id, key, caption)."""
+    w = Window.partitionBy("document_id").orderBy("line_no")
+    df = lines_of(docs).withColumn("pipe", F.startswith(F.trim("line"), F.lit("|")))
+    df = df.withColumns({"island": F.col("line_no") - F.sum(F.col("pipe").cast("int")).over(w), "ends": F.col("pipe") & ~F.coalesce(F.lead("pipe").over(w), F.lit(False))})
+    cells = F.slice(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), 1, 3)
+    heads = df.filter("pipe").groupBy("document_id", "island").agg(F.min_by(F.array_join(F.transform(cells, F.trim), "|"), "line_no").alias("key"))
+    named = heads.join(captions, ["document_id", "key"]).select("document_id", "island", "caption")
+    met = df.join(named, ["document_id", "island"], "left").withColumn("line", F.when(F.col("ends") & F.col("caption").isNotNull(), F.concat("line", F.lit("\n\n*"), "caption", F.lit("*"))).otherwise(F.col("line")))
+    return met.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))

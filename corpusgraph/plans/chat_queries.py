@@ -260,3 +260,44 @@ def _(spark, d):
 @query("st5_ingest_stream", f"WITH {S.DOCS} SELECT id AS document_id, chunk_count AS n FROM docs")
 def _(spark, d):
     return E.ingest_count(spark, d)
+
+
+@query("x4_build_turns", f"WITH {S.MESSAGES}, h AS (SELECT *, string_agg(role || ': ' || left(content, 300), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before FROM messages) SELECT conv_id, turn, CASE WHEN before IS NULL THEN '' ELSE 'Earlier:' || chr(10) || before || chr(10) || chr(10) END || 'Question: ' || content AS prompt FROM h WHERE role = 'user'")
+def _(spark, d):
+    return C.build_turns(S.messages(spark, d))
+
+
+@query("p9_clear_history", f"WITH {S.MESSAGES} SELECT conv_id, turn FROM messages WHERE conv_id % 3 <> 0")
+def _(spark, d):
+    m = S.messages(spark, d)
+    return C.clear_history(C.append_messages(m.filter("turn = 0"), m.filter("turn > 0")), m.filter("conv_id % 3 = 0")).select("conv_id", "turn")
+
+
+@query("m10_m11_substance", f"WITH {EVAL} SELECT id, round(least(words / 10, 1), 6) AS substance, CASE WHEN n = 0 THEN 1 WHEN cited > 0 THEN round(least(greatest(cited / n, cited / 3), 1), 6) ELSE 0 END::DOUBLE AS utilization FROM ev")
+def _(spark, d):
+    from corpusgraph.functions import metrics as M
+
+    return answers(spark, d).select("id", F.round(M.answer_substance("answer"), 6).alias("substance"), F.round(M.context_utilization_v2("answer", "source_count"), 6).alias("utilization"))
+
+
+@query("m12_resolve_contexts", f"WITH {S.CHUNKS}, i AS (SELECT row_number() OVER (ORDER BY item_id) AS n, item_id, text FROM benchmark) SELECT 'RAGAS-' || CASE WHEN n < 1000 THEN right('000' || n, 3) ELSE left(n::VARCHAR, 3) END AS id, text AS answer, left(content, 500) AS context FROM i JOIN chunks ON document_id = item_id AND chunk_index = 0")
+def _(spark, d):
+    b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("batch"), F.lit(0).alias("place"), F.lit("q").alias("question"), F.col("text").alias("answer"), F.array(F.lit(0), F.lit(99_999)).alias("context_indices"))
+    c = S.chunks(spark, d).select(F.col("document_id").alias("batch"), F.col("chunk_index").alias("place"), "content")
+    return C.resolve_contexts(b, c).select("id", "answer", F.explode("contexts").alias("context"))
+
+
+@query("c8_table_captions", f"WITH {MD}, l AS (SELECT document_id, i, CASE WHEN i % 6 = 4 THEN '|a|b|' || chr(10) || '|---|---|' || chr(10) || '|1|2|' || CASE WHEN document_id % 2 = 0 THEN chr(10) || chr(10) || '*Letters*' ELSE '' END ELSE line END AS line FROM md) SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY document_id")
+def _(spark, d):
+    m = markdown(spark, d)
+    return K.inject_table_captions(m, m.filter("document_id % 2 = 0").select("document_id", F.lit("a|b").alias("key"), F.lit("Letters").alias("caption")))
+
+
+@query("c6_split_for_embedding", None)
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.posexplode(K.split_for_embedding(F.col("text"))).alias("part", "input"))
+
+
+@query("c3_pack_paragraphs", None)
+def _(spark, d):
+    return S.table(spark, d, "documents").select("doc_id", F.posexplode(K.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 128)).alias("piece", "content"))

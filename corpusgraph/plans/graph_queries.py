@@ -165,3 +165,8 @@ def _(spark, d):
 @query("g5_build_graph", None)
 def _(spark, d):
     return G.build_graph(S.chunks(spark, d))[1]
+
+
+@query("g4_record_lines", f"WITH {S.GRAPH} SELECT 'entity<|#|>' || id || '<|#|>' || entity_type || '<|#|>' || description AS line FROM nodes UNION ALL SELECT 'relation<|#|>' || source || '<|#|>' || target || '<|#|>place<|#|>' || description FROM edges")
+def _(spark, d):
+    return G.kg_lines_encode(S.nodes(spark, d).select(F.col("id").alias("name"), F.col("entity_type").alias("type"), "description"), S.edges(spark, d))

@@ -170,3 +170,10 @@ def _(spark, d):
 @query("q2_retrieve_vector", None)
 def _(spark, d):
     return R.retrieve(corpus(spark, d), questions(spark, d), mode="vector_only")
+
+
+@query("x3_chat_context", None)
+def _(spark, d):
+    from corpusgraph.operators import chat
+
+    return chat.assemble_chat_context(_cited(spark, d))
