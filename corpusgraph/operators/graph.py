@@ -176,9 +176,14 @@ def decode_triplets(c: Column) -> Column:
 
 
 def build_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a corpus by the offline extractor: runs of two or more capitalised words are entities, those of one sentence are related; weights add up over documents."""
-    sentences = chunks.select("document_id", F.explode(F.split("content", r"(?<=[.!?])\s+")).alias("s"))
-    names = sentences.select("document_id", F.array_distinct(F.regexp_extract_all("s", F.lit(r"\b(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)"), 1)).alias("names"))
+    """Nodes (id, documents) and edges (source, target, weight) of a corpus by the offline extractor.
+
+    Runs of capitalised words, the first of four letters at least, are entities; each is related to the next one of its chunk, so a
+    chunk gives no more edges than it has mentions. Weights add up over documents.
+    """
+    mentions = F.regexp_extract_all("content", F.lit(r"\b(\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}+)*)"), 1)
+    names = chunks.select("document_id", mentions.alias("names"))
     nodes = names.select("document_id", F.explode("names").alias("id")).groupBy("id").agg(F.count_distinct("document_id").alias("documents"))
-    pairs = names.filter(F.size("names") > 1).select(F.explode(F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(F.least(a, b).alias("source"), F.greatest(a, b).alias("target")))))).alias("p"))
-    return nodes, pairs.select("p.*").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+    link = F.zip_with("names", F.slice("names", 2, F.size("names")), lambda a, b: F.struct(F.least(a, b).alias("source"), F.greatest(a, b).alias("target"), b.isNotNull().alias("whole")))
+    pairs = names.filter(F.size("names") > 1).select(F.explode(link).alias("p")).filter("p.whole")
+    return nodes, pairs.select("p.source", "p.target").filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
