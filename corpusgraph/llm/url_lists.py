@@ -51,9 +51,9 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = BUCKET_DAY
     """
     rows = captures.groupBy("page_id", "url", "day").agg(F.count(F.lit(1)).alias("copies")).withColumn("host", host("url"))
     spans = validity_intervals(entries)
-    horizon = captures.agg(F.max("day").alias("last"), F.min("day").alias("first"))
-    spans = spans.crossJoin(F.broadcast(horizon))  # one row: days after the last capture (or before the first) need no buckets
-    low, high = F.greatest("valid_from", "first"), F.least(F.coalesce(F.col("valid_to") - 1, F.col("last")), F.col("last"))
+    # days after the last capture, or before the first, need no buckets
+    first, last = captures.agg(F.min("day"), F.max("day")).first()
+    low, high = F.greatest("valid_from", F.lit(first)), F.least(F.coalesce(F.col("valid_to") - 1, F.lit(last)), F.lit(last))
     spans = spans.withColumns({"low": low, "high": high}).filter("low <= high")
     bucket = lambda c: F.floor(F.col(c) / bucket_days)
     spans = spans.withColumn("bucket", F.explode(F.sequence(bucket("low"), bucket("high")))).select("list", "pattern", "bucket", "valid_from", "valid_to")
