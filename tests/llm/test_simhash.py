@@ -127,7 +127,7 @@ def test_near_copies(spark):
         words = rng.choice(vocab, 400)
         for j in range(3):
             copy = words.copy()
-            copy[rng.integers(0, 400, 2 * j)] = "edited"
+            copy[rng.integers(0, 400, j)] = "edited"
             rows.append((i * 10 + j, " ".join(copy), "clash"))
             group[i * 10 + j] = i
     rows += [(5000 + i, " ".join(rng.choice(vocab, 300)), "clash") for i in range(100)] + [(0, rows[0][1], "clash"), (None, rows[0][1], "clash"), (7000, None, "clash"), (7001, "", "clash")]
