@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import random
 import zlib
 
 import pandas as pd

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices, texts, write_table
+from .common import text_slices, write_table
 
 # Fixed values of the file format: of each 64-bit word the upper 4 bits are the selector, the lower 60 hold COUNTS[selector]
 # ids of WIDTHS[selector] bits each, the first id lowest. Selector 15 is the escape: its word holds no id, the next word is one raw 64-bit id.
