@@ -127,7 +127,7 @@ def test_near_copies(spark):
         words = rng.choice(vocab, 400)
         for j in range(3):
             copy = words.copy()
-            copy[rng.integers(0, 400, j)] = "edited"
+            copy[rng.integers(0, 400, 2 * j)] = "edited"
             rows.append((i * 10 + j, " ".join(copy), "clash"))
             group[i * 10 + j] = i
     rows += [(5000 + i, " ".join(rng.choice(vocab, 300)), "clash") for i in range(100)] + [(0, rows[0][1], "clash"), (None, rows[0][1], "clash"), (7000, None, "clash"), (7001, "", "clash")]
@@ -136,3 +136,20 @@ def test_near_copies(spark):
     assert sorted(kept) == sorted([i * 10 for i in range(60)] + [5000 + i for i in range(100)] + [7000])
     assert simhash.drop_near_copies(docs).columns == docs.columns
     assert simhash.drop_near_copies(docs.limit(0)).collect() == []
+
+
+def planted_pairs(changed, n, seed=4):
+    """n pairs (ids 2 i and 2 i + 1) of 400 words of which one lacks `changed` of the other's 396 five-word shingles."""
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(n):
+        words = rng.integers(0, 10**6, 400).astype(str)
+        copy, at = words.copy(), rng.integers(4, 400 - changed)
+        copy[at : at + changed - 4] = rng.integers(0, 10**6, changed - 4).astype(str)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    return rows
+
+
+@pytest.mark.parametrize("changed, least, most", [(44, 0.95, 1), (32, 0.99, 1), (20, 1, 1)])  # similarity 0.80, 0.85, 0.90
+def test_near_copies_recall(spark, changed, least, most):
+    docs = spark.createDataFrame(planted_pairs(changed, 300), "doc_id long, text string")
+    assert least <= (600 - simhash.drop_near_copies(docs).count()) / 300 <= most
