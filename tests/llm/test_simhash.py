@@ -153,3 +153,40 @@ def planted_pairs(changed, n, seed=4):
 def test_near_copies_recall(spark, changed, least, most):
     docs = spark.createDataFrame(planted_pairs(changed, 300), "doc_id long, text string")
     assert least <= (600 - simhash.drop_near_copies(docs).count()) / 300 <= most
+
+
+def test_near_copies_are_verified(spark):
+    rng = np.random.default_rng(9)
+    rows = planted_pairs(56, 60) + [(1000 + i, t) for i, t in planted_pairs(69, 60, 5)]  # similarity 0.75 and 0.70
+    for i in range(60):  # different texts of which half is one line over and over
+        line = " ".join(rng.integers(0, 10**6, 8).astype(str))
+        rows += [(2000 + 2 * i + j, " ".join(rng.integers(0, 10**6, 200).astype(str)) + f" {line}" * 25) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == sorted(i for i, _ in rows)
+
+
+@pytest.mark.parametrize("part", [1 << 21, 1500])
+def test_similar_links(spark, part, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+    rng, rows = np.random.default_rng(3), [(0, ""), (1, "one"), (2, "one two")]
+    words = rng.integers(0, 10**6, 80).astype(str)
+    for i in range(3, 60):  # a chain with jumps
+        words[rng.integers(0, 80, rng.integers(1, 5))] = str(i)
+        rows.append((i, " ".join(words)))
+    docs = simhash.with_row_names(spark.createDataFrame(rows, "doc_id long, text string"))
+    prints = simhash.fingerprints(docs, 5, 42, simhash.ROW, 1, sets=True)
+    got = {r["doc_id"]: r["id"] for r in prints.collect()}
+    links = simhash.similar_links(docs, prints.withColumn("root", simhash.F.lit(7)), 5, 42, 0.8).collect()
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    true = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    want = [(i, j) for i in range(60) for j in range(i) if true(sets[i], sets[j])]
+
+    def groups(pairs, n=60):
+        label = list(range(n))
+        for i, j in pairs:
+            label = [label[j] if x == label[i] else x for x in label]
+        return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+    at = {x: i for i, x in got.items()}
+    assert 3 < len(groups(want)) < 60
+    assert groups([(at[r["a"]], at[r["b"]]) for r in links]) == groups(want)
