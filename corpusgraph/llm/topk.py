@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,18 +66,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query (vec_id, v) with every other row of vectors.
 
     Ties go to the smaller vec_id (null last). Rows whose vec_id is a query's own are none of its candidates. Only vectors of equal
-    length are compared (the score of empty ones is 0). Equal vectors are one candidate with its k + 1 smallest ids, which is all
-    that can matter. A query row given twice counts once; a query without an id takes no part; empty tables give no rows.
+    length are compared (the score of empty ones is 0). Equal vectors are one candidate with its k + 1 smallest distinct ids, each
+    as often as it is given (k times at most), which is all that can matter once a query's own id is taken out. A query row given twice counts once; a query without an id takes no part; empty tables give no rows.
 
     Candidates are packed into blocks of BLOCK_ROWS vectors and queries into blocks of QUERY_ROWS; each pair of blocks is a task's
-    row. A block gives k rows (and one for the query itself) for each query, which a second step merges.
+    row. A block gives k rows (besides the query's own) for each query, which a second step merges.
     """
     spark = vectors.sparkSession
     by_vector = Window.partitionBy("v", "salt").orderBy(F.col("vec_id").asc_nulls_last())
     # equal vectors meet in two steps, so that one vector's many ids are cut down in many tasks first
-    cut = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1).drop("r", "salt")
-    same = cut.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("vec_id").isNull().alias("null"), "vec_id"))), 1, k + 1).alias("ids"))
-    same = write_table(same.select("v", F.size("v").alias("d"), F.transform("ids", lambda x: x.vec_id).alias("ids"), F.xxhash64("v").alias("h")), "top-candidates")
+    ids = vectors.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    cut = ids.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1).drop("r", "salt")
+    same = cut.groupBy("v").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("vec_id").isNull().alias("null"), "vec_id", "n"))), 1, k + 1).alias("ids"))
+    same = write_table(same.select("v", F.size("v").alias("d"), F.flatten(F.transform("ids", lambda x: F.array_repeat(x.vec_id, x.n))).alias("ids"), F.xxhash64("v").alias("h")), "top-candidates")
     asked = queries.filter("vec_id is not null").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id").alias("h"))
     asked = write_table(asked, "top-queries")
 
@@ -98,7 +100,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 matrix = lambda s: s.field("v").flatten().to_numpy().reshape(len(s), d).astype(float)
                 lists, ids, qs, names = matrix(cand), cand.field("ids"), matrix(ask), ask.field("vec_id").to_pylist()
                 heads, flat = ids.offsets.to_numpy(), ids.values.to_pylist()
-                best = nra_top(lists, qs, k + 1) if d else [np.arange(len(lists))] * len(qs)  # one more, for the query's own vector
+                asking = set(names)
+                own = max(Counter(x for x in flat if x in asking).values(), default=0)  # so many more, for the query's own vectors
+                best = nra_top(lists, qs, k + own) if d else [np.arange(len(lists))] * len(qs)
                 out = []
                 for name, found, vector in zip(names, best, qs, strict=True):
                     scores = lists[found] @ vector

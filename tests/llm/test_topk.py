@@ -49,3 +49,16 @@ def test_blocks_ties_and_odd_rows(spark, monkeypatch):
 
 def test_empty(spark):
     assert topk.embeddings_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_repeated_rows_of_a_query(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=4))]) for i in range(101, 160)]
+    same = [5.0, 5.0, 5.0, 5.0]
+    rows += [(100, same)] * 2 + [(200, same)] * 15 + [(i, same) for i in range(1, 13)]  # a query's own rows among equal vectors
+    rows += [(300, [float(i), 1.0, 0.0, 0.0]) for i in range(20, 34)]  # one id, many vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in topk.embeddings_top_k(df).collect()}
+    want = by_hand(rows)
+    assert {r for r in got if r[0] != 300} == {r for r in want if r[0] != 300}
+    assert sum(r[0] == 300 for r in got) == 10
