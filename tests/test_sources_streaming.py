@@ -72,3 +72,13 @@ def test_replace_is_idempotent(spark, tmp_path):
     for _ in range(2):
         events.replace_documents(spark, frame([(1, "x"), (3, "y")]), path)
     assert sorted((r["document_id"], r["content"]) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "c"), (3, "y")]
+
+
+def test_lsh_recall_of_the_registered_query(spark):
+    from corpusgraph.plans import retrieval_queries as queries
+
+    d = "/root/testdata/sf0.01"
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    exact = pairs(retrieval.vector_search_many(queries.vectors(spark, d), queries.vector_queries(spark, d), 10))
+    found = pairs(retrieval.vector_search_lsh(queries.vectors(spark, d), queries.vector_queries(spark, d), 10, 64))
+    assert len(exact & found) / len(exact) >= 0.9
