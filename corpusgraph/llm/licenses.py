@@ -48,6 +48,30 @@ FAMILIES = (
     ("psf", "python", r"(?:python software foundation|python) licen[sc]e{v}", ("2",)),
 )
 
+# Short names and SPDX ids, which count only where a license is granted. (label, keywords of the prefilter, name; {s} is a version)
+SHORT = (
+    ("agpl", "agpl", r"(?:gnu )?agpl{s}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl{s}"),
+    ("gpl", "gpl", r"(?:gnu )?gpl{s}"),
+    ("apache", "apache|asl", r"(?:apache|asl){s}"),
+    ("mit", "mit|expat", r"mit(?: 0)?|expat"),
+    ("bsd", "bsd|0bsd", r"0 ?bsd|bsd"),
+    ("mpl", "mpl", r"mpl{s}"),
+    ("epl", "epl", r"epl{s}"),
+    ("cddl", "cddl", r"cddl{s}"),
+    ("isc", "isc", r"isc"),
+    ("zlib", "zlib", r"zlib"),
+    ("boost", "bsl|boost", r"(?:bsl|boost){s}"),
+    ("artistic", "artistic", r"artistic{s}"),
+    ("odbl", "odbl", r"odbl{s}"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl{s}"),
+    ("ofl", "ofl", r"(?:sil )?ofl{s}"),
+    ("eupl", "eupl", r"eupl{s}"),
+    ("psf", "psf|python", r"psf{s}|python 2 0"),
+)
+#: Of the version that may follow a short name, also without a space, and the priority beyond which grants are too weak for one.
+SHORT_VERSION, SHORT_GRANTS = r"(?:(?: version)? ?v?[1-9](?: [0-9])?)?(?: or later| only)?", 25
+
 # How a license is given. (priority, score, pattern; {n} is the name). The first of a set of overlapping detections is the one of lowest priority number.
 GRANTS = (
     (10, 1.0, r"spdx license identifier {n}"),
@@ -85,7 +109,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """Every grant of every family, in order of priority; a pattern stands between spaces."""
+    """Every grant of every family and the strong ones of every short name, in order of priority; a pattern stands between spaces."""
     out = []
     for order, (label, keyword, name, versions) in enumerate(FAMILIES):
         version = rf"(?: (?:version |v)?(?:{'|'.join(sorted(versions, key=len, reverse=True))}))?(?: or later| only)?" if versions else "(?: or later| only)?"
@@ -93,6 +117,13 @@ def rules() -> list[Rule]:
         for priority, score, grant in GRANTS:
             pattern = re.compile(b"(?<= )" + grant.replace("{n}", named).encode() + b"(?= )")
             out.append(Rule(priority * 100 + order, score, label, keyword.encode(), pattern))
+    for order, (label, keywords, name) in enumerate(SHORT):
+        keyword = "|".join(k + v for k in keywords.split("|") for v in ("", *(f"{x}{i}" for x in ("", "v") for i in range(1, 10) if "{s}" in name)))
+        named = "(?:" + name.replace("{s}", SHORT_VERSION) + ")"
+        for priority, score, grant in GRANTS:
+            if priority <= SHORT_GRANTS:  # after the long names of the same grant
+                pattern = re.compile(b"(?<= )" + grant.replace("{n}", named).encode() + b"(?= )")
+                out.append(Rule(priority * 100 + 50 + order, score, label, keyword.encode(), pattern))
     for order, (priority, score, label, keyword, pattern) in enumerate(OTHERS):
         out.append(Rule(priority * 100 + 90 + order, score, label, keyword.encode(), re.compile(b"(?<= )" + pattern.encode() + b"(?= )")))
     return sorted(out, key=lambda r: r.priority)

@@ -67,3 +67,15 @@ def test_odd_rows(spark):
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     check([(r["doc_id"], r["text"]) for r in docs.orderBy("doc_id").collect()], licenses.scan(docs).orderBy("doc_id").collect())
+
+
+def test_short_names():
+    tags = "AGPL-3.0-only:agpl LGPL-2.1:lgpl GPL-3.0-or-later:gpl Apache-2.0:apache MIT:mit BSD-3-Clause:bsd 0BSD:bsd MPL-2.0:mpl EPL-2.0:epl CDDL-1.0:cddl CC0-1.0:cc0 CC-BY-NC-ND-4.0:cc-by-nc-nd CC-BY-NC-SA-4.0:cc-by-nc-sa CC-BY-NC-4.0:cc-by-nc CC-BY-ND-4.0:cc-by-nd CC-BY-SA-4.0:cc-by-sa CC-BY-4.0:cc-by ISC:isc Zlib:zlib BSL-1.0:boost Artistic-2.0:artistic Unlicense:unlicense WTFPL:wtfpl ODbL-1.0:odbl GFDL-1.3-only:gfdl OFL-1.1:ofl EUPL-1.2:eupl PSF-2.0:psf"
+    cases = {f"SPDX-License-Identifier: {t.split(':')[0]}": t.split(":")[1] for t in tags.split()}
+    assert {label for label, *_ in licenses.FAMILIES} == set(cases.values())
+    cases |= {"released under the GPL v3": "gpl", "released under the GPLv2": "gpl", "licensed under Apache 2.0": "apache", "licensed under the Apache License 2.0": "apache"}
+    scanner = licenses.Scanner()
+    for text, label in cases.items():
+        folded = b" " + b" ".join(text.encode().translate(licenses._FOLD).split()) + b" "
+        assert [d.label for d in scanner.detect(folded)] == [label], text
+    assert not scanner.detect(b" he went to mit and saw apache and gpl ")
