@@ -188,8 +188,9 @@ def word_tokens(c: C) -> Column:
     return F.filter(F.split(F.lower(_c(c)), r"\s+"), lambda w: w != "")
 
 
-def sanitize_embed_input(c: C, limit: int = 32_000) -> Column:
-    return F.substring(F.coalesce(F.nullif(strip(c), F.lit("")), F.lit("[empty]")), 1, limit)
+def sanitize_embed_input(c: C, limit: int | None = 32_000) -> Column:
+    whole = F.coalesce(F.nullif(strip(c), F.lit("")), F.lit("[empty]"))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def truncate(c: C, n: int) -> Column:

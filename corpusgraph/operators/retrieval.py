@@ -92,8 +92,8 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int,
 
 
 def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Offline default of the embedder: normalized counts of words by hash place."""
-    each = df.select(key, F.explode(T.word_tokens(T.sanitize_embed_input(text))).alias("w")).withColumn("place", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int"))
+    """Offline default of the embedder: normalized counts of words by hash place, over the whole text."""
+    each = df.select(key, F.explode(T.word_tokens(T.sanitize_embed_input(text, None))).alias("w")).withColumn("place", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int"))
     counts = each.groupBy(key, "place").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
     return counts.select(key, raw.alias("raw")).select(key, T.l2_normalize("raw").alias("embedding"))

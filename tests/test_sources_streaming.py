@@ -82,3 +82,9 @@ def test_lsh_recall_of_the_registered_query(spark):
     exact = pairs(retrieval.vector_search_many(queries.vectors(spark, d), queries.vector_queries(spark, d), 10))
     found = pairs(retrieval.vector_search_lsh(queries.vectors(spark, d), queries.vector_queries(spark, d), 10, 64))
     assert len(exact & found) / len(exact) >= 0.9
+
+
+def test_embedding_of_whole_text(spark):
+    df = spark.createDataFrame([(1, "a " * 20_000 + "tail"), (2, "a " * 20_000)], "k int, content string")
+    got = {r["k"]: r["embedding"] for r in retrieval.hashed_embeddings(df, "k", "content").collect()}
+    assert got[1] != got[2]
