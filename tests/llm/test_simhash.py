@@ -165,18 +165,19 @@ def test_near_copies_are_verified(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == sorted(i for i, _ in rows)
 
 
-@pytest.mark.parametrize("part", [1 << 21, 1500])
-def test_similar_links(spark, part, monkeypatch):
+@pytest.mark.parametrize("part, leaders", [(1 << 21, 16), (1500, 16), (900, 2), (1500, 1)])
+def test_similar_links(spark, part, leaders, monkeypatch):
     monkeypatch.setattr(simhash, "PART_SHINGLES", part)
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
     rng, rows = np.random.default_rng(3), [(0, ""), (1, "one"), (2, "one two")]
     words = rng.integers(0, 10**6, 80).astype(str)
     for i in range(3, 60):  # a chain with jumps
         words[rng.integers(0, 80, rng.integers(1, 5))] = str(i)
         rows.append((i, " ".join(words)))
-    docs = simhash.with_row_names(spark.createDataFrame(rows, "doc_id long, text string"))
-    prints = simhash.fingerprints(docs, 5, 42, simhash.ROW, 1, sets=True)
+    docs = simhash.with_row_names(spark.createDataFrame([*rows, rows[9], rows[9]], "doc_id long, text string"))
+    prints = simhash.sketches(docs, 5, 42, simhash.ROW)
     got = {r["doc_id"]: r["id"] for r in prints.collect()}
-    links = simhash.similar_links(docs, prints.withColumn("root", simhash.F.lit(7)), 5, 42, 0.8).collect()
+    links = simhash.similar_links(docs, prints.distinct().withColumn("root", simhash.F.lit(7).cast("long")), 5, 42, 0.8).collect()
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
     true = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
     want = [(i, j) for i in range(60) for j in range(i) if true(sets[i], sets[j])]
@@ -190,3 +191,25 @@ def test_similar_links(spark, part, monkeypatch):
     at = {x: i for i, x in got.items()}
     assert 3 < len(groups(want)) < 60
     assert groups([(at[r["a"]], at[r["b"]]) for r in links]) == groups(want)
+
+
+def test_band_links_of_hot_buckets(spark):
+    """Buckets that are cut give a superset of the links."""
+    rng = np.random.default_rng(1)
+    words, rows = rng.integers(0, 10**6, 100).astype(str), []
+    for i in range(120):
+        copy = words.copy()
+        copy[rng.integers(0, 100, 2)] = str(i)
+        rows.append((i, " ".join(copy)))
+    nodes = simhash.sketches(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    for node_rows in (20_000, 10):
+        links = simhash.band_links(nodes, 18, node_rows).collect()
+        label = {r["id"]: r["id"] for r in nodes.collect()}
+        for r in links:
+            label = {k: (label[r["a"]] if v == label[r["b"]] else v) for k, v in label.items()}
+        assert len(links) < 2 * 120 and len(set(label.values())) == 1
+
+
+def test_one_root(spark):
+    links = spark.createDataFrame([(1, 5), (2, 5), (3, 5), (2, 6), (3, 6), (6, 7)], "a long, b long")
+    assert sorted(map(tuple, simhash.one_root(links).collect())) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 6), (6, 7)]
