@@ -209,14 +209,26 @@ def normalize_space(c: C) -> Column:
     return F.trim(_sub(_c(c), r"\s+", " "))
 
 
+# The marks between the fields of a graph record and at its end.
+KG_DELIMITERS = ("<|#|>", "<|COMPLETE|>")
+
+
 def sanitize_kg_field(c: C, kind: str = "field") -> Column:
-    """A field of a graph record: no separators or line ends; an empty type is Other, an empty relation related_to; relations have underscores, keywords spaces."""
-    t = normalize_space(_sub(_c(c), r"<\|[^|]*\|>|[\r\n\t]", " "))
+    """A field of a graph record, without delimiters, white space as single spaces; null counts as empty.
+
+    An empty type is Other. Relations have underscores for spaces, and an empty one is related_to; keywords have spaces for
+    underscores, and empty ones are "related to".
+    """
+    t = F.coalesce(_c(c), F.lit(""))
+    for mark in KG_DELIMITERS:
+        t = F.replace(t, F.lit(mark), F.lit(" "))
+    t = strip(_sub(t, r"(?U)\s+", " "))
+    or_else = lambda x, other: F.coalesce(F.nullif(x, F.lit("")), F.lit(other))
     if kind == "type":
-        return F.coalesce(F.nullif(t, F.lit("")), F.lit("Other"))
+        return or_else(t, "Other")
     if kind == "relation":
-        return F.coalesce(F.nullif(_sub(F.lower(t), r"\s+", "_"), F.lit("")), F.lit("related_to"))
-    return _sub(t, "_", " ") if kind == "keywords" else t
+        return or_else(F.replace(t, F.lit(" "), F.lit("_")), "related_to")
+    return or_else(F.replace(t, F.lit("_"), F.lit(" ")), "related to") if kind == "keywords" else t
 
 
 def clip_caption(c: C, n: int = 500) -> Column:

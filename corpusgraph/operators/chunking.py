@@ -72,10 +72,30 @@ def _fold(parts: Column, limit: int, glue: str) -> Column:
 
 
 def pack_paragraphs(c: Column, max_tokens: int = 512) -> Column:
-    """Pieces of four characters a token at most: paragraphs joined, over-long ones cut at sentence ends."""
+    """Pieces of four characters a token at most: paragraphs joined by blank lines, the sentences of over-long ones by spaces.
+
+    An over-long paragraph begins a piece of its own, and what follows it may join its last sentences. Only a sentence longer than
+    the limit makes a longer piece. A text within the limit is its own piece as it is; a null text gives null.
+    """
     limit = max_tokens * 4
-    cut = F.flatten(F.transform(F.split(c, r"\n\s*\n"), lambda p: F.when(F.length(p) > limit, _fold(F.split(p, r"(?<=[.!?])\s+"), limit, " ")).otherwise(F.array(p))))
-    return F.when(F.length(c) <= limit, F.array(c)).otherwise(F.filter(F.transform(_fold(cut, limit, "\n\n"), F.trim), lambda x: x != ""))
+    unit = lambda text, glue, opens: F.struct(text.alias("text"), F.lit(glue).alias("glue"), opens.alias("opens"))
+    sentences = lambda p: F.transform(F.split(p, r"(?U)(?<=[.!?])\s+"), lambda x, i: unit(x, " ", i == 0))
+    units = F.flatten(F.transform(F.split(c, r"(?U)\n\s*\n"), lambda p: F.when(F.length(p) > limit, sentences(p)).otherwise(F.array(unit(p, "\n\n", F.lit(False))))))
+
+    def step(state: Column, u: Column) -> Column:
+        done, open_ = state["done"], state["open"]
+        closes = u["opens"] | (F.length(open_) + F.length(u["text"]) + F.length(u["glue"]) > limit)
+        closed = F.when(closes & (open_ != ""), F.array_append(done, T.strip(open_))).otherwise(done)
+        joined = F.when(closes | (open_ == ""), u["text"]).otherwise(F.concat(open_, u["glue"], u["text"]))
+        return F.struct(closed.alias("done"), joined.alias("open"))
+
+    def finish(state: Column) -> Column:
+        last = T.strip(state["open"])
+        whole = F.when(last != "", F.array_append(state["done"], last)).otherwise(state["done"])
+        return F.when(F.size(whole) > 0, whole)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    return F.when(F.length(c) <= limit, F.array(c)).when(c.isNotNull(), F.coalesce(F.aggregate(units, start, step, finish), F.array(c)))
 
 
 def sentence_windows(c: Column, limit: int = 900) -> Column:

@@ -166,13 +166,42 @@ def decode_graph_log(log: DataFrame, column: str = "output") -> tuple[DataFrame,
     return e, r
 
 
+# Marks of generated triplets that carry nothing.
+TRIPLET_NOISE = ("<s>", "<pad>", "</s>", "tp_XX", "__en__")
+
+
 def decode_triplets(c: Column) -> Column:
-    """array<struct<head, head_type, tail, tail_type, relation>> of `<triplet> head <type> tail <type> relation` strings."""
-    runs = F.filter(F.split(c, "<triplet>"), lambda x: F.trim(x) != "")
-    one = lambda t: F.regexp_extract_all(t, F.lit(r"([^<>]+)|(<[^<>]+>)"), 0)
-    clean = lambda x: F.trim(F.regexp_replace(x, r"[<>]", ""))
-    rows = F.transform(runs, lambda t: F.transform(one(t), clean))
-    return F.transform(F.filter(rows, lambda p: F.size(p) >= 5), lambda p: F.struct(*[F.get(p, F.lit(i)).alias(n) for i, n in enumerate(("head", "head_type", "tail", "tail_type", "relation"))]))
+    """array<struct<head, head_type, tail, tail_type, relation>> of `<triplet> head <type> tail <type> relation` strings.
+
+    A head may be followed by several `<type> tail <type> relation` groups, each a triplet of its own; <relation> begins a head like
+    <triplet>. The last triplet counts if head, tail and relation are there, the others if they have a relation. Null gives null.
+    """
+    bare = c
+    for mark in TRIPLET_NOISE:
+        bare = F.replace(bare, F.lit(mark), F.lit(""))
+    tokens = F.filter(F.split(bare, r"(?U)\s+"), lambda t: t != "")
+    names = ("head", "head_type", "tail", "tail_type", "relation")
+    row = lambda s: F.struct(*[(s[n] if n.endswith("type") else F.trim(s[n])).alias(n) for n in names])
+    # reads: what a plain word belongs to ("" before the first head)
+    start = F.struct(F.lit("").alias("reads"), *[F.lit("").alias(n) for n in names], F.array().cast("array<struct<head:string,head_type:string,tail:string,tail_type:string,relation:string>>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        heads = t.isin("<triplet>", "<relation>")
+        kind = ~heads & F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">"))
+        first = kind & s["reads"].isin("head", "relation")  # the type of the head, after which a tail begins
+        second = kind & ~first  # the type of the tail, after which a relation begins
+        word = lambda n: F.when(~heads & ~kind & (s["reads"] == n), F.concat(s[n], F.lit(" "), t))
+        name = F.substr(t, F.lit(2), F.length(t) - 2)
+        return F.struct(
+            F.when(heads, "head").when(first, "tail").when(second, "relation").otherwise(s["reads"]).alias("reads"),
+            F.when(heads, "").otherwise(F.coalesce(word("head"), s["head"])).alias("head"), F.when(first, name).otherwise(s["head_type"]).alias("head_type"),
+            F.when(first, "").otherwise(F.coalesce(word("tail"), s["tail"])).alias("tail"), F.when(second, name).otherwise(s["tail_type"]).alias("tail_type"),
+            F.when(heads | second, "").otherwise(F.coalesce(word("relation"), s["relation"])).alias("relation"),
+            F.when((heads | first) & (s["relation"] != ""), F.array_append(s["out"], row(s))).otherwise(s["out"]).alias("out"),
+        )
+
+    whole = lambda s: (F.trim(s["head"]) != "") & (F.trim(s["tail"]) != "") & (F.trim(s["relation"]) != "")
+    return F.aggregate(tokens, start, step, lambda s: F.when(whole(s), F.array_append(s["out"], row(s))).otherwise(s["out"]))
 
 
 def build_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,9 +25,9 @@ def query(name: str, sql: str | None):
     return add
 
 
-@query("t6_chat_history", "SELECT conv_id, turn, role FROM conversations WHERE conv_id % 2 = 0")
+@query("t6_chat_history", "SELECT conv_id, turn, role FROM conversations")
 def _(spark, d):
-    return S.messages(spark, d).filter("conv_id % 2 = 0").orderBy("conv_id", "turn").select("conv_id", "turn", "role")
+    return S.messages(spark, d).orderBy("conv_id", "turn").select("conv_id", "turn", "role")
 
 
 @query("tx2_clean_answers", "SELECT conv_id, turn, trim(text) AS clean FROM conversations")
@@ -140,18 +140,18 @@ def _(spark, d):
     return C.decode_sse(log(spark, d).select("session", "seq", F.posexplode(lines).alias("i", "line")).select("session", (F.col("seq") * 4 + F.col("i")).alias("seq"), "line"))
 
 
-# Evaluation rows: each labelled document's first line answers.
+# Evaluation rows: each labelled document is an answer.
 def answers(spark, d):
     docs = S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id")
     cite = F.when(F.col("doc_id") % 4 == 0, " [1]").when(F.col("doc_id") % 4 == 1, " not contain [2]. [1, 2]").when(F.col("doc_id") % 4 == 2, " <unused7>:").otherwise(" no information")
     return docs.select(
-        F.col("doc_id").alias("id"), F.concat(F.element_at(F.split("text", "\n"), 1), cite).alias("answer"), F.array(F.lit("the"), F.lit("zzz"), F.lit("An")).alias("expected_keywords"),
+        F.col("doc_id").alias("id"), F.concat("text", cite).alias("answer"), F.array(F.lit("the"), F.lit("zzz"), F.lit("An")).alias("expected_keywords"),
         (F.col("toxic") == 1).alias("expected_refuse"), F.when(F.col("doc_id") % 5 == 0, "vi").otherwise("en").alias("language"), (F.col("doc_id") % 4).cast("int").alias("source_count"),
         F.col("source").alias("category"), (F.col("doc_id") % 100).cast("double").alias("latency_ms"),
     )
 
 
-_ANSWER = "string_split(text, chr(10))[1] || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' not contain [2]. [1, 2]' WHEN 2 THEN ' <unused7>:' ELSE ' no information' END"
+_ANSWER = "text || CASE doc_id % 4 WHEN 0 THEN ' [1]' WHEN 1 THEN ' not contain [2]. [1, 2]' WHEN 2 THEN ' <unused7>:' ELSE ' no information' END"
 EVAL = f"""a AS (SELECT doc_id AS id, {_ANSWER} AS answer, toxic = 1 AS refuse, CASE WHEN doc_id % 5 = 0 THEN 'vi' ELSE 'en' END AS language, doc_id % 4 AS n, source AS category, CAST(doc_id % 100 AS DOUBLE) AS latency FROM documents JOIN labels USING (doc_id)),
 w AS (SELECT *, len(list_filter(string_split_regex(answer, '\\s+'), lambda x: x <> '')) AS words, lower(answer) AS low FROM a),
 f AS (SELECT *, contains(low, 'not contain') AS ref, contains(low, 'not contain') OR contains(low, 'no information') AS pha, regexp_matches(answer, '\\[(?:IMG-)?\\d+\\]') AS cit, len(list_distinct(regexp_extract_all(answer, '\\[(\\d+)\\]', 1))) AS cited,
@@ -191,11 +191,13 @@ def _(spark, d):
     return C.eval_overall(C.evaluate(answers(spark, d))).withColumn("overall", F.round("overall", 6))
 
 
-@query("a14_synth_eval", "SELECT source AS synthesizer, round(avg((doc_id % 10 / 10 + doc_id % 4 / 4) / 2), 6) AS avg_score, count(*) AS n FROM documents GROUP BY source")
+@query("a14_synth_eval", "WITH r AS (SELECT source, doc_id % 10 / 10 AS substance, doc_id % 4 / 4 AS utilization FROM documents) SELECT 'synthesizer' AS kind, source AS name, round(avg((substance + utilization) / 2), 6) AS avg_score, NULL::DOUBLE AS pass_rate, count(*) AS n FROM r GROUP BY source UNION ALL SELECT 'metric', 'substance', round(avg(substance), 6), round(avg((substance >= 0.5)::INT), 6), NULL FROM r UNION ALL SELECT 'metric', 'utilization', round(avg(utilization), 6), round(avg((utilization >= 0.5)::INT), 6), NULL FROM r")
 def _(spark, d):
     i = F.col("doc_id")
     r = S.table(spark, d, "documents").select(i.alias("id"), F.col("source").alias("synthesizer"), F.create_map(F.lit("substance"), i % 10 / 10, F.lit("utilization"), i % 4 / 4).alias("metrics"))
-    return C.synth_eval_summary(r)[1].withColumn("avg_score", F.round("avg_score", 6))
+    by_metric, by_synthesizer = C.synth_eval_summary(r)
+    both = by_metric.withColumn("kind", F.lit("metric")).unionByName(by_synthesizer.withColumnRenamed("synthesizer", "name").withColumn("kind", F.lit("synthesizer")), allowMissingColumns=True)
+    return both.withColumns({c: F.round(c, 6) for c in ("avg_score", "pass_rate")})
 
 
 @query("m14_parse_question_batches", "SELECT item_id AS batch, 0 AS place, 'Q' || item_id AS question, text AS answer FROM benchmark")
@@ -219,6 +221,47 @@ def markdown(spark, d):
     return S.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
 
 
+def _sentences(text: str) -> str:
+    return f"string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+def _strip(text: str) -> str:
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _windows(text: str, limit: int) -> str:
+    """Sentences of a text in windows of at most `limit` characters, as list_reduce over lists of one sentence."""
+    grown = f"CASE WHEN len(done) = 0 THEN s WHEN length(done[-1]) + length(s[1]) + 1 <= {limit} THEN list_concat(done[1:len(done) - 1], [done[-1] || ' ' || s[1]]) ELSE list_concat(done, s) END"
+    return f"list_filter(list_reduce(list_transform({_sentences(text)}, lambda x: [x]), lambda done, s: {grown}, CAST([] AS VARCHAR[])), lambda x: trim(x) <> '')"
+
+
+def _packed(text: str, limit: int) -> str:
+    """Paragraphs of a text in pieces, as list_reduce over lists of one unit; the last unit of the list is the open piece."""
+    unit = lambda x, glue, opens: f"{{'text': {x}, 'glue': {glue}, 'opens': {opens}}}"
+    cut = f"list_transform({_sentences('p')}, lambda x, i: [{unit('x', repr(' '), 'i = 1')}])"
+    units = f"flatten(list_transform(string_split_regex({text}, '\\n\\s*\\n'), lambda p: CASE WHEN length(p) > {limit} THEN {cut} ELSE [[{unit('p', 'chr(10) || chr(10)', 'false')}]] END))"
+    joined = unit("CASE WHEN done[-1].text = '' THEN u[1].text ELSE done[-1].text || u[1].glue || u[1].text END", "''", "false")
+    step = f"CASE WHEN len(done) = 0 THEN u WHEN u[1].opens OR length(done[-1].text) + length(u[1].text) + length(u[1].glue) > {limit} THEN list_concat(done, u) ELSE list_concat(done[1:len(done) - 1], [{joined}]) END"
+    none = "CAST([] AS STRUCT(text VARCHAR, glue VARCHAR, opens BOOLEAN)[])"
+    pieces = f"list_filter(list_transform(list_reduce({units}, lambda done, u: {step}, {none}), lambda x: {_strip('x.text')}), lambda x: x <> '')"
+    return f"CASE WHEN length({text}) <= {limit} THEN [{text}] ELSE {pieces} END"
+
+
+def _markdown_of(html: str) -> str:
+    t = html
+    for tag in ("script", "style", "nav", "footer", "head"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', '', 'g')"
+    t = f"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')"
+    for k in range(1, 7):
+        t = f"regexp_replace({t}, '(?is)<h{k}\\b[^>]*>(.*?)</h{k}>', chr(10) || '{'#' * k} \\1' || chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?is)<li\\b[^>]*>', chr(10) || '- ', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?is)</?(p|div|br|ul|ol|tr|table|section|article)\\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g')"
+    for entity, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{entity}', {char})"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    return _strip(f"regexp_replace({t}, '\\n{{2,}}', chr(10) || chr(10), 'g')")
+
+
 MD = f"{S.CHUNKS}, md AS (SELECT document_id, chunk_index AS i, CASE chunk_index % 6 WHEN 0 THEN '# H' || chunk_index WHEN 2 THEN '## S' || chunk_index WHEN 4 THEN '|a|b|' ELSE content END AS line FROM chunks)"
 
 
@@ -232,14 +275,18 @@ def _(spark, d):
     return K.extract_tables(markdown(spark, d)).select("document_id", "table_no", "num_rows", "num_cols")
 
 
-@query("c2_split_sections", f"WITH {MD}, s AS (SELECT document_id, i, line, i // 6 * 6 AS h, CASE WHEN i % 6 >= 2 THEN i // 6 * 6 + 2 END AS sub FROM md WHERE i % 6 NOT IN (0, 2)), x AS (SELECT document_id, h, sub, string_agg(CASE WHEN i % 6 = 4 THEN '|a|b|' || chr(10) || '|---|---|' || chr(10) || '|1|2|' ELSE line END, chr(10) ORDER BY i) AS content FROM s GROUP BY document_id, h, sub) SELECT document_id, 'H' || h || CASE WHEN sub IS NULL THEN '' ELSE ' > S' || sub END AS path, trim(content) AS content FROM x WHERE trim(content) <> ''")
+SECTIONS = f"""{MD}, s AS (SELECT document_id, i, line, i // 6 * 6 AS h, CASE WHEN i % 6 >= 2 THEN i // 6 * 6 + 2 END AS sub FROM md WHERE i % 6 NOT IN (0, 2)),
+sections AS (SELECT document_id, h, sub, 'H' || h || CASE WHEN sub IS NULL THEN '' ELSE ' > S' || sub END AS path, {_strip("string_agg(CASE WHEN i % 6 = 4 THEN '|a|b|' || chr(10) || '|---|---|' || chr(10) || '|1|2|' ELSE line END, chr(10) ORDER BY i)")} AS content FROM s GROUP BY document_id, h, sub HAVING content <> '')"""
+
+
+@query("c2_split_sections", f"WITH {SECTIONS} SELECT document_id, path, content FROM sections")
 def _(spark, d):
     return K.split_sections(markdown(spark, d)).select("document_id", F.array_join("heading_path", " > ").alias("path"), "content")
 
 
-@query("c4_chunk_markdown", None)
+@query("c4_chunk_markdown", f"WITH {SECTIONS}, p AS (SELECT document_id, h, coalesce(sub, h) AS spot, path, {_packed('content', 256)} AS pieces FROM sections), u AS (SELECT document_id, spot, path, i, pieces[i] AS content FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM p)) SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY spot, i) - 1 AS INT) AS chunk_index, content, path, contains(content, '|') AND contains(content, '---') AS has_table, contains(content, '```') AS has_code, path || ': ' || left(content, 100) AS contextualized FROM u")
 def _(spark, d):
-    return K.chunk_markdown(markdown(spark, d), 64)
+    return K.chunk_markdown(markdown(spark, d), 64).withColumn("path", F.array_join("heading_path", " > ")).drop("heading_path")
 
 
 @query("c1_chunk_recursive", None)
@@ -247,12 +294,12 @@ def _(spark, d):
     return K.chunk_recursive(S.table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
-@query("c5_sentence_windows", None)
+@query("c5_sentence_windows", f"WITH w AS (SELECT doc_id, {_windows('text', 900)} AS w FROM documents) SELECT doc_id, CAST(i - 1 AS INT) AS window, w[i] AS content FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w)")
 def _(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(K.sentence_windows(F.col("text"))).alias("window", "content"))
 
 
-@query("c10_html_to_markdown", None)
+@query("c10_html_to_markdown", f"SELECT page_id, {_markdown_of('html')} AS markdown FROM pages")
 def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", K.html_to_markdown(F.col("html")).alias("markdown"))
 
@@ -293,11 +340,11 @@ def _(spark, d):
     return K.inject_table_captions(m, m.filter("document_id % 2 = 0").select("document_id", F.lit("a|b").alias("key"), F.lit("Letters").alias("caption")))
 
 
-@query("c6_split_for_embedding", None)
+@query("c6_split_for_embedding", f"WITH w AS (SELECT doc_id, {_windows('text', 1600)} AS w FROM documents), p AS (SELECT doc_id, flatten(list_transform(w, lambda s: CASE WHEN length(s) > 1600 THEN list_transform(range(0, length(s) - 200, 1400), lambda i: substring(s, i + 1, 1600)) ELSE [s] END)) AS p FROM w) SELECT doc_id, CAST(i - 1 AS INT) AS part, p[i] AS input FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM p)")
 def _(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(K.split_for_embedding(F.col("text"))).alias("part", "input"))
 
 
-@query("c3_pack_paragraphs", None)
+@query("c3_pack_paragraphs", f"WITH t AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents), p AS (SELECT doc_id, {_packed('text', 512)} AS p FROM t) SELECT doc_id, CAST(i - 1 AS INT) AS piece, p[i] AS content FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM p)")
 def _(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.posexplode(K.pack_paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")), 128)).alias("piece", "content"))

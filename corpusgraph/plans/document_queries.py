@@ -275,9 +275,13 @@ def _(spark, d):
     return dedup.dedup_stats(S.chunks(spark, d))
 
 
-@query("tx6_search_keys", "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS match_form FROM documents WHERE lang <> 'de'")
+_MATCH = "trim(regexp_replace(regexp_replace(lower(strip_accents(replace(text, 'ß', ' '))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_NEEDLE = "left(trim(regexp_replace(regexp_replace(coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], ''), '[`*_>#|]', ' ', 'g'), '\\s+', ' ', 'g')), 220)"
+
+
+@query("tx6_search_keys", f"SELECT doc_id, {_MATCH} AS match_form, left(regexp_replace({_MATCH}, '\\s+', '-', 'g'), 80) AS slug, {_NEEDLE} AS needle FROM documents")
 def _(spark, d):
-    return S.table(spark, d, "documents").filter("lang <> 'de'").select("doc_id", T.match_form("text").alias("match_form"))
+    return S.table(spark, d, "documents").select("doc_id", T.match_form("text").alias("match_form"), T.heading_slug("text").alias("slug"), T.search_needle("text").alias("needle"))
 
 
 @query("w7_page_numbers", f"WITH {S.CHUNKS} SELECT document_id, chunk_index, CAST(1 + coalesce(sum(CASE WHEN content LIKE '%.' AND length(content) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page FROM chunks")

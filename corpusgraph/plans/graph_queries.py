@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import text as T
 from corpusgraph.operators import graph as G
 
 from . import standins as S
@@ -148,23 +149,34 @@ def _(spark, d):
     return G.ensure_entities(known, G.merge_relations(relations(spark, d)))
 
 
-@query("tx5_decode_graph_log", "SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'Other' ELSE 'Supplier' END AS type, 'sells' AS description FROM supplier")
+@query("tx5_decode_graph_log", "SELECT 0 AS part, s_name AS a, CASE WHEN s_suppkey % 2 = 0 THEN 'Other' ELSE 'Supplier' END AS b, 'sells' AS c, '' AS d FROM supplier UNION ALL SELECT 1, s_name, 'NATION_1', CASE WHEN s_suppkey % 3 = 0 THEN 'related to' ELSE 'Sells From' END, 'it does' FROM supplier")
 def _(spark, d):
     s = S.table(spark, d, "supplier")
-    kind = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("Supplier")
-    log = s.select(F.concat(F.lit("entity<|#|>"), "s_name", F.lit("<|#|>"), kind, F.lit("<|#|>sells\nnoise line\nrelation<|#|>"), "s_name", F.lit("<|#|>NATION_1<|#|>sells_from<|#|>it does\n<|COMPLETE|>")).alias("output"))
-    return G.decode_graph_log(log)[0]
+    kind, words = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("Supplier"), F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise("Sells_From")
+    log = s.select(F.concat(F.lit("entity<|#|>"), "s_name", F.lit("<|#|>"), kind, F.lit("<|#|>sells\nnoise line\nrelation<|#|>"), "s_name", F.lit("<|#|>NATION_1<|#|>"), words, F.lit("<|#|>it does\n<|COMPLETE|>")).alias("output"))
+    e, r = G.decode_graph_log(log)
+    return e.select(F.lit(0).alias("part"), F.col("name").alias("a"), F.col("type").alias("b"), F.col("description").alias("c"), F.lit("").alias("d")).unionByName(r.select(F.lit(1).alias("part"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("keywords").alias("c"), F.col("description").alias("d")))
 
 
-@query("g3_decode_triplets", "SELECT s_name AS head, 'NATION_' || s_nationkey AS tail, 'sells from' AS relation FROM supplier")
+@query("s24_record_fields", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'related_to' ELSE 'Works_At_' || l_returnflag END AS relation, CASE WHEN l_linenumber % 3 = 0 THEN 'related to' ELSE 'Works At ' || l_returnflag END AS keywords, CASE WHEN l_linenumber % 3 = 0 THEN 'Other' ELSE 'Works At ' || l_returnflag END AS type, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE 'Works At ' || l_returnflag END AS field FROM lineitem")
 def _(spark, d):
-    s = S.table(spark, d, "supplier").select(F.concat(F.lit("<triplet> "), "s_name", F.lit(" <org> NATION_"), F.col("s_nationkey").cast("string"), F.lit(" <loc> sells from")).alias("t"))
-    return s.select(F.explode(G.decode_triplets(F.col("t"))).alias("x")).select("x.head", "x.tail", "x.relation")
+    raw = F.when(F.col("l_linenumber") % 3 == 0, F.lit(" <|#|>\n")).otherwise(F.concat(F.lit("Works\r\n<|COMPLETE|>At\t"), "l_returnflag", F.lit("<|#|>")))
+    return S.table(spark, d, "lineitem").withColumn("x", raw).select("l_orderkey", "l_linenumber", *[T.sanitize_kg_field("x", k).alias(k) for k in ("relation", "keywords", "type", "field")])
+
+
+@query("g3_decode_triplets", "SELECT s_suppkey, s_name AS head, 'org' AS head_type, 'NATION_' || s_nationkey AS tail, 'loc' AS tail_type, 'sells from' AS relation FROM supplier UNION ALL SELECT s_suppkey, s_name, 'per', 'the region', 'loc', 'Lies In' FROM supplier UNION ALL SELECT s_suppkey, 'NATION_' || s_nationkey, 'loc', s_name, 'org', 'hosts' FROM supplier WHERE s_suppkey % 2 = 0")
+def _(spark, d):
+    nation = F.concat(F.lit("NATION_"), F.col("s_nationkey").cast("string"))
+    more = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit(" <relation> "), nation, F.lit(" <loc> "), "s_name", F.lit(" <org> hosts"))).otherwise(" <triplet> left <x> open <y>")
+    log = F.concat(F.lit("tp_XX<s> <triplet> "), "s_name", F.lit(" <org> "), nation, F.lit(" <loc> sells  from <per> the region <loc> Lies In"), more, F.lit("</s><pad>"))
+    s = S.table(spark, d, "supplier").select("s_suppkey", F.explode(G.decode_triplets(log)).alias("x"))
+    return s.select("s_suppkey", "x.*")
 
 
 @query("g5_build_graph", None)
 def _(spark, d):
-    return G.build_graph(S.chunks(spark, d))[1]
+    nodes, edges = G.build_graph(S.chunks(spark, d))
+    return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("documents").alias("n")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").alias("n")))
 
 
 @query("g4_record_lines", f"WITH {S.GRAPH} SELECT 'entity<|#|>' || id || '<|#|>' || entity_type || '<|#|>' || description AS line FROM nodes UNION ALL SELECT 'relation<|#|>' || source || '<|#|>' || target || '<|#|>place<|#|>' || description FROM edges")
