@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,14 +85,10 @@ LEGAL_PHRASES = (
 
 
 def is_boilerplate(c: C) -> Column:
-    t = strip(c)
-    whole = F.lit(False)
-    for p in BOILERPLATE:
-        whole = whole | t.rlike("(?iuU)" + p)
-    legal = F.lit(False)
-    for phrase in LEGAL_PHRASES:
-        legal = legal | F.contains(F.lower(t), F.lit(phrase))
-    return whole | ((F.length(t) < 300) & legal)
+    """Whether a text is a page mark, a rule, a notice or the like; null for null. The text is stripped once and met by one pattern."""
+    whole = "(?iuU)" + "|".join(f"(?:{p})" for p in BOILERPLATE)
+    legal = "|".join(re.escape(phrase) for phrase in LEGAL_PHRASES)
+    return let(strip(c), lambda t: t.rlike(whole) | ((F.length(t) < 300) & F.lower(t).rlike(legal)))
 
 
 def format_citation(file: C, page: C, path: C) -> Column:
@@ -106,6 +104,7 @@ def source_label(id_: C, file: C, page: C, path: C) -> Column:
     return F.concat(F.lit("Source ["), _c(id_), F.lit("]"), F.when(inside != "", F.concat(F.lit(" ("), inside, F.lit(")"))).otherwise(""), F.lit(":"))
 
 
+# Fixed value: the form of citations.
 _CITED = r"\[(?:[a-z0-9]+|IMG-[a-z0-9]+)(?:,\s*(?:[a-z0-9]+|IMG-[a-z0-9]+))*\]"
 
 
@@ -119,6 +118,7 @@ def strip_citations(c: C) -> Column:
     return strip(_sub(_sub(_c(c), r"\s*" + _CITED), r"\n{3,}", "\n\n"))
 
 
+# The patterns of Markdown marks, in the order they go.
 def markdown_to_text(c: C) -> Column:
     """Plain text of Markdown: fences give their inner lines, marks go."""
     t = strip_citations(c)
@@ -320,6 +320,7 @@ def parse_custom_metadata(c: C) -> Column:
 
 def is_small_talk(c: C) -> Column:
     t = normalize_text(c)
+    # Fixed value: greetings and thanks.
     greeting = (
         r"(?iuU)^(?:hi|hello|hey|alo|xin\s*chao|xin\s*chào|chao|chào|ok|okay|vâng|vang|da|dạ|thanks?|thank\s*you|cam\s*on|cảm\s*ơn|"
         r"bye|goodbye|tam\s*biet|tạm\s*biệt|hen\s*gap\s*lai|hẹn\s*gặp\s*lại)(?:[\s!,.?]+)?$"
@@ -327,6 +328,7 @@ def is_small_talk(c: C) -> Column:
     return (t == "") | ((F.length(t) <= 80) & t.rlike(greeting))
 
 
+# Fixed value: Vietnamese accented letters.
 _VIETNAMESE = "áàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ"
 
 
@@ -336,14 +338,21 @@ def diacritic_ratio(c: C) -> Column:
     return F.try_divide(marked.cast("double"), F.length(_sub(_c(c), r"[^\p{L}]")))
 
 
-def citation_id(query: C, rank: C) -> Column:
+def citation_id(query: C, rank: C, attempt: C | None = None) -> Column:
     """Four characters of a-z and 0-9 with a letter first, from a hash of (query, rank); the same for the same answer."""
     alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
-    h = F.xxhash64(_c(query), _c(rank))
+    h = F.xxhash64(_c(query), _c(rank), *([] if attempt is None else [_c(attempt)]))
     at = lambda shift, n: F.substring(F.lit(alphabet), (F.pmod(F.shiftrightunsigned(h, shift), F.lit(n)) + 1).cast("int"), F.lit(1))
     return F.concat(at(0, 26), at(12, 36), at(24, 36), at(36, 36))
 
 
+def citation_ids(query: C, n: C, attempts: int = 20) -> Column:
+    """Array of n different citation ids of a query: a rank whose id is taken gets the next attempt's."""
+    made = lambda r: F.concat(F.array(citation_id(query, r)), F.transform(F.sequence(F.lit(1), F.lit(attempts)), lambda a: citation_id(query, r, a)))
+    free = lambda done, r: F.get(F.array_except(made(r), done), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(1), _c(n)), F.array().cast("array<string>"), lambda done, r: F.array_append(done, free(done, r)))
+
+
 def dot(a: C, b: C) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -169,8 +169,13 @@ def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def assemble_chat_context(hits: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """query_id, context: labelled sources with citation ids, then the images (query_id, asset_id, page_no, caption) as a list."""
-    label = T.source_label(T.citation_id("query_id", "rank"), "file", "page_no", "heading_path")
+    """query_id, context: labelled sources with citation ids, then the images (query_id, asset_id, page_no, caption) as a list.
+
+    The ids of one query's sources differ. Without hits there is no row.
+    """
+    most = F.max("rank").over(Window.partitionBy("query_id"))
+    hits = hits.withColumn("_ids", T.citation_ids("query_id", most.cast("int")))
+    label = T.source_label(F.get("_ids", F.col("rank") - 1), "file", "page_no", "heading_path")
     joined = lambda df, order, line, glue: df.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), glue).alias("t"))
     out = joined(hits, "rank", F.concat(label, F.lit("\n"), F.col("content")), "\n\n").withColumnRenamed("t", "context")
     if images is None:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.sources.shared import write_table
+
+#: Words of all questions up to which they are broadcast; more are joined by shuffling.
+BROADCAST_TERMS = 200_000
 
 
 def rank_by(partition: str, *order) -> Column:
@@ -31,21 +35,23 @@ def vector_search(vectors: DataFrame, query: list[float], k: int, where: Column
 
 
 def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Vectors (key, unit) in blocks of about `rows`, dealt by hash."""
+    """Vectors (key, unit) in blocks of about `rows` of one dimension, dealt by hash."""
     blocks = F.greatest(F.lit(1), F.ceil(F.lit(df.count()) / rows))
-    return df.withColumn("block", F.pmod(F.xxhash64(key), blocks)).groupBy("block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "unit")).alias("rows"))
+    dealt = df.withColumns({"block": F.pmod(F.xxhash64(key), blocks), "dim": F.size("unit")})
+    return dealt.groupBy("dim", "block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "unit")).alias("rows"))
 
 
-def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, query_rows: int = 1024) -> DataFrame:
-    """query_id, chunk_id, distance, rank: the k nearest vectors of each query (query_id, embedding), exactly.
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, query_rows: int = 1024, where: Column | None = None) -> DataFrame:
+    """query_id, chunk_id, distance, rank: the k nearest vectors (of those that meet where) of each query (query_id, embedding), exactly.
 
-    Vectors and queries are packed into blocks, and each pair of blocks is one matrix product in a task, whose k best for each query
-    are all that is shuffled. Zero vectors are at distance 1; vectors of another dimension than the query's take no part.
+    Vectors and queries are packed into blocks, and each pair of blocks of one dimension is one matrix product in a task, whose k best
+    for each query are all that is shuffled. Ranks go by the distance rounded to 9 places, then chunk_id. Zero vectors are at distance
+    1; null vectors and vectors of another dimension than the query's take no part; empty tables give no rows.
     """
-    unit = lambda df, key: df.filter("embedding is not null").select(key, T.l2_normalize("embedding").alias("unit"))
-    v = _packed(unit(vectors, "chunk_id"), "chunk_id", block_rows).select(F.col("rows").alias("v_rows"))
-    q = _packed(unit(queries, "query_id"), "query_id", query_rows).select(F.col("rows").alias("q_rows"), F.col("block").alias("q_block"))
-    pairs = v.crossJoin(q).repartition("q_block", F.rand(3))  # blocks against blocks, not rows against rows
+    unit = lambda df, key: df.filter("embedding is not null").select(F.col(key).cast("long").alias(key), T.l2_normalize("embedding").alias("unit"))
+    v = _packed(unit(vectors if where is None else vectors.filter(where), "chunk_id"), "chunk_id", block_rows).select("dim", F.col("rows").alias("v_rows"))
+    q = _packed(unit(queries, "query_id"), "query_id", query_rows).select("dim", F.col("rows").alias("q_rows"), F.col("block").alias("q_block"))
+    pairs = v.join(q, "dim").repartition("q_block", F.rand(3))  # blocks against blocks, not rows against rows
 
     def run(batches):
         import numpy as np
@@ -53,21 +59,16 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block_row
 
         for batch in batches:
             for i in range(batch.num_rows):
-                vs, qs = batch.column("v_rows")[i].as_py(), batch.column("q_rows")[i].as_py()
-                out = {"query_id": [], "chunk_id": [], "distance": []}
-                for dim in {len(x["unit"]) for x in qs}:
-                    mine, asked = [x for x in vs if len(x["unit"]) == dim], [x for x in qs if len(x["unit"]) == dim]
-                    if not mine:
-                        continue
-                    ids = np.array([x["key"] for x in mine])
-                    distance = 1 - np.array([x["unit"] for x in asked]) @ np.array([x["unit"] for x in mine]).T
-                    for row, x in zip(distance, asked, strict=True):
-                        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-12) if len(row) > k else np.arange(len(row))
-                        best = near[np.lexsort((ids[near], row[near]))][:k]
-                        out["query_id"] += [x["key"]] * len(best)
-                        out["chunk_id"] += ids[best].tolist()
-                        out["distance"] += row[best].tolist()
-                yield pa.RecordBatch.from_pydict({c: pa.array(x, t) for (c, x), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+                dim, vs, qs = batch.column("dim")[i].as_py(), batch.column("v_rows")[i].values, batch.column("q_rows")[i].values
+                matrix = lambda x: x.field("unit").flatten().to_numpy().reshape(len(x), dim)
+                ids, asked = vs.field("key").to_numpy(), qs.field("key").to_numpy()
+                distance = np.round(1 - matrix(qs) @ matrix(vs).T, 9)
+                out = []
+                for row, query in zip(distance, asked.tolist(), strict=True):
+                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
+                    best = near[np.lexsort((ids[near], row[near]))][:k]
+                    out.append((np.full(len(best), query), ids[best], row[best]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "chunk_id", "distance"])
 
     found = pairs.mapInArrow(run, "query_id long, chunk_id long, distance double")
     return found.withColumn("rank", rank_by("query_id", "distance", "chunk_id")).filter(F.col("rank") <= k)
@@ -92,71 +93,97 @@ def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int,
 
 
 def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Offline default of the embedder: normalized counts of words by hash place, over the whole text."""
-    each = df.select(key, F.explode(T.word_tokens(T.sanitize_embed_input(text, None))).alias("w")).withColumn("place", F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int"))
+    """Offline default of the embedder: normalized counts of words by the first two hex digits of their MD5, over the whole text. Null or blank texts count as [empty]."""
+    each = df.select(key, F.explode(T.word_tokens(T.sanitize_embed_input(text, None))).alias("w")).withColumn("place", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % dim)
     counts = each.groupBy(key, "place").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
     raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
     return counts.select(key, raw.alias("raw")).select(key, T.l2_normalize("raw").alias("embedding"))
 
 
-def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "content", batch: int = 32) -> DataFrame:
-    """df with embedding, from a pluggable model, in batches; a batch that fails is halved until the bad row is alone, which gets an empty vector."""
+def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, text: str = "content", batch: int = 32, tries: int = 2) -> DataFrame:
+    """df with embedding and embed_error, from a pluggable model, in batches.
+
+    A batch that fails `tries` times is halved until the bad row is alone, which gets a zero vector of dim and the message. NaN
+    components are 0.
+    """
 
-    def run(rows: list[str]) -> list[list[float]]:
-        try:
-            return [[0.0 if x != x else float(x) for x in v] for v in model(rows)]
-        except Exception:
-            return [[]] if len(rows) == 1 else run(rows[: len(rows) // 2]) + run(rows[len(rows) // 2 :])
+    def run(rows: list[str]) -> list[tuple[list[float], str | None]]:
+        for _ in range(tries):
+            try:
+                return [([0.0 if x != x else float(x) for x in v], None) for v in model(rows)]
+            except Exception as e:
+                said = f"{type(e).__name__}: {e}"
+        return [([0.0] * dim, said)] if len(rows) == 1 else run(rows[: len(rows) // 2]) + run(rows[len(rows) // 2 :])
 
-    @F.pandas_udf("array<double>")
-    def vectors(s: pd.Series) -> pd.Series:
-        return pd.Series([v for i in range(0, len(s), batch) for v in run(s.iloc[i : i + batch].tolist())])
+    @F.pandas_udf("embedding array<double>, embed_error string")
+    def vectors(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([v for i in range(0, len(s), batch) for v in run(s.iloc[i : i + batch].tolist())], columns=["embedding", "embed_error"])
 
-    return df.withColumn("embedding", vectors(T.sanitize_embed_input(text)))
+    return df.withColumn("_v", vectors(T.sanitize_embed_input(text))).select(*df.columns, "_v.embedding", "_v.embed_error")
 
 
 # --- words ---------------------------------------------------------------------------------------------------------------------
 
+Tokenizer = Callable[[Column], Column]
 
-def postings(chunks: DataFrame, tokens: Column | None = None) -> DataFrame:
-    """chunk_id, term, tf, dl of each word of each chunk."""
-    words = chunks.select("chunk_id", (tokens if tokens is not None else T.word_tokens("content")).alias("w"))
-    each = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    return each.groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
+def term_counts(chunks: DataFrame, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+    """term, df, words: chunks that have a term; the row of the null term counts all chunks and their words. One pass over the texts."""
+    words = F.coalesce(tokens(F.col("content")), F.array().cast("array<string>"))
+    each = chunks.select(words.alias("w")).select(F.size("w").alias("dl"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(None).cast("string")))).alias("term"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("words"))
 
-def lexical_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n (chunks), avgdl."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.word_tokens("content"))).alias("avgdl"))
 
+def lexical_stats(counts: DataFrame) -> DataFrame:
+    """One row: n (chunks), avgdl; none for no chunks."""
+    return counts.filter("term is null").select(F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
 
-def bm25_idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+
+def bm25_idf(counts: DataFrame) -> DataFrame:
     """term, df, idf; a negative idf becomes a quarter of the mean over all terms."""
-    df = posted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
+    total = counts.filter("term is null").select(F.col("df").alias("n"))
+    raw = counts.filter("term is not null").crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row, as total
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """query_id, chunk_id, score for chunks that share a word with the query; a word counts as often as the query has it."""
-    posted, stats = postings(chunks), lexical_stats(chunks)
-    asked = queries.select("query_id", F.explode(T.word_tokens("question")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    met = asked.join(bm25_idf(posted, stats), "term").join(posted, "term").crossJoin(F.broadcast(stats))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-
-
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each query; chunks without a common word score 0 and rank by their id if there are not k others.
+def bm25_scores(chunks: DataFrame, queries: DataFrame, counts: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+    """query_id, chunk_id, score for chunks that share a word with the query; a word counts as often as the query has it.
 
-    Only the k smallest ids can fill up with zeros, so those alone are paired with the queries.
+    counts are the chunks' term_counts. Words that no question has are dropped before anything is grouped.
     """
-    scores = bm25_scores(chunks, queries)
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-    zeros = queries.select("query_id").join(F.broadcast(first)).join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = scores.unionByName(zeros).withColumn("rank", rank_by("query_id", F.desc(F.round("score", 9)), "chunk_id"))
-    return ranked.filter(F.col("rank") <= k)
+    stats = lexical_stats(counts).first()
+    avgdl = float(stats["avgdl"] or 1) if stats else 1.0
+    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    weights = write_table(asked.join(bm25_idf(counts), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "bm25-weights")
+    few = F.broadcast if weights.count() <= BROADCAST_TERMS else lambda df: df
+    each = chunks.select("chunk_id", tokens(F.col("content")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    posted = each.join(few(weights.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    return posted.join(few(weights), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+    """query_id, chunk_id, score, rank: the k best chunks of each query, by the score rounded to 9 places, then chunk_id.
+
+    With where, the chunks that do not meet it are not there: they count in no statistic. Chunks without a common word score 0, so
+    they rank above negative scores (of words most chunks have). Only queries with less than k positive scores need them: then the k
+    smallest ids without a score, which are among the first k + (scored chunks of the query). Null texts have no words; empty tables
+    give no rows.
+    """
+    chunks = chunks if where is None else chunks.filter(where)
+    counts = write_table(term_counts(chunks, tokens), "bm25-terms")
+    best = lambda df: df.withColumn("rank", rank_by("query_id", F.desc(F.round("score", 9)), "chunk_id")).filter(F.col("rank") <= k)
+    top = write_table(best(bm25_scores(chunks, queries, counts, tokens=tokens)), "bm25-top")
+    enough = top.filter("score > 5e-10").groupBy("query_id").count().filter(F.col("count") >= k)
+    short = write_table(queries.join(enough, "query_id", "left_anti").select("query_id", "question").distinct(), "bm25-short")
+    if not short.head(1):
+        return top
+    scored = write_table(bm25_scores(chunks, short, counts, tokens=tokens).select("query_id", "chunk_id"), "bm25-scored")
+    most = scored.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    first = chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
+    zeros = short.select("query_id").crossJoin(first).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return best(top.drop("rank").unionByName(zeros))
 
 
 # --- both ----------------------------------------------------------------------------------------------------------------------
@@ -187,32 +214,87 @@ def rerank(candidates: DataFrame, score: Column, k: int, min_score: float = 0.15
     return kept.withColumn("rank", F.when(F.col("passed"), F.col("by_score")).otherwise(F.col("ordinal"))).drop("passed", "by_score")
 
 
-def assemble_context(hits: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """query_id, context of ranked hits (query_id, rank, content, file, page_no, heading_path), headed by graph insights (query_id, insights)."""
-    block = F.concat(F.lit("### ["), F.col("rank").cast("string"), F.lit("] "), T.format_citation("file", "page_no", "heading_path"), F.lit("\n"), F.col("content"), F.lit("\n"))
-    parts = hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n").alias("sections"))
-    parts = parts.withColumn("sections", F.concat(F.lit("## Retrieved Document Sections\n"), F.col("sections")))
-    if graph is None:
-        return parts.withColumnRenamed("sections", "context")
-    met = parts.join(graph, "query_id", "full")
-    head = F.when(F.coalesce("insights", F.lit("")) != "", F.concat(F.lit("## Knowledge Graph Insights\n"), F.col("insights"), F.lit("\n")))
-    text = F.nullif(F.concat_ws("\n", head, "sections"), F.lit(""))
-    return met.select("query_id", F.coalesce(text, F.lit("No relevant documents found for this query.")).alias("context"))
+# Headings and words of the context text.
+CONTEXT_HEADS = {"graph": "## Knowledge Graph Insights", "hits": "## Retrieved Document Sections", "images": "## Available Document Images", "tables": "## Available Document Tables"}
+NOTHING_FOUND = "No relevant documents found for this query."
+
+
+def _section(df: DataFrame, head: str, order: list[str], line: Column, name: str) -> DataFrame:
+    """query_id and the lines of a query in order under a heading, with an empty line at the end."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(*order, line.alias("_l")))), lambda x: x["_l"])
+    return df.groupBy("query_id").agg(F.concat(F.lit(CONTEXT_HEADS[head] + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias(name))
+
+
+def assemble_context(hits: DataFrame, graph: DataFrame | None = None, images: DataFrame | None = None, tables: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, context: graph insights (query_id, insights), ranked hits, images and tables of a query, each under its heading.
+
+    hits: query_id, rank, content, file, page_no, heading_path; images: query_id, document_id, page_no, asset_id, caption; tables have
+    num_rows and num_cols besides. With queries every query has a row, and one without anything says so; empty insights count as none.
+    """
+    cited = F.concat(F.lit("### ["), F.col("rank").cast("string"), F.lit("] "), T.format_citation("file", "page_no", "heading_path"), F.lit("\n"), F.col("content"))
+    parts = [_section(hits, "hits", ["rank"], F.concat(cited, F.lit("\n")), "h").withColumn("h", F.expr("substring(h, 1, length(h) - 1)"))]
+    caption = F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit(': "'), "caption", F.lit('"'))).otherwise("")
+    page = F.col("page_no").cast("string")
+    if graph is not None:
+        said = graph.filter("coalesce(insights, '') <> ''")
+        parts.append(said.select("query_id", F.concat(F.lit(CONTEXT_HEADS["graph"] + "\n"), "insights", F.lit("\n")).alias("g")))
+    order = ["document_id", "page_no", "asset_id"]
+    if images is not None:
+        parts.append(_section(images, "images", order, F.concat(F.lit("- Image p."), page, caption, F.lit(" (id: "), "asset_id", F.lit(")")), "i"))
+    if tables is not None:
+        size = F.concat(F.lit(" ("), F.col("num_rows").cast("string"), F.lit("x"), F.col("num_cols").cast("string"), F.lit(")"))
+        parts.append(_section(tables, "tables", order, F.concat(F.lit("- Table p."), page, size, caption), "t"))
+    met = queries.select("query_id").distinct() if queries is not None else parts.pop(0)
+    for p in parts:
+        met = met.join(p, "query_id", "left" if queries is not None else "full")
+    text = F.concat_ws("\n", *[F.col(c) for c in ("g", "h", "i", "t") if c in met.columns])
+    return met.select("query_id", F.coalesce(F.nullif(text, F.lit("")), F.lit(NOTHING_FOUND)).alias("context"))
 
 
 def assemble_context_flat(hits: DataFrame) -> DataFrame:
+    """query_id, context: the cited hits of a query between rules."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), T.format_citation("file", "page_no", "heading_path"), F.lit("\n"), F.col("content"))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 8, mode: str = "hybrid", prefetch: int = 20, min_score: float = 0.15) -> DataFrame:
-    """Hybrid retrieval of many questions: query_id, rank, chunk_id, channel, score, content.
+def page_assets(hits: DataFrame, assets: DataFrame) -> DataFrame:
+    """query_id and the assets (document_id, page_no, asset_id, ...) on the pages above 0 of its hits, each once."""
+    pages = hits.filter("page_no > 0").select("query_id", "document_id", "page_no").distinct()
+    return pages.join(assets, ["document_id", "page_no"]).dropDuplicates(["query_id", "asset_id"])
+
 
-    chunks (chunk_id, content), queries (query_id, question); vectors are the offline default's. mode vector_only leaves words out.
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 8, mode: str = "hybrid", prefetch: int = 20, min_score: float = 0.15, where: Column | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Retrieval of many questions: query_id, rank, channel, score and the columns of chunks.
+
+    chunks (chunk_id, content, ...), queries (query_id, question); where picks the chunks to search, by any of their columns. vectors
+    (chunk_id, embedding) are the offline default's unless given. max(prefetch, 3 k) vector hits and as many keyword hits are merged
+    and reranked; mode vector_only leaves the words out.
     """
     n = max(prefetch, 3 * k)
-    hits = vector_search_many(hashed_embeddings(chunks, "chunk_id", "content"), hashed_embeddings(queries, "query_id", "question"), n)
-    words = bm25_search(chunks, queries, n) if mode == "hybrid" else hits.limit(0)
-    merged = merge_hybrid(hits, words.select("query_id", "chunk_id", "rank"))
-    full = merged.join(chunks.select("chunk_id", "content"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
-    return rerank(full, coverage_score(), k, min_score).select("query_id", "rank", "chunk_id", "channel", "score", "content")
+    chunks = chunks if where is None else chunks.filter(where)
+    v = hashed_embeddings(chunks, "chunk_id", "content") if vectors is None else vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    hits = vector_search_many(v, hashed_embeddings(queries, "query_id", "question"), n)
+    words = bm25_search(chunks, queries, n) if mode != "vector_only" else hits.limit(0)
+    merged = write_table(merge_hybrid(hits, words.select("query_id", "chunk_id", "rank")), "candidates")  # 2 n rows a query at most
+    full = merged.join(chunks, "chunk_id").join(queries.select("query_id", "question"), "query_id")
+    return rerank(full, coverage_score(), k, min_score).select("query_id", "rank", "channel", "score", *chunks.columns)
+
+
+def retrieve_vector(chunks: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
+    """Vector search alone: query_id, rank, distance and the columns of chunks, nearest first, without reranking."""
+    chunks = chunks if where is None else chunks.filter(where)
+    hits = write_table(vector_search_many(hashed_embeddings(chunks, "chunk_id", "content"), hashed_embeddings(queries, "query_id", "question"), k), "vector-hits")
+    return hits.join(chunks, "chunk_id").select("query_id", "rank", "distance", *chunks.columns)
+
+
+def answer_contexts(chunks: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataFrame, images: DataFrame, tables: DataFrame, k: int = 8, mode: str = "hybrid", where: Column | None = None) -> DataFrame:
+    """query_id, context: the whole way from a question to the text that answers are written from.
+
+    Hits of retrieve (chunks have document_id, file, page_no, heading_path), insights of the graph (but in vector_only), images and
+    tables on the pages of the hits.
+    """
+    from corpusgraph.operators.graph import graph_context
+
+    hits = write_table(retrieve(chunks, queries, k, mode, where=where), "hits")  # k rows a query at most
+    graph = graph_context(queries, nodes, edges) if mode != "vector_only" else None
+    return assemble_context(hits, graph, page_assets(hits, images), page_assets(hits, tables), queries)

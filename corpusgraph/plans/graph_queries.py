@@ -78,13 +78,18 @@ def asked(spark, d):
 
 
 ASKED = "asked AS (SELECT DISTINCT query_id, 'Which nation_1? Customer#00000000' || (query_id % 10) || ' or re, of furniture' AS question FROM (SELECT min(o_custkey) AS query_id FROM orders GROUP BY o_orderpriority, o_orderstatus))"
-MATCHED = f"""{S.GRAPH}, {ASKED}, kw AS (SELECT DISTINCT query_id, regexp_replace(w, '^[.,?!:;"''()\\[\\]{{}}]+|[.,?!:;"''()\\[\\]{{}}]+$', '', 'g') AS kw FROM (SELECT query_id, unnest(string_split_regex(lower(question), '\\s+')) AS w FROM asked)),
+def matched_sql() -> str:
+    """Entities and edges that the questions of asked name; needs the graph and asked."""
+    return """kw AS (SELECT DISTINCT query_id, regexp_replace(w, '^[.,?!:;"\'\'()\\[\\]{}]+|[.,?!:;"\'\'()\\[\\]{}]+$', '', 'g') AS kw FROM (SELECT query_id, unnest(string_split_regex(lower(question), '\\s+')) AS w FROM asked)),
 pieces AS (SELECT DISTINCT id, unnest(list_concat([lower(id)], string_split(lower(id), '-'))) AS piece FROM nodes),
 found AS (SELECT DISTINCT query_id, id FROM kw, pieces WHERE length(kw) >= 2 AND (contains(piece, kw) OR contains(kw, piece))),
 matched AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY id) AS INT) AS place FROM found QUALIFY place <= 20),
 rels AS (SELECT query_id, source, target, description, CAST(row_number() OVER (PARTITION BY query_id ORDER BY source, target, description) AS INT) AS place FROM (SELECT DISTINCT query_id, source, target, edges.description FROM matched JOIN edges ON lower(source) = lower(id) OR lower(target) = lower(id)) QUALIFY place <= 30)"""
 
 
+MATCHED = f"{S.GRAPH}, {ASKED}, {matched_sql()}"
+
+
 @query("j4_match_entities", f"WITH {MATCHED} SELECT query_id, id, place FROM matched")
 def _(spark, d):
     return G.match_entities(asked(spark, d), S.nodes(spark, d))
