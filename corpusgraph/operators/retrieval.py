@@ -75,12 +75,22 @@ def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block_row
 
 
 def lsh_buckets(df: DataFrame, key: str, dim: int, tables: int = 40, bits: int = 5, seed: int = 7) -> DataFrame:
-    """Sign-random-projection buckets: (key, table, bucket), a row for each table."""
-    import numpy as np
+    """Sign-random-projection buckets: (key, table, bucket), a row for each table. Null vectors and those of another dimension give none."""
 
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    bucket = [F.array_join(F.array(*[F.when(T.dot("embedding", F.array(*[F.lit(float(x)) for x in p])) >= 0, "1").otherwise("0") for p in t]), "") for t in planes]
-    return df.select(key, F.posexplode(F.array(*bucket)).alias("table", "bucket"))
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
+        for batch in batches:
+            x = np.array(batch.column("embedding").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
+            signs = (x @ planes.T >= 0).reshape(len(x), tables, bits)
+            buckets = signs @ (1 << np.arange(bits))
+            keys = np.repeat(batch.column(key).to_numpy(), tables)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(buckets.ravel().astype(np.int64))], [key, "table", "bucket"])
+
+    whole = df.filter(F.size("embedding") == dim).select(F.col(key).cast("long").alias(key), F.transform("embedding", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("embedding"))
+    return whole.mapInArrow(run, f"{key} long, table int, bucket long")
 
 
 def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 40, bits: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.files import read_table
+
 STATUSES = ("PENDING", "PARSING", "PROCESSING", "INDEXING", "INDEXED", "FAILED")
 TYPES = ("pdf", "txt", "md", "exe")
 
@@ -14,7 +16,7 @@ def _pick(values: tuple, by):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:

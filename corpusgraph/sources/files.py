@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 EVAL_SCHEMA = "id string, category string, user_input string, reference string, reference_contexts array<string>, synthesizer_name string, response string, source_count int, latency_ms double, metrics map<string,double>"
 
 
+#: A table of less bytes than this for each core is dealt to all cores after the scan.
+DEAL_BYTES = 16 << 20
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one may be a single row group, which only one task can read: it is dealt to all cores, a larger one never is."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # the planner's estimate, from the file listing
+    return df.repartition(cores) if 1 << 20 < size < DEAL_BYTES * cores else df
+
+
 def read_text_documents(spark: SparkSession, path: str) -> DataFrame:
     """path, filename, file_type, file_size, page_count, text of .txt and .md files; .txt that is not UTF-8 is read as Latin-1, .md then as UTF-8 with replacement."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
