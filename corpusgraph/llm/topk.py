@@ -14,44 +14,58 @@ from .common import write_table
 
 #: Vectors of a candidate block (whose sorted lists one task reads) and of a query block.
 BLOCK_ROWS, QUERY_ROWS = 8192, 512
-#: Depths, as shares of a list, at which bounds are compared.
-DEPTHS = (0.05, 0.15, 0.3, 0.5, 0.75, 1.0)
+#: Part of a list that is read first; each further step doubles what is read.
+FIRST_STEP = 32
+#: Query blocks for which a task sorts the lists of a candidate block once.
+QUERY_BLOCKS = 64
 
 
-def nra_top(lists: np.ndarray, queries: np.ndarray, k: int, depths: tuple = DEPTHS) -> list[np.ndarray]:
-    """For each query, candidates among which are all its k best (with all ties of the k-th): rows of `lists` (candidates, dimensions).
+class SortedLists:
+    """A block of candidates (rows, dimensions) with each dimension sorted by value, once for all queries."""
 
-    Each dimension is a list sorted by value, read from its top for positive weights of the query and from its bottom for negative
-    ones. At each depth a candidate's lower bound takes the worst value of the lists in which it is not seen yet, its upper bound the
-    value at the depth reached. A candidate whose upper bound is below the k-th lower bound is out; once no unseen candidate (the sum
-    of the values at that depth) can qualify and k remain, or everything is read, reading stops. Values are integers, kept in
-    doubles, so sums below 2**53 are exact.
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        order = np.argsort(values, axis=0, kind="stable")
+        self.place = np.empty(order.shape, np.int32)  # from the bottom
+        np.put_along_axis(self.place, order, np.arange(len(values), dtype=np.int32)[:, None], axis=0)
+        self.ascending = np.take_along_axis(values, order, axis=0)
+
+
+def nra_top(lists: SortedLists, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query, rows of the block among which are all its k best (with all ties of the k-th), and their scores.
+
+    A list is read from its top for positive weights of the query and from its bottom for negative ones, twice as deep at each step.
+    A candidate's lower bound takes the worst value of the lists in which it is not met yet, and only what a step reads is added to
+    it; its upper bound takes the value at the depth reached. A candidate whose upper bound is below the k-th lower bound is out,
+    met or not, and is read no further. Once no others than k can qualify, the rest of the lists is read for those, which closes
+    their bounds. Values are integers, kept in doubles, so sums below 2**53 are exact.
     """
-    n, dims = lists.shape
-    order = np.argsort(lists, axis=0, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(n)[:, None], axis=0)  # from the bottom
-    ascending = np.take_along_axis(lists, order, axis=0)
-    low, high = ascending[0], ascending[-1]
+    n = len(lists.values)
+    low, high = lists.ascending[0], lists.ascending[-1]
     plus, minus = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
-    open_, out = np.arange(len(queries)), [None] * len(queries)
-    worst = (plus @ low + minus @ high)[:, None]  # of a candidate seen nowhere
-    for depth in depths:
-        t = min(n, max(1, int(np.ceil(depth * n))))
-        top, bottom = place >= n - t, place < t
-        at_top, at_bottom = ascending[n - t], ascending[t - 1]
-        p, m = plus[open_], minus[open_]
-        lower = worst[open_] + np.where(top, lists - low, 0.0).dot(p.T).T + np.where(bottom, lists - high, 0.0).dot(m.T).T
-        reach = p @ at_top + m @ at_bottom  # of a candidate seen nowhere
-        upper = reach[:, None] + np.where(top, lists - at_top, 0.0).dot(p.T).T + np.where(bottom, lists - at_bottom, 0.0).dot(m.T).T
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        alive = upper >= kth[:, None]
-        done = (alive.sum(axis=1) <= max(k, n // 50)) | (t == n)
+    open_, rows, out = np.arange(len(queries)), np.arange(n), [None] * len(queries)
+    lower = np.repeat((plus @ low + minus @ high)[:, None], n, axis=1)
+    read, t = 0, max(1, n // FIRST_STEP)
+    while len(open_):
+        t, place, values = min(n, t), lists.place[rows], lists.values[rows]
+        above, below, p, m = values - low, values - high, plus[open_], minus[open_]
+        new_top, new_bottom = (place >= n - t) & (place < n - read), (place < t) & (place >= read)
+        lower += p @ np.where(new_top, above, 0.0).T + m @ np.where(new_bottom, below, 0.0).T
+        unmet_top, unmet_bottom = place < n - t, place >= t
+        if t < n:
+            reach = (p * (lists.ascending[n - t] - low)) @ unmet_top.T + (m * (lists.ascending[t - 1] - high)) @ unmet_bottom.T
+        else:
+            reach = 0.0
+        kth = np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(open_), -np.inf)
+        alive = lower + reach >= kth[:, None]
+        done = (alive.sum(axis=1) <= 2 * k) | (t == n)
         for i in np.flatnonzero(done).tolist():
-            out[open_[i]] = np.flatnonzero(alive[i])
-        open_ = open_[~done]
-        if not len(open_):
-            break
+            mine = np.flatnonzero(alive[i])
+            rest = np.where(unmet_top[mine], above[mine], 0.0) @ p[i] + np.where(unmet_bottom[mine], below[mine], 0.0) @ m[i]
+            out[open_[i]] = rows[mine], lower[i, mine] + rest
+        keep = alive[~done].any(axis=0) if not done.all() else np.zeros(len(rows), bool)
+        open_, lower, rows = open_[~done], lower[~done][:, keep], rows[keep]
+        read, t = t, 2 * t
     return out
 
 
@@ -69,8 +83,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     length are compared (the score of empty ones is 0). Equal vectors are one candidate with its k + 1 smallest distinct ids, each
     as often as it is given (k times at most), which is all that can matter once a query's own id is taken out. A query row given twice counts once; a query without an id takes no part; empty tables give no rows.
 
-    Candidates are packed into blocks of BLOCK_ROWS vectors and queries into blocks of QUERY_ROWS; each pair of blocks is a task's
-    row. A block gives k rows (besides the query's own) for each query, which a second step merges.
+    Candidates are packed into blocks of BLOCK_ROWS vectors and queries into blocks of QUERY_ROWS; each pair of blocks is a row, and
+    rows of one candidate block are dealt so that its lists are sorted once for QUERY_BLOCKS of them. A block gives k rows (besides
+    the query's own) for each query, which a second step merges. On dense vectors of many dimensions most of each list has to be
+    read before the bounds part, so this costs more than a product of the whole block would.
     """
     spark = vectors.sparkSession
     by_vector = Window.partitionBy("v", "salt").orderBy(F.col("vec_id").asc_nulls_last())
@@ -89,23 +105,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         return dealt.groupBy("d", "block").agg(F.collect_list(F.struct(*names.split())).alias("rows"), F.first("blocks").cast("int").alias("blocks"))
 
     c = packed(same, BLOCK_ROWS, "v ids").select("d", F.col("block").alias("c_block"), F.col("rows").alias("c_rows"))
-    q = packed(asked, QUERY_ROWS, "v vec_id").select("d", F.col("rows").alias("q_rows"))
-    pairs = c.join(q, "d").repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.col("c_block"), F.rand(7))
+    q = packed(asked, QUERY_ROWS, "v vec_id").select("d", F.floor(F.col("block") / QUERY_BLOCKS).alias("q_part"), F.col("rows").alias("q_rows"))
+    pairs = c.join(q, "d").repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "d", "c_block", "q_part").sortWithinPartitions("d", "c_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lists = None, None
         for batch in batches:
             for row in range(batch.num_rows):
-                d = batch.column("d")[row].as_py()
+                d, block = batch.column("d")[row].as_py(), batch.column("c_block")[row].as_py()
                 cand, ask = batch.column("c_rows")[row].values, batch.column("q_rows")[row].values
                 matrix = lambda s: s.field("v").flatten().to_numpy().reshape(len(s), d).astype(float)
-                lists, ids, qs, names = matrix(cand), cand.field("ids"), matrix(ask), ask.field("vec_id").to_pylist()
+                if (d, block) != now:
+                    now, lists = (d, block), SortedLists(matrix(cand)) if d else None
+                ids, qs, names = cand.field("ids"), matrix(ask), ask.field("vec_id").to_pylist()
                 heads, flat = ids.offsets.to_numpy(), ids.values.to_pylist()
                 asking = set(names)
                 own = max(Counter(x for x in flat if x in asking).values(), default=0)  # so many more, for the query's own vectors
-                best = nra_top(lists, qs, k + own) if d else [np.arange(len(lists))] * len(qs)
+                best = nra_top(lists, qs, k + own) if d else [(np.arange(len(cand)), np.zeros(len(cand)))] * len(qs)
                 out = []
-                for name, found, vector in zip(names, best, qs, strict=True):
-                    scores = lists[found] @ vector
+                for name, (found, scores) in zip(names, best, strict=True):
                     rows = [(int(s), x) for s, c in zip(scores, found.tolist(), strict=True) for x in flat[heads[c] : heads[c + 1]] if x != name]
                     rows.sort(key=lambda r: (-r[0], r[1] is None, r[1] or 0))
                     out += [(name, x, s) for s, x in rows[:k]]

@@ -12,17 +12,17 @@ from corpusgraph.llm import topk
 def test_bounds_keep_the_best(seed, n, dims, k):
     rng = np.random.default_rng(seed)
     lists, queries = rng.integers(-6, 6, (n, dims)).astype(float), rng.integers(-6, 6, (3, dims)).astype(float)
-    for q, found in zip(queries, topk.nra_top(lists, queries, k), strict=True):
+    for q, (found, got) in zip(queries, topk.nra_top(topk.SortedLists(lists), queries, k), strict=True):
         scores = lists @ q
         need = np.sort(scores)[::-1][min(k, n) - 1]
-        assert set(np.flatnonzero(scores >= need)) <= set(found.tolist())
+        assert set(np.flatnonzero(scores >= need)) <= set(found.tolist()) and (got == scores[found]).all()
 
 
 def test_reading_stops_early():
     rng = np.random.default_rng(0)
     lists = rng.integers(0, 10, (2000, 3)).astype(float)
     lists[:5] += 1000
-    found = topk.nra_top(lists, np.ones((1, 3)), 5, (0.05, 1.0))[0]
+    found = topk.nra_top(topk.SortedLists(lists), np.ones((1, 3)), 5)[0][0]
     assert set(range(5)) <= set(found.tolist()) and len(found) < 100
 
 
