@@ -1,11 +1,13 @@
-"""License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment."""
+"""License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -146,28 +148,35 @@ class Scanner:
             for keyword in r.keyword.split(b"|"):
                 self.by_keyword.setdefault(b" " + keyword + b" ", []).append((i, r))
 
-    def detect(self, folded: bytes) -> list[Detection]:
-        """Detections in the words between spaces, in order of their place. Rules run in order of priority; a detection inside an interval already taken by a rule of lower number is suppressed, as is one that an equal interval was given before."""
+    def detect(self, folded: bytes, spaces: np.ndarray) -> list[Detection]:
+        """Detections in the words between spaces (given their places), in order of their place.
+
+        Rules run in order of priority; a detection inside or across an interval already taken by a rule of lower number is
+        suppressed, as is one around it, so the intervals that stand are apart.
+        """
         mine = {i: r for k, v in self.by_keyword.items() if k in folded for i, r in v}
-        taken, out = [], []
+        starts, ends, standing = [], [], []
         for _, rule in sorted(mine.items()):
             for m in rule.pattern.finditer(folded):
                 a, b = m.span()
-                if not any(s <= a and b <= e for s, e in taken):
-                    taken.append((a, b))
-                    out.append((a, b, rule))
-        spot = lambda at: folded.count(b" ", 0, at) - 1
-        return [Detection(spot(a), spot(b + 1), r.label, r.score) for a, b, r in sorted(out, key=lambda x: x[:2])]
-
-    def base(self, folded: bytes) -> tuple[list[int], set[str]]:
+                at = bisect_left(starts, b)
+                if not at or ends[at - 1] <= a:
+                    starts.insert(at, a)
+                    ends.insert(at, b)
+                    standing.insert(at, rule)
+        first = np.searchsorted(spaces, np.array(starts, np.int64)) - 1
+        last = np.searchsorted(spaces, np.array(ends, np.int64) + 1) - 1
+        return [Detection(i, j, r.label, r.score) for i, j, r in zip(first.tolist(), last.tolist(), standing, strict=True)]
+
+    def base(self, folded: bytes, spaces: np.ndarray) -> tuple[list[int], set[str]]:
         """Starts (words) of all places of the base phrases, and their labels."""
-        starts, labels = [], set()
+        places, labels = [], set()
         for phrase, label in BASE:
             needle, at = f" {phrase} ".encode(), -1
             while (at := folded.find(needle, at + 1)) >= 0:
-                starts.append(folded.count(b" ", 0, at))
+                places.append(at)
                 labels.add(label)
-        return starts, labels
+        return np.searchsorted(spaces, places).tolist(), labels
 
 
 def scan(docs: DataFrame, with_detections: bool = False) -> DataFrame:
@@ -185,8 +194,9 @@ def scan(docs: DataFrame, with_detections: bool = False) -> DataFrame:
             for text in texts(batch):
                 words = text.translate(_FOLD).split()
                 folded = b" " + b" ".join(words) + b" "
-                starts, base = scanner.base(folded)
-                found = scanner.detect(folded)
+                spaces = np.flatnonzero(np.frombuffer(folded, np.uint8) == 32)
+                starts, base = scanner.base(folded, spaces)
+                found = scanner.detect(folded, spaces)
                 labels = base | {d.label for d in found}
                 score = max([1.0 if base else 0.0, *(d.score for d in found)])
                 rows.append((len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [vars(d) for d in found]))
