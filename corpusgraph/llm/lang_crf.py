@@ -104,10 +104,9 @@ def forward_backward(scores: np.ndarray, valid: np.ndarray, moves: np.ndarray) -
         beta[:, t] = np.where(valid[:, t + 1, None], x, 1)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
-    pair = np.einsum("cti,ij,ctj->ctij", alpha[:, :-1], a, e[:, 1:] * beta[:, 1:]) if chains * steps <= 100_000 else None
-    if pair is not None:
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
-        expected = (pair * valid[:, 1:, None, None]).sum(axis=(0, 1))
+    for t in range(1, steps):
+        pair = alpha[:, t - 1, :, None] * a * (e[:, t] * beta[:, t])[:, None, :]
+        expected += (pair / pair.sum(axis=(1, 2), keepdims=True) * valid[:, t, None, None]).sum(axis=0)
     return gamma, expected
 
 
@@ -193,8 +192,6 @@ def train(labels: list[str], lexicon: np.ndarray, sample: list[tuple[str, bytes]
     pairs = gold.reshape(-1, CHAIN_WORDS)
     moved = np.zeros((n, n))
     np.add.at(moved, (pairs[:, :-1].ravel(), pairs[:, 1:].ravel()), 1)
-    moved *= 0.25  # texts switch more rarely than these chains
-    moved[np.diag_indices(n)] = moved.sum(axis=1) * 3
     params = [model.tri, model.affix, model.scale, model.moves]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     valid = np.ones((CHAINS, CHAIN_WORDS), bool)
@@ -206,7 +203,7 @@ def train(labels: list[str], lexicon: np.ndarray, sample: list[tuple[str, bytes]
         g_tri[TRIGRAMS] = 0
         g_affix = np.stack([np.bincount(affix.ravel(), np.tile(miss[:, k], 6), 6 * AFFIXES) for k in range(n)], axis=1)
         g_scale = np.concatenate([[(miss * model.lexicon[lex]).sum()], miss.sum(axis=0)])
-        g_moves = moved * (expected.sum() / moved.sum()) - expected
+        g_moves = moved - expected
         for k, (p, g) in enumerate(zip(params, (g_tri, g_affix, g_scale, g_moves), strict=True)):
             g = g / len(gold) - 1e-6 * p
             first[k] = 0.9 * first[k] + 0.1 * g
@@ -279,13 +276,18 @@ def predict(model: Model, data: list[bytes]) -> tuple[list[str], np.ndarray, Wor
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
-    """The documents (all their columns) whose language is known with min_score at least."""
+    """The documents (all their columns) whose language is known with min_score at least; lang becomes the predicted language.
+
+    Null texts and those without letters go; repeated rows are judged alike; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
             names, means, _, _ = predict(sent.value, texts(batch))
-            yield batch.filter(pa.array([name != UNKNOWN and mean >= min_score for name, mean in zip(names, means, strict=True)]))
+            named = batch.set_column(place, batch.schema.field(place).with_type(pa.string()), pa.array(names, pa.string()))
+            yield named.filter(pa.array([name != UNKNOWN and mean >= min_score for name, mean in zip(names, means, strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
 
