@@ -20,6 +20,8 @@ ANCHOR_WORDS = 6
 AUTOMATON_STRINGS = 2000
 #: Anchored runs that a Python worker holds before it hands them on.
 HELD_RUNS = 500_000
+#: Repeats found by the worker that handed them on go in pieces of so many.
+GONE_RUNS = 1 << 14
 #: Shards for each shuffle partition.
 SHARDS_EACH = 4
 
@@ -143,6 +145,20 @@ def _split(docs: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray
     return words, (np.concatenate([word_hashes(w) for w in words]) if words else np.zeros(0, np.uint64)), ends
 
 
+def _in_order(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs (anchor, run, doc_id, null, h, start, ...): their order by run and place; where in it runs begin; where places later than a run's first stand.
+
+    The first place given again (by a row given twice) is neither.
+    """
+    anchor, key, doc_id, null, h, start = cols[:6]
+    by = np.lexsort((start, h, doc_id, null, key, anchor))
+    anchor, key, doc_id, null, h, start = (x[by] for x in cols[:6])
+    first = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])]) if len(by) else np.zeros(0, bool)
+    head = np.maximum.accumulate(np.where(first, np.arange(len(by)), 0)) if len(by) else by
+    later = (doc_id != doc_id[head]) | (null != null[head]) | (h != h[head]) | (start != start[head])
+    return by, np.flatnonzero(first), np.flatnonzero(later)
+
+
 def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, h (hash of the text), start, n: from word `start` on, n windows that also start earlier."""
     spark = docs.sparkSession
@@ -154,7 +170,15 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
         held, count = [], 0
 
         def flush():
-            anchor, key, doc_id, null, h, start, n, again = (np.concatenate(x) for x in zip(*held, strict=True))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            by, first, later = _in_order(cols)
+            # of the places of one run only the first goes to its shard; the later ones are repeats, dealt to any partition
+            gone = [x[by[later]] for x in cols]
+            anchor, key, doc_id, null, h, start, n, again = (x[by[first]] for x in cols)
+            for i in range(0, len(later), GONE_RUNS):
+                blobs = [pa.array([x[i : i + GONE_RUNS].tobytes()], pa.binary()) for x in gone]
+                spread = shards + xxhash.xxh32_intdigest(blobs[2][0].as_py()) % (1 << 20)
+                yield pa.RecordBatch.from_arrays([pa.array([spread], pa.int32()), *blobs], ["shard", *PACKED])
             shard = (anchor >> np.uint64(40)).astype(np.int64) % shards
             by = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[by], np.arange(shards + 1))
@@ -191,27 +215,28 @@ def repeated_spans(docs: DataFrame, window: int = 20) -> DataFrame:
             for i, s in enumerate(batch.column("shard").to_pylist()):
                 held.setdefault(s, []).append([np.frombuffer(c[i], k) for c, k in zip(cols, kinds, strict=True)])
         for s in sorted(held):
-            yield from _compare([np.concatenate(x) for x in zip(*held.pop(s), strict=True)])
+            cols = [np.concatenate(x) for x in zip(*held.pop(s), strict=True)]
+            yield from _compare(cols) if s < shards else _result(cols, np.arange(len(cols[0])), np.zeros(len(cols[0]), bool), np.zeros(len(cols[0]), bool))
 
     def _compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        anchor, key, doc_id, null, h, start, n, again = cols
-        by = np.lexsort((start, h, doc_id, null, key, anchor))
-        anchor, key, doc_id, null, h, start, n, again = (x[by] for x in cols)
-        same = lambda *xs: np.concatenate([[False], np.all([x[1:] == x[:-1] for x in xs], axis=0)])
-        string = same(anchor, key)
-        place = string & same(doc_id, null, h, start)  # the same place of a row given twice
-        first = ~string
-        group = np.cumsum(~same(anchor)) - 1
-        strings = np.bincount(group, first)
-        wide, asked = strings[group] > AUTOMATON_STRINGS, first & ((strings[group] > 1) | again)
-        # a place equal to the first is the first, not a repeat
-        head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        gone = string & ~place & ((doc_id != doc_id[head]) | (null != null[head]) | (h != h[head]) | (start != start[head]))
-        keep = np.flatnonzero(gone | asked)
+        by, first, later = _in_order(cols)
+        cols = [x[by] for x in cols]
+        anchor, again = cols[0], cols[7]
+        group = np.cumsum(np.concatenate([[True], anchor[1:] != anchor[:-1]])) - 1
+        heads = np.zeros(len(by), bool)
+        heads[first] = True
+        strings = np.bincount(group, heads)
+        asked = heads & ((strings[group] > 1) | again)
+        gone = np.zeros(len(by), bool)
+        gone[later] = True
+        yield from _result(cols, np.flatnonzero(gone | asked), asked, asked & (strings[group] > AUTOMATON_STRINGS))
+
+    def _result(cols: list[np.ndarray], keep: np.ndarray, asked: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+        anchor, _, doc_id, null, h, start, n, _ = cols
         for part in np.array_split(keep, max(1, len(keep) // 100_000)):
             if len(part):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[part].view(np.int64)), pa.array(doc_id[part], mask=null[part]), pa.array(h[part]), pa.array(start[part]), pa.array(n[part]), pa.array(asked[part]), pa.array(wide[part] & asked[part])],
+                    [pa.array(anchor[part].view(np.int64)), pa.array(doc_id[part], mask=null[part]), pa.array(h[part]), pa.array(start[part]), pa.array(n[part]), pa.array(asked[part]), pa.array(wide[part])],
                     ["anchor", "doc_id", "h", "start", "n", "asked", "wide"],
                 )
 
