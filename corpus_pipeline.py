@@ -13,12 +13,15 @@ from corpusgraph.llm import decontam, lang_crf, mixing, simhash, tokens
 from corpusgraph.llm.common import write_table
 from corpusgraph.llm.queries import tokenizer_path
 
-#: Mean marginal under which no language is taken to be known; with four languages evenly mixed it would be 0.25.
-MIN_LANGUAGE_SCORE = 0.3
+#: Mean marginal under which no language is taken to be known: none then holds half of the words.
+MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a known language: those without letters, or whose best language is a guess, go. lang stays as given."""
+    """Keeps documents in a known language, with lang as predicted: those without letters, or without a language of half their words, go.
+
+    Null texts go; repeated rows are judged alike. Without a labelled document nothing is judged and all stay as they are.
+    """
     model = lang_crf.fit(docs.filter(lang_crf.remainder("doc_id") != 1))
     if not model.labels:  # nothing to learn from, so nothing to judge by
         return docs
@@ -26,22 +29,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; null and wordless texts are copies of each other, null ids come last."""
     return simhash.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null texts hold none and stay, repeated rows go or stay alike."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them: not at all, once or twice."""
+    """Documents stand as often as the mix takes them: not at all, once or twice; a null source is a source, texts without words stand once where their source is taken whole."""
     return mixing.repeat_to_targets(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the mix in files, and a row for each document read back from them."""
+    """Token ids of the mix in files, and a row for each document read back from them; a null text is the end id alone, null ids come last."""
     return tokens.read_token_files(tokens.write_token_files(docs, tokenizer_path()))
 
 
