@@ -27,6 +27,8 @@ PAIR_STEP = 1 << 20
 PART_SHINGLES = 1 << 21
 #: Leaders of a larger group: what is similar to them, directly or by way of other leaders, need not be compared with each other.
 LEADERS = 16
+#: Bits of the table that says which texts may be candidates.
+FILTER_BITS = 1 << 26
 #: Bands of the sketch by which near copies meet, and minima of a band: at similarity 0.8, 0.996 of pairs share a band.
 BANDS, BAND_ROWS = 14, 5
 
@@ -420,7 +422,7 @@ def similar_links(docs: DataFrame, members: DataFrame, shingle_words: int, seed:
         if len(sets) > 1:
             yield links(sets)
 
-    given = docs.select(*ROW, "text").join(members.select(*ROW, "id", "root"), list(ROW))
+    given = _perhaps(docs.select(*ROW, "text"), members).join(members.select(*ROW, "id", "root"), list(ROW))
     sets = write_table(given.select("root", "id", "text").mapInArrow(shingled, "root long, id long, shingles binary"), "copy-sets")
     large = members.groupBy("root").agg(F.ceil(2 * F.sum("n") / PART_SHINGLES).cast("int").alias("parts")).filter("parts > 2")
     large = write_table(large, "copy-parts")
@@ -444,6 +446,15 @@ def similar_links(docs: DataFrame, members: DataFrame, shingle_words: int, seed:
     return (links if extra is None else links.unionByName(extra)).distinct()
 
 
+def _perhaps(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of docs that members may name, by a bit table of 8 to 16 bits a name (FILTER_BITS at most), so that few other texts are shuffled for the join."""
+    bits = min(FILTER_BITS, max(64, 1 << (8 * members.count()).bit_length()))
+    place = F.pmod(ROW[0], F.lit(bits))
+    words = members.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("_bits"))
+    met = docs.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(words), "_word")  # a row for each 64 bits, so 2 ** 20 rows at most
+    return met.filter(F.expr(f"getbit(_bits, cast(pmod({ROW[0]}, 64L) as int)) = 1")).drop("_word", "_bits")
+
+
 def _meet_leaders(big: DataFrame, least: float) -> DataFrame:
     """Of sets (root, id, shingles, part, parts): root, id, mask (bit i: similar to leader i), first (the first such leader), bit (a leader's own)."""
     place = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("id", F.lit(5)), "id"))
