@@ -179,9 +179,10 @@ def image_counts(images: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def related_assets(chunks: DataFrame, assets: DataFrame) -> DataFrame:
-    """Assets on the pages (above 0) of retrieved chunks, each once."""
+    """Assets on the pages (above 0) of retrieved chunks, each id once: the one of the smallest document and page. Null pages have none."""
     pages = chunks.filter("page_no > 0").select("document_id", "page_no").distinct()
-    return assets.join(pages, ["document_id", "page_no"], "left_semi").dropDuplicates(["asset_id"])
+    first = F.row_number().over(Window.partitionBy("asset_id").orderBy("document_id", "page_no"))
+    return assets.join(pages, ["document_id", "page_no"], "left_semi").withColumn("_r", first).filter("_r = 1").drop("_r")
 
 
 def resolve_assets(hits: DataFrame, assets: DataFrame, k: int = 3) -> DataFrame:

@@ -149,10 +149,9 @@ def _(spark, d):
     return documents.image_counts(S.assets(spark, d), S.docs(spark, d))
 
 
-@query("j2_related_assets", f"WITH {S.ASSETS}, {S.CHUNKS}, p AS (SELECT DISTINCT document_id, page_no FROM chunks WHERE page_no > 0 AND contains(lower(content), ' the ')) SELECT asset_id, document_id, page_no FROM assets WHERE (document_id, page_no) IN (SELECT document_id, page_no FROM p)")
+@query("j2_related_assets", f"WITH {S.ASSETS}, {S.CHUNKS}, p AS (SELECT DISTINCT document_id, page_no FROM chunks WHERE page_no > 0) SELECT asset_id, document_id, page_no FROM assets WHERE (document_id, page_no) IN (SELECT document_id, page_no FROM p)")
 def _(spark, d):
-    hits = S.chunks(spark, d).filter(F.contains(F.lower("content"), F.lit(" the ")))
-    return documents.related_assets(hits, S.assets(spark, d)).select("asset_id", "document_id", "page_no")
+    return documents.related_assets(S.chunks(spark, d), S.assets(spark, d)).select("asset_id", "document_id", "page_no")
 
 
 @query("a1_workspace_summary", f"WITH {S.DOCS} SELECT workspace, count(*) AS total, count_if(status = 'INDEXED')::BIGINT AS indexed FROM docs GROUP BY workspace")
@@ -209,11 +208,12 @@ _BOILER = " OR ".join(
     f"regexp_matches(trim(content), '(?i){p}')"
     for p in (
         "^[\\s\\S]{0,30}(?:©|copyright|\\(c\\)|all\\s+rights?\\s+reserved)[\\s\\S]{0,300}$", "^[\\s\\S]{0,30}(?:confidential|proprietary|internal\\s+use\\s+only)[\\s\\S]{0,300}$",
-        "^\\s*(?:page|trang|p\\.?)?\\s*\\d{1,4}\\s*(?:[/of|trên]\\s*\\d{1,4})?\\s*$", "^\\s*[-_=~*]{4,}\\s*$", "^\\s*(?:draft|watermark|confidential)\\s*$",
+        "^\\s*(?:page|trang|p\\.?)?\\s*\\d{1,4}\\s*(?:[/of|trên]\\s*\\d{1,4})?\\s*$", "^\\s*[-_=~*]{4,}\\s*$", "^\\s*(?:table\\s+of\\s+contents?|mục\\s+lục|nội\\s+dung)\\s*$", "^\\s*(?:draft|bản\\s+nháp|watermark|confidential)\\s*$",
         "^[A-ZÀ-Ỹa-zà-ỹ\\s\\-|·•]{3,60}\\s*[|·•\\-—]\\s*(?:page|trang|p\\.?)?\\s*\\d{0,4}\\s*$",
     )
 )
-_BOILER = f"({_BOILER} OR (length(trim(content)) < 300 AND (contains(lower(content), 'all rights reserved') OR contains(lower(content), 'terms and conditions'))))"
+_LEGAL = " OR ".join(f"contains(lower(content), '{phrase}')" for phrase in T.LEGAL_PHRASES)
+_BOILER = f"({_BOILER} OR (length(trim(content)) < 300 AND ({_LEGAL})))"
 PROFILE = f"""noted AS (SELECT *, {_NORM} AS normalized, sha256({_NORM}) AS hash, {_MEANING} AS meaningful,
   CASE WHEN trim(content) = '' THEN 'noise' WHEN {_MEANING} < 50 THEN 'noise' WHEN {_BOILER} THEN 'noise' END AS noise FROM chunks)"""
 
@@ -313,11 +313,12 @@ def _(spark, d):
     return documents.resolve_assets(hits, S.assets(spark, d))
 
 
-@query("j9_locate_passage", f"WITH {S.CHUNKS} SELECT document_id AS needle_id, CAST(min(chunk_index) AS INT) AS block_no, 1000 AS score FROM chunks AS c JOIN (SELECT document_id, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS needle FROM chunks WHERE chunk_index = 0) AS n USING (document_id) WHERE contains(lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))), needle) GROUP BY document_id")
+@query("j9_locate_passage", f"WITH {S.CHUNKS}, n AS (SELECT document_id, chunk_index, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS t FROM chunks) SELECT a.document_id, a.chunk_index AS needle, CAST(min(b.chunk_index) AS INT) AS block_no, 1000 AS score FROM n AS a JOIN n AS b ON a.document_id = b.document_id AND contains(b.t, a.t) GROUP BY a.document_id, a.chunk_index")
 def _(spark, d):
     c = S.chunks(spark, d)
-    needles = c.filter("chunk_index = 0").select(F.col("document_id").alias("needle_id"), "document_id", F.col("content").alias("needle"))
-    return documents.locate_passage(needles, c.withColumnRenamed("chunk_index", "block_no"))
+    needles = c.select(F.struct("document_id", "chunk_index").alias("needle_id"), "document_id", F.col("content").alias("needle"))
+    found = documents.locate_passage(needles, c.withColumnRenamed("chunk_index", "block_no"))
+    return found.select("needle_id.document_id", F.col("needle_id.chunk_index").alias("needle"), "block_no", "score")
 
 
 @query("tx3_link_assets", f"WITH {S.DOCS} SELECT id, CASE WHEN image_count > 0 THEN '![Figure 0](/static/doc-images/kb_' || workspace || '/images/img-' || id || '-0.png)' ELSE '' END || text AS text FROM docs")

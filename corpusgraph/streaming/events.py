@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session (a temporary one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+from corpusgraph.sources.shared import scratch
 
 
 def replay(df: DataFrame, files: int = 4) -> DataFrame:

@@ -37,17 +37,6 @@ def test_vector_collection(spark, tmp_path):
     assert files.read_vectors(spark, path, ids=spark.createDataFrame([("3",)], "chunk_id string")).count() == 1
 
 
-def test_embedder_isolates_bad_rows(spark):
-    def model(texts):
-        if any("bad" in t for t in texts):
-            raise ValueError
-        return [[float(len(t)), float("nan")] for t in texts]
-
-    df = spark.createDataFrame([(1, "aa"), (2, "bad"), (3, ""), (4, None)], "id int, content string").coalesce(1)
-    got = {r["id"]: r["embedding"] for r in retrieval.embed(df, model).collect()}
-    assert got == {1: [2.0, 0.0], 2: [], 3: [7.0, 0.0], 4: [7.0, 0.0]}
-
-
 def test_lsh_recall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v, q = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
