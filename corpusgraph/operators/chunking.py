@@ -160,11 +160,13 @@ def outline(docs: DataFrame) -> DataFrame:
 
 
 def split_blocks(docs: DataFrame) -> DataFrame:
-    """document_id, block_no, content: text between blank lines outside code fences."""
+    """document_id, block_no, content: text between blank lines outside code fences and $$ formulas; a $$ within a fence is code."""
     w = Window.partitionBy("document_id").orderBy("line_no")
     fence = F.startswith(F.trim("line"), F.lit("```"))
-    inside = F.sum(fence.cast("int")).over(w) % 2 == 1
-    df = lines_of(docs).withColumn("inside", inside | fence).withColumn("gap", ~F.col("inside") & (F.trim("line") == ""))
+    coded = lines_of(docs).withColumn("coded", (F.sum(fence.cast("int")).over(w) % 2 == 1) | fence)
+    math = ~F.col("coded") & (F.trim("line") == "$$")
+    inside = (F.sum(math.cast("int")).over(w) % 2 == 1) | math
+    df = coded.withColumn("inside", inside | F.col("coded")).withColumn("gap", ~F.col("inside") & (F.trim("line") == ""))
     df = df.withColumn("island", F.sum(F.col("gap").cast("int")).over(w)).filter("not gap")
     b = df.groupBy("document_id", "island").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
     return b.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("island")) - 1).alias("block_no"), "content")

@@ -110,12 +110,21 @@ def clear_workspace(tables: dict[str, DataFrame], workspace: str) -> tuple[dict[
 
 
 def vector_metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """A metadata map for each chunk; the document's custom metadata wins over the standard keys."""
-    d = docs.select(F.col("id").alias("document_id"), "filename", "file_type", F.coalesce("custom_metadata", F.create_map().cast("map<string,string>")).alias("custom"))
-    own = F.create_map(
-        F.lit("document_id"), F.col("document_id").cast("string"), F.lit("chunk_index"), F.col("chunk_index").cast("string"), F.lit("source"), F.col("filename"),
-        F.lit("file_type"), F.col("file_type"), F.lit("has_table"), T.has_table("content").cast("string"), F.lit("has_code"), T.has_code("content").cast("string"),
-    )
+    """A metadata map for each chunk; the document's custom metadata wins over the standard keys.
+
+    Chunks may have page_no, heading_path, image_refs and table_refs; what they lack or have as null is 0 or empty. Chunks of no
+    document are left out.
+    """
+    d = docs.select(F.col("id").alias("document_id"), "workspace", "filename", "file_type", F.coalesce("custom_metadata", F.create_map().cast("map<string,string>")).alias("custom"))
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.col(c), none) if c in chunks.columns else none
+    page = F.coalesce(F.col("page_no"), F.lit(0)) if "page_no" in chunks.columns else F.lit(0)
+    values = {
+        "document_id": F.col("document_id").cast("string"), "chunk_index": F.col("chunk_index").cast("string"), "source": F.col("filename"), "file_type": F.col("file_type"),
+        "page_no": page.cast("string"), "heading_path": F.array_join(listed("heading_path"), " > "), "has_table": T.has_table("content").cast("string"), "has_code": T.has_code("content").cast("string"),
+        "image_ids": T.encode_list(listed("image_refs")), "table_ids": T.encode_list(listed("table_refs")), "image_urls": T.encode_list(F.transform(listed("image_refs"), lambda x: T.asset_url("workspace", x))),
+    }
+    own = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
     rest = F.map_filter(own, lambda k, _: ~F.map_contains_key("custom", k))
     chunk_id = F.format_string("doc_%d_chunk_%d", "document_id", "chunk_index")
     return chunks.join(d, "document_id").withColumn("rest", rest).select(chunk_id.alias("chunk_id"), "document_id", "chunk_index", "content", F.map_concat("rest", "custom").alias("metadata"))
@@ -124,10 +133,12 @@ def vector_metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 def to_hits(rows: DataFrame) -> DataFrame:
     """Stored rows (chunk_id, content, metadata, score) as columns with defaults, lists decoded."""
     m = lambda k: F.try_element_at("metadata", F.lit(k))
+    listed = lambda k, separator="|": F.coalesce(T.decode_list(m(k), separator), F.array().cast("array<string>"))
     return rows.select(
         "chunk_id", "content", "score", F.coalesce(m("document_id").try_cast("bigint"), F.lit(0)).alias("document_id"), F.coalesce(m("chunk_index").try_cast("int"), F.lit(0)).alias("chunk_index"),
         F.coalesce(m("source"), F.lit("Unknown")).alias("source"), F.coalesce(m("page_no").try_cast("int"), F.lit(0)).alias("page_no"),
-        F.coalesce(T.decode_list(m("heading_path"), " > "), F.array().cast("array<string>")).alias("heading_path"), F.coalesce(T.decode_list(m("image_ids")), F.array().cast("array<string>")).alias("image_refs"),
+        listed("heading_path", " > ").alias("heading_path"), listed("image_ids").alias("image_refs"), listed("table_ids").alias("table_refs"),
+        F.coalesce(m("has_table").try_cast("boolean"), F.lit(False)).alias("has_table"), F.coalesce(m("has_code").try_cast("boolean"), F.lit(False)).alias("has_code"),
     )
 
 

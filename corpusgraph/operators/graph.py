@@ -86,9 +86,16 @@ def edges_touching(matched: DataFrame, edges: DataFrame, limit: int = 30) -> Dat
     return met.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def graph_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, max_entities: int = 20, max_edges: int = 30) -> DataFrame:
-    """query_id, insights: the text of the matched entities and their relationships."""
+def graph_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, max_entities: int = 20, max_edges: int = 30, small: int = 50, first: int = 10) -> DataFrame:
+    """query_id, insights: the text of the matched entities and their relationships.
+
+    A question that names no entity has no row, but in a graph of `small` nodes at most it gets the `first` ones by id.
+    """
     matched = match_entities(questions, nodes, max_entities)
+    if nodes.limit(small + 1).count() <= small:
+        some = nodes.select("id").orderBy("id").limit(first).withColumn("place", F.row_number().over(Window.orderBy("id")))  # `first` rows
+        unmet = questions.select("query_id").distinct().join(matched, "query_id", "left_anti")
+        matched = matched.unionByName(unmet.crossJoin(F.broadcast(some)))
     kind = F.when(~F.col("entity_type").isin("", "Unknown"), F.concat(F.lit(" ["), "entity_type", F.lit("]"))).otherwise("")
     note = F.when(F.col("description") != "", F.concat(F.lit(": "), T.truncate("description", 200))).otherwise("")
     lines = matched.join(nodes, "id").withColumn("line", F.concat(F.lit("- "), "id", kind, note))
@@ -119,6 +126,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, center: str = "*", depth: int =
     return seen.join(deg.select("id", "degree"), "id").orderBy("hop", F.desc("degree"), "id").limit(max_nodes)
 
 
+def subgraph_edges(shown: DataFrame, edges: DataFrame, cut: int = 80) -> DataFrame:
+    """source, target, label (the description, cut short), weight of edges between nodes of a subgraph; a null weight is 1."""
+    ends = edges.join(shown.select(F.col("id").alias("source")), "source", "left_semi").join(shown.select(F.col("id").alias("target")), "target", "left_semi")
+    return ends.select("source", "target", F.substring(F.coalesce("description", F.lit("")), 1, cut).alias("label"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
 def merge_mentions(mentions: DataFrame, threshold: float = 0.45) -> DataFrame:
     """name, type, description, score: of mentions of one name whatever its case, the best (the first on a tie)."""
     rank = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(F.desc("score"), "position"))

@@ -108,17 +108,31 @@ def _(spark, d):
     return documents.validate_queries(b).select("item_id", "reason")
 
 
-@query("p1_vector_metadata", f"WITH {S.DOCS}, {S.CHUNKS} SELECT 'doc_' || document_id || '_chunk_' || chunk_index AS chunk_id, CASE WHEN id % 4 = 0 THEN 'mine' ELSE filename END AS source, file_type, CASE WHEN id % 4 = 0 THEN 'x' END AS extra FROM chunks JOIN docs ON id = document_id")
+def illustrated(spark, d):
+    """Every fourth chunk shows two images, every third a table; chunks of even documents stand under a heading."""
+    i, doc = F.col("chunk_index"), F.col("document_id")
+    none = F.array().cast("array<string>")
+    return S.chunks(spark, d).withColumns({
+        "image_refs": F.when(i % 4 == 0, F.array(F.format_string("img-%d-0", doc), F.format_string("img-%d-1", doc))).otherwise(none), "table_refs": F.when(i % 3 == 0, F.array(F.format_string("tab-%d", doc))).otherwise(none),
+        "heading_path": F.when(doc % 2 == 0, F.array(F.lit("A"), F.lit("B"))).otherwise(none),
+    })
+
+
+_IDS = "'doc_' || document_id || '_chunk_' || chunk_index AS chunk_id"
+
+
+@query("p1_vector_metadata", f"WITH {S.DOCS}, {S.CHUNKS} SELECT {_IDS}, CASE WHEN id % 4 = 0 THEN 'mine' ELSE filename END AS source, file_type, CASE WHEN id % 4 = 0 THEN 'x' END AS extra, page_no::VARCHAR AS page_no, CASE WHEN id % 2 = 0 THEN 'A > B' ELSE '' END AS heading_path, CASE WHEN chunk_index % 4 = 0 THEN 'img-' || id || '-0|img-' || id || '-1' ELSE '' END AS image_ids, CASE WHEN chunk_index % 3 = 0 THEN 'tab-' || id ELSE '' END AS table_ids, CASE WHEN chunk_index % 4 = 0 THEN '/static/doc-images/kb_' || workspace || '/images/img-' || id || '-0.png|/static/doc-images/kb_' || workspace || '/images/img-' || id || '-1.png' ELSE '' END AS image_urls FROM chunks JOIN docs ON id = document_id")
 def _(spark, d):
     custom = F.when(F.col("id") % 4 == 0, F.create_map(F.lit("source"), F.lit("mine"), F.lit("extra"), F.lit("x")))
-    m = documents.vector_metadata(S.chunks(spark, d), S.docs(spark, d).withColumn("custom_metadata", custom))
-    return m.select("chunk_id", F.col("metadata")["source"].alias("source"), F.col("metadata")["file_type"].alias("file_type"), F.try_element_at("metadata", F.lit("extra")).alias("extra"))
+    m = documents.vector_metadata(illustrated(spark, d), S.docs(spark, d).withColumn("custom_metadata", custom))
+    return m.select("chunk_id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "file_type", "extra", "page_no", "heading_path", "image_ids", "table_ids", "image_urls")])
 
 
-@query("p3_to_hits", f"WITH {S.DOCS}, {S.CHUNKS} SELECT 'doc_' || document_id || '_chunk_' || chunk_index AS chunk_id, document_id, chunk_index, filename AS source, 0 AS page_no FROM chunks JOIN docs ON id = document_id")
+@query("p3_to_hits", f"WITH {S.DOCS}, {S.CHUNKS} SELECT {_IDS}, document_id, chunk_index, filename AS source, page_no, CASE WHEN id % 2 = 0 THEN 'A,B' ELSE '' END AS headings, CASE WHEN chunk_index % 4 = 0 THEN 2 ELSE 0 END AS n_images, CASE WHEN chunk_index % 3 = 0 THEN 1 ELSE 0 END AS n_tables, contains(content, '|') AND contains(content, '---') AS has_table FROM chunks JOIN docs ON id = document_id")
 def _(spark, d):
-    m = documents.vector_metadata(S.chunks(spark, d), S.docs(spark, d).withColumn("custom_metadata", F.lit(None).cast("map<string,string>")))
-    return documents.to_hits(m.withColumn("score", F.lit(0.0)).select("chunk_id", "content", "metadata", "score")).select("chunk_id", "document_id", "chunk_index", "source", "page_no")
+    m = documents.vector_metadata(illustrated(spark, d), S.docs(spark, d).withColumn("custom_metadata", F.lit(None).cast("map<string,string>")))
+    h = documents.to_hits(m.withColumn("score", F.lit(0.0)).select("chunk_id", "content", "metadata", "score"))
+    return h.select("chunk_id", "document_id", "chunk_index", "source", "page_no", F.array_join("heading_path", ",").alias("headings"), F.size("image_refs").alias("n_images"), F.size("table_refs").alias("n_tables"), "has_table")
 
 
 @query("p4_resolve_settings", "SELECT c_custkey AS id, CAST(coalesce(nullif(c_custkey % 3 * 100, 0), 512) AS INT) AS chunk_size, CAST(CASE WHEN coalesce(nullif(c_custkey % 5 * 90, 0), 50) >= coalesce(nullif(c_custkey % 3 * 100, 0), 512) THEN coalesce(nullif(c_custkey % 3 * 100, 0), 512) // 5 ELSE coalesce(nullif(c_custkey % 5 * 90, 0), 50) END AS INT) AS chunk_overlap, CASE WHEN c_custkey % 2 = 0 THEN 'vi' ELSE 'en' END AS kg_language FROM customer")

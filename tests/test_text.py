@@ -86,6 +86,8 @@ def test_sections(spark):
 def test_blocks_and_html(spark):
     rows = K.split_blocks(spark.createDataFrame([(1, "a\nb\n\n```\nc\n\nd\n```\n\ne")], "document_id long, text string")).orderBy("block_no").collect()
     assert [r["content"] for r in rows] == ["a\nb", "```\nc\n\nd\n```", "e"]
+    rows = K.split_blocks(spark.createDataFrame([(1, "a\n\n$$\nx\n\ny\n$$\n\nb")], "document_id long, text string")).orderBy("block_no").collect()
+    assert [r["content"] for r in rows] == ["a", "$$\nx\n\ny\n$$", "b"]
     html = "<head><title>t</title></head><script>x</script><h2>T &amp; U</h2><p>one<p>two<ul><li>a<li>b</ul><nav>n</nav>"
     assert one(spark, html, K.html_to_markdown) == "## T & U\n\none\ntwo\n\n- a\n- b"
 
