@@ -121,7 +121,7 @@ def _(spark, d):
     return G.subgraph_edges(S.nodes(spark, d).filter("entity_type in ('Region', 'Nation')"), S.edges(spark, d))
 
 
-@query("g7_small_graph", f"WITH {S.GRAPH}, few AS (SELECT * FROM nodes WHERE entity_type = 'Region' ORDER BY id LIMIT 10) e AS (SELECT string_agg('- ' || id || ' [Region]', chr(10) ORDER BY id) AS e FROM few), r AS (SELECT string_agg('- ' || source || ' → ' || target || ': ' || description, chr(10) ORDER BY source, target) AS r FROM edges WHERE target IN (SELECT id FROM few)) SELECT query_id, 'Entities found in documents:' || chr(10) || e || chr(10) || chr(10) || 'Relationships:' || chr(10) || r AS insights FROM (SELECT DISTINCT o_custkey AS query_id FROM orders), e, r")
+@query("g7_small_graph", f"WITH {S.GRAPH}, few AS (SELECT * FROM nodes WHERE entity_type = 'Region' ORDER BY id LIMIT 10), e AS (SELECT string_agg('- ' || id || ' [Region]', chr(10) ORDER BY id) AS e FROM few), r AS (SELECT string_agg('- ' || source || ' → ' || target || ': ' || description, chr(10) ORDER BY source, target) AS r FROM edges WHERE target IN (SELECT id FROM few)) SELECT query_id, 'Entities found in documents:' || chr(10) || e || chr(10) || chr(10) || 'Relationships:' || chr(10) || r AS insights FROM (SELECT DISTINCT o_custkey AS query_id FROM orders), e, r")
 def _(spark, d):
     q = S.table(spark, d, "orders").select(F.col("o_custkey").alias("query_id"), F.lit("zzzz ?").alias("question")).distinct()
     return G.graph_context(q, S.nodes(spark, d).filter("entity_type = 'Region'"), S.edges(spark, d))
