@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,28 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.shared import write_table  # noqa: F401
+
 #: Bytes of text that one Python step holds at a time (a single longer text stands alone).
 SLICE_BYTES = 1 << 20
 
 
-@functools.cache
-def _own_dir(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-shared-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir(spark.sparkContext.applicationId)
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, so a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices with about `limit` bytes in `column`."""
     for batch in batches:
