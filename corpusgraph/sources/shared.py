@@ -18,7 +18,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder named in spark.checkpoint.dir; a local session that has none gets a temporary folder, any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _own_dir(spark.sparkContext.applicationId)
     return f"{base}/{name}-{uuid.uuid4().hex}"
