@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import write_table
 
 
-def _rolling(turns: Column) -> Column:
-    """Hash of each prefix of the turns: each step hashes the step before with the turn's role and text (null differs from empty)."""
+def _prefixes(turns: DataFrame) -> DataFrame:
+    """Turns with i (place in the conversation, from 1), n (its number of turns) and the hash (a, b) of the turns up to there.
 
-    def step(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        part = [turn.role.isNull(), turn.role, turn.text.isNull(), turn.text]
-        return F.concat(done, F.array(F.struct(F.xxhash64(last.a, F.lit(1), *part).alias("a"), F.xxhash64(last.b, F.lit(2), *part).alias("b"))))
-
-    start = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")))
-    return F.aggregate(turns, start, step)
+    The hash of a prefix is that of the prefix one turn shorter, combined by XOR with a hash of the turn at its place (role and text,
+    null differing from empty). So a running window over the sorted turns gives all prefixes in one pass, which spills.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = turns.withColumns({"i": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy("conv_id"))})
+    part = [F.col("i"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    placed = placed.withColumns({"a": F.xxhash64(F.lit(1), *part), "b": F.xxhash64(F.lit(2), *part)})
+    return placed.withColumns({c: F.bit_xor(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) for c in ("a", "b")})
 
 
 def render(turns: Column) -> Column:
@@ -36,14 +37,16 @@ def maximal_chats(conversations: DataFrame) -> DataFrame:
     Copies are combined by hash before anything is joined, and the anti-join has one row for each different conversation, so a
     conversation, or a first turn, that a third of all share is no hot key.
     """
-    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    hashed = turns.withColumn("hashes", _rolling(F.col("turns"))).withColumn("full", F.element_at("hashes", -1))
-    hashed = write_table(hashed, "chat-hashes")
-    whole = hashed.groupBy("full").agg(F.min("conv_id").alias("keep"), F.count(F.lit(1)).alias("n_copies"))
-    prefixes = hashed.select(F.explode(F.slice("hashes", 2, F.greatest(F.lit(0), F.size("hashes") - 2))).alias("full")).distinct()
-    kept = whole.join(prefixes, "full", "left_anti").withColumnRenamed("full", "k_full")
-    met = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("keep")) & (F.col("full") == F.col("k_full")))
-    return met.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_copies", render(F.col("turns")).alias("chat"))
+    # dealt by conv_id once: repeats, places and prefixes are all found within it
+    turns = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").dropDuplicates()
+    hashed = write_table(_prefixes(turns).drop("turn"), "chat-hashes")
+    prefix = ["n", "a", "b"]
+    whole = hashed.filter("i = n").groupBy(*prefix).agg(F.min("conv_id").alias("keep"), F.count(F.lit(1)).alias("n_copies"))
+    shorter = hashed.filter("i < n").select(F.col("i").cast("long").alias("n"), "a", "b").distinct()
+    kept = whole.join(shorter, prefix, "left_anti").select("keep", F.col("n").alias("n_turns"), "n_copies")
+    met = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("keep")))
+    rows = met.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text"))).alias("turns"))
+    return rows.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("chat"))
 
 
 ORACLE = """

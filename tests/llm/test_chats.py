@@ -32,5 +32,23 @@ def test_many_against_brute_force(spark):
     assert got == want
 
 
+def test_long_chats(spark):
+    """Five thousand turns, and a turn of a million characters; the first 4,999 turns are logged as well."""
+    rows = [(c, i, "ua"[i % 2], "x" * (1_000_000 if i == 7 else i % 9)) for c, n in ((1, 5000), (2, 4999), (3, 8)) for i in range(n)]
+    got = chats.maximal_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_copies"]) for r in got] == [(1, 5000, 1)]
+    assert got[0]["chat"] == chats_text(rows[:5000])
+
+
+def chats_text(rows):
+    return "".join(f"<|im_start|>{role}\n{text}<|im_end|>\n" for _, _, role, text in rows)
+
+
+def test_same_turns_in_another_order_are_another_chat(spark):
+    rows = [(1, 0, "u", "a"), (1, 1, "u", "b"), (2, 0, "u", "b"), (2, 1, "u", "a"), (3, 0, "u", "a"), (3, 1, "u", "a"), (4, 0, None, None), (5, 0, "", "")]
+    got = chats.maximal_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["conv_id"] for r in got} == {1, 2, 3, 4, 5}
+
+
 def test_empty(spark):
     assert chats.maximal_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
