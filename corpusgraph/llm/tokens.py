@@ -199,26 +199,42 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-BLOCK = "part int, block long, first_id long, n_ids long, doc_ids array<long>, doc_tokens array<long>, words binary, offsets array<long>"
+BLOCK = "part int, block long, first_id long, n_ids long, doc_ids array<long>, doc_tokens array<long>, words binary, offset_words array<long>, offset_ids array<long>"
 #: Simple-8b words between two entries of a block's offsets.
 OFFSET_EVERY = 1024
 
 
-def block_offsets(words: np.ndarray) -> np.ndarray:
-    """Index of the first id of every OFFSET_EVERY-th word, so that a reader can start in the middle of a block. Words after an escape count as one id."""
+def block_offsets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where to start in the middle of a block: an index of a word and that of its first id, for about every OFFSET_EVERY-th word (where that is the value of an escape, the word after it)."""
     selectors = (words >> np.uint64(60)).astype(np.int64)
-    counts = np.array([*COUNTS, 0, 1], np.int64)[selectors]
+    counts = np.array([*COUNTS, 0, 0], np.int64)[selectors]
+    value = np.zeros(len(words) + 1, bool)
     for i in np.flatnonzero(selectors == ESCAPE).tolist():
-        if i + 1 < len(words) and counts[i] == 1:
-            counts[i + 1] = 0
-    return np.concatenate([[0], np.cumsum(counts)])[: len(words) : OFFSET_EVERY] if len(words) else np.zeros(0, np.int64)
+        if not value[i]:
+            value[i + 1] = True
+    counts[value[:-1]] = 1
+    at = np.arange(0, len(words), OFFSET_EVERY)
+    at += value[at]
+    at = at[at < len(words)]
+    return at, np.concatenate([[0], np.cumsum(counts)])[at]
+
+
+def unpack_range(words: np.ndarray, offset_words: np.ndarray, offset_ids: np.ndarray, start: int, n: int) -> np.ndarray:
+    """Ids start to start + n of a block; only the words between the offsets around them are decoded."""
+    if not n:
+        return np.empty(0, np.uint64)
+    low = int(np.searchsorted(offset_ids, start, "right")) - 1
+    high = int(np.searchsorted(offset_ids, start + n, "left"))
+    end = int(offset_words[high]) if high < len(offset_words) else len(words)
+    skipped = start - int(offset_ids[low])
+    return unpack(words[int(offset_words[low]) : end], skipped + n)[skipped:]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, partitions: int | None = None) -> DataFrame:
     """Encode documents in ascending doc_id order and write them to the shared folder; the result is the table of blocks as read back.
 
-    Part p holds the documents of the p-th range of doc_id, in blocks of BLOCK_IDS ids; words is the Simple-8b payload, offsets the
-    index of the first id of every OFFSET_EVERY-th word, doc_ids and doc_tokens say which documents the block holds and how many ids of each.
+    Part p holds the documents of the p-th range of doc_id, in blocks of BLOCK_IDS ids; words is the Simple-8b payload, offset_words and
+    offset_ids say where to start in it (block_offsets), doc_ids and doc_tokens which documents the block holds and how many ids of each.
     Null texts count as empty and get the end id alone; rows of one doc_id stand in order of their text; null doc_id comes last.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -234,8 +250,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, par
             nonlocal number, first, held, ids, names, counts
             flat = np.frombuffer(b"".join(ids), "<u4")
             packed = pack(flat)
+            offset_words, offset_ids = block_offsets(packed)
             row = pa.RecordBatch.from_pydict(
-                {"part": pa.array([part], pa.int32()), "block": [number], "first_id": [first], "n_ids": [held], "doc_ids": pa.array([names], pa.list_(pa.int64())), "doc_tokens": pa.array([counts], pa.list_(pa.int64())), "words": pa.array([packed.astype("<u8").tobytes()], pa.binary()), "offsets": pa.array([block_offsets(packed)], pa.list_(pa.int64()))}
+                {"part": pa.array([part], pa.int32()), "block": [number], "first_id": [first], "n_ids": [held], "doc_ids": pa.array([names], pa.list_(pa.int64())), "doc_tokens": pa.array([counts], pa.list_(pa.int64())), "words": pa.array([packed.astype("<u8").tobytes()], pa.binary()), "offset_words": pa.array([offset_words], pa.list_(pa.int64())), "offset_ids": pa.array([offset_ids], pa.list_(pa.int64()))}
             )
             number, first, held, ids, names, counts = number + 1, first + held, 0, [], [], []
             return row
@@ -257,18 +274,39 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, par
 
 
 def read_token_files(blocks: DataFrame) -> DataFrame:
-    """Decode every document from the blocks: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Decode every document from the blocks: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    A block is decoded BLOCK_IDS ids at a time, started by its offsets, so a very long document is never held decoded. A block of no
+    documents does not occur, and no blocks give no rows; null and repeated doc_ids come back as they were written.
+    """
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each part, so at most as many as there are partitions
     starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
 
+    def crcs_of(words: np.ndarray, offsets: list[np.ndarray], counts: np.ndarray) -> list[int]:
+        out, begin = [], 0
+        ends = np.cumsum(counts)
+        for k in range(0, len(counts)):
+            if k and ends[k] - begin <= held:  # in what is decoded
+                a = int(ends[k - 1]) - begin
+                out.append(zlib.crc32(data[4 * a : 4 * (int(ends[k]) - begin)]))
+                continue
+            start, crc = int(ends[k] - counts[k]), 0
+            while start < ends[k]:
+                begin, held = start, min(BLOCK_IDS, int(ends[-1]) - start)
+                data = memoryview(unpack_range(words, *offsets, begin, held).astype("<u4").tobytes())
+                stop = min(int(ends[k]), begin + held)
+                crc = zlib.crc32(data[: 4 * (stop - begin)], crc)
+                start = stop
+            out.append(crc)
+        return out
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                part, first_id, n_ids, doc_ids, counts, words = (batch.column(c)[row].as_py() for c in ("part", "first_id", "n_ids", "doc_ids", "doc_tokens", "words"))
-                data = memoryview(unpack(np.frombuffer(words, "<u8"), n_ids).astype("<u4").tobytes())
-                ends = np.cumsum(counts)
-                begins = ends - counts
-                crcs = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                part, first_id, doc_ids, words = (batch.column(c)[row].as_py() for c in ("part", "first_id", "doc_ids", "words"))
+                counts, *offsets = (batch.column(c)[row].values.to_numpy() for c in ("doc_tokens", "offset_words", "offset_ids"))
+                crcs = crcs_of(np.frombuffer(words, "<u8"), offsets, counts)
+                begins = np.cumsum(counts) - counts
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids, pa.int64()), "part": pa.array([part] * len(crcs), pa.int32()), "begin": begins + first_id, "n_tokens": pa.array(counts, pa.int64()), "ids_crc32": pa.array(crcs, pa.int64())})
 
     decoded = blocks.mapInArrow(decode, "doc_id long, part int, begin long, n_tokens long, ids_crc32 long")

@@ -17,13 +17,28 @@ def test_words_hold_every_id(ids):
     assert (tokens.unpack(tokens.pack(ids), len(ids)) == ids).all()
 
 
-def test_offsets_point_at_the_first_id_of_a_word():
-    ids = np.random.default_rng(0).integers(0, 50_000, 30_000).astype(np.uint64)
-    ids[777] = 2**63
-    words = tokens.pack(ids)
-    for k, first in enumerate(tokens.block_offsets(words).tolist()):
-        at = k * tokens.OFFSET_EVERY
-        assert tokens.unpack(words[at : at + 1], 1)[0] == ids[first] or words[at] >> np.uint64(60) == tokens.ESCAPE
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 60000), min_size=1, max_size=400), st.data())
+@settings(max_examples=200, deadline=None)
+def test_a_block_is_read_from_any_place(ids, data):
+    every, tokens.OFFSET_EVERY = tokens.OFFSET_EVERY, 4
+    try:
+        words = tokens.pack(np.array(ids, np.uint64))
+        offsets = tokens.block_offsets(words)
+    finally:
+        tokens.OFFSET_EVERY = every
+    start = data.draw(st.integers(0, len(ids)))
+    n = data.draw(st.integers(0, len(ids) - start))
+    assert tokens.unpack_range(words, *offsets, start, n).tolist() == ids[start : start + n]
+
+
+def test_a_document_longer_than_a_block(spark):
+    """A document of more ids than a block holds stands between short ones."""
+    long = "\n".join(f"word{i} and {i * 7919 % 10007}, then" for i in range(12_000))
+    rows = [(1, "a"), (2, long), (3, "b c"), (4, None)] + [(i, "w " * 150 + str(i)) for i in range(5, 40)]
+    got = tokens.read_token_files(tokens.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), partitions=1)).orderBy("doc_id").collect()
+    want = [np.array([*ids, 2], "<u4") for ids in library_ids([t for _, t in rows])]
+    assert len(want[1]) > tokens.BLOCK_IDS
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(w), zlib.crc32(w.tobytes())) for w in want]
 
 
 def library_ids(texts):
