@@ -44,8 +44,10 @@ def maximal_chats(conversations: DataFrame) -> DataFrame:
     whole = hashed.filter("i = n").groupBy(*prefix).agg(F.min("conv_id").alias("keep"), F.count(F.lit(1)).alias("n_copies"))
     shorter = hashed.filter("i < n").select(F.col("i").cast("long").alias("n"), "a", "b").distinct()
     kept = whole.join(shorter, prefix, "left_anti").select("keep", F.col("n").alias("n_turns"), "n_copies")
-    met = hashed.join(kept, F.col("conv_id").eqNullSafe(F.col("keep")))
-    rows = met.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text"))).alias("turns"))
+    # a null id is an id: joined and grouped by the same two columns, the turns are shuffled once
+    named = lambda c: {"id": F.coalesce(c, F.lit(0)), "no_id": F.col(c).isNull()}
+    met = hashed.withColumns(named("conv_id")).join(kept.withColumns(named("keep")).drop("keep"), ["id", "no_id"])
+    rows = met.groupBy("id", "no_id", "conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("i", "role", "text"))).alias("turns"))
     return rows.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("chat"))
 
 
