@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics as M
 from corpusgraph.functions import text as T
+from corpusgraph.sources.shared import write_table
 
 
 def clean_answers(messages: DataFrame) -> DataFrame:
@@ -54,6 +55,24 @@ def resolve_citations(usage: DataFrame, sources: DataFrame) -> DataFrame:
     return met.select("conv_id", "turn", "place", "cited", F.coalesce("own", F.col("s.source")).alias("source"))
 
 
+def uncited_sources(usage: DataFrame, sources: DataFrame) -> DataFrame:
+    """Sources (conv_id, turn, cited, source) that their own message does not cite."""
+    return sources.join(usage.select("conv_id", "turn", "cited").distinct(), ["conv_id", "turn", "cited"], "left_anti")
+
+
+def resolve_images(usage: DataFrame, images: DataFrame) -> DataFrame:
+    """conv_id, turn, place, cited, image: cited IMG-x with the message's image whose ref_id is x, else the x-th one if x begins with a number.
+
+    images are (conv_id, turn, place from 0, ref_id, image); of one ref_id the first counts. Ids of no image get null.
+    """
+    ref = F.regexp_extract("cited", "^IMG-(.+)$", 1)
+    asked = usage.filter(F.startswith("cited", F.lit("IMG-"))).withColumns({"ref": ref, "nth": F.regexp_extract(ref, r"^([0-9]+)", 1).try_cast("long") - 1})
+    named = images.groupBy("conv_id", "turn", F.col("ref_id").alias("ref")).agg(F.min_by("image", "place").alias("by_ref"))
+    placed = images.select("conv_id", "turn", F.col("place").cast("long").alias("nth"), F.col("image").alias("by_place"))
+    met = asked.join(named, ["conv_id", "turn", "ref"], "left").join(placed, ["conv_id", "turn", "nth"], "left")
+    return met.select("conv_id", "turn", "place", "cited", F.coalesce("by_ref", "by_place").alias("image"))
+
+
 def rating_counts(ratings: DataFrame) -> DataFrame:
     """Tally of the values of rating maps."""
     return ratings.select(F.explode("ratings").alias("key", "rating")).groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
@@ -89,13 +108,80 @@ def assemble_answers(events: DataFrame) -> DataFrame:
     return df.groupBy("session").agg(tokens.alias("answer"), F.max(F.col("event") == "complete").alias("done"))
 
 
+def _listed(c: str) -> Column:
+    return F.coalesce(F.filter(T.decode_list(c), lambda x: x != ""), F.array().cast("array<string>"))
+
+
+def _numbered_steps(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("step", F.row_number().over(Window.partitionBy("session").orderBy("seq", "part")))
+
+
 def agent_timeline(events: DataFrame) -> DataFrame:
-    """session, step, name, duration: a step for each status change, its duration until the next event of the session's steps."""
-    w = Window.partitionBy("session").orderBy("seq")
-    steps = events.filter("event in ('status', 'sources', 'complete')")
-    name = F.when(F.col("event") == "sources", "sources_found").when(F.col("event") == "complete", "done").otherwise(F.col("data"))
-    timed = steps.select("session", F.row_number().over(w).alias("step"), name.alias("name"), (_micros(F.lead("ts").over(w)) - _micros(F.col("ts"))).alias("duration"))
-    return timed
+    """The steps stored with an answer: session, step, name, detail, n_sources, n_images, badges, thinking, duration.
+
+    events are (session, seq, event, data, ts); data names the step of a status, the ids of sources or images (parted by |), the text
+    of a thought. A status is a step. Sources that came since the last `generating` are a step sources_found before the next one, or
+    before the end if there was none; its badges are the different ids among the first six. All thoughts after the first `analyzing`
+    belong to it. The last step is done. duration runs to the next step, in microseconds; null data counts as empty.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    generating = (F.col("event") == "status") & (F.col("data") == "generating")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # a part of a session ends with a `generating`; sources wait for the end of their part, images for the next part with sources
+    parted = events.withColumn("at_part", F.coalesce(F.count_if(F.coalesce(generating, F.lit(False))).over(before), F.lit(0)))
+    of = lambda kind: F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("event") == kind, F.struct("seq", _listed("data").alias("ids"))))), lambda x: x["ids"]))
+    held = parted.groupBy("session", "at_part").agg(of("sources").alias("sources"), F.size(of("images")).alias("images"))
+    parts = Window.partitionBy("session").orderBy("at_part")
+    found = F.size("sources") > 0
+    held = held.withColumn("upto", F.sum("images").over(parts)).withColumn("spent", F.coalesce(F.last(F.when(found, F.col("upto")), ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    held = held.withColumn("found_before", F.coalesce(F.max(found).over(parts.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    held = held.select("session", "at_part", "sources", (F.col("upto") - F.col("spent")).alias("n_images"), "found_before")
+    steps = parted.filter("event in ('status', 'complete')").join(held, ["session", "at_part"])
+    done = F.col("event") == "complete"
+    inserted = (F.size("sources") > 0) & ((generating & ~done) | (done & ~F.col("found_before")))
+    own = F.struct(F.lit(1).alias("part"), F.when(done, "done").otherwise(F.coalesce("data", F.lit(""))).alias("name"), F.lit(None).cast("int").alias("n_sources"), F.lit(None).cast("long").alias("n_images"), F.lit(None).cast("array<string>").alias("badges"))
+    extra = F.struct(F.lit(0).alias("part"), F.lit("sources_found").alias("name"), F.size("sources").alias("n_sources"), F.col("n_images").cast("long").alias("n_images"), F.array_distinct(F.slice("sources", 1, 6)).alias("badges"))
+    rows = steps.select("session", "seq", "ts", F.explode(F.when(inserted, F.array(extra, own)).otherwise(F.array(own))).alias("s")).select("session", "seq", "ts", "s.*")
+    rows = _numbered_steps(rows)
+    line = Window.partitionBy("session").orderBy("step")
+    rows = rows.withColumn("duration", _micros(F.lead("ts").over(line)) - _micros(F.col("ts")))
+    first = rows.filter("name = 'analyzing'").groupBy("session").agg(F.min(F.struct("step", "seq")).alias("a"))
+    thoughts = events.filter("event = 'thinking'").join(first, "session").filter(F.col("seq") > F.col("a.seq"))
+    thoughts = thoughts.groupBy("session", F.col("a.step").alias("step")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("data", F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("thinking"))
+    detail = F.when(F.col("name") == "sources_found", F.concat(F.lit("Found "), F.col("n_sources").cast("string"), F.when(F.col("n_sources") == 1, " source").otherwise(" sources"))).when(F.col("name") == "done", "Done").otherwise("")
+    return rows.join(thoughts, ["session", "step"], "left").select("session", "step", "name", detail.alias("detail"), "n_sources", "n_images", "badges", "thinking", "duration")
+
+
+def client_timeline(events: DataFrame) -> DataFrame:
+    """The steps shown while an answer is made, from the events of agent_timeline: session, step, name, status, duration, n_sources, n_images, badges, total.
+
+    `retrieving` is two steps, understood and itself; other statuses than analyzing, retrieving and generating are none. Sources are a
+    step at once, images are counted to the last one before them. Steps begun by a status stay active until the next retrieving,
+    generating, sources or complete (completed, with duration) or error. total is the time from the first event to a done step. Times
+    are microseconds. Sessions without such events have no rows.
+    """
+    order = Window.partitionBy("session").orderBy("seq")
+    following = order.rowsBetween(1, Window.unboundedFollowing)
+    status = lambda *names: F.coalesce((F.col("event") == "status") & F.col("data").isin(*names), F.lit(False))
+    ends = status("retrieving", "generating") | F.col("event").isin("sources", "complete", "error")
+    marked = events.withColumns({
+        "over": F.first(F.when(ends, F.struct(_micros(F.col("ts")).alias("at"), (F.col("event") == "error").alias("bad"))), ignorenulls=True).over(following),
+        "began": F.first(_micros(F.col("ts"))).over(order), "lot": F.count_if(F.col("event") == "sources").over(order),
+    })
+    images = marked.filter("event = 'images'").groupBy("session", "lot").agg(F.sum(F.size(_listed("data"))).alias("images"))
+    rows = marked.filter(status("analyzing", "retrieving", "generating") | F.col("event").isin("sources", "complete"))
+    finished = lambda part, name: F.struct(F.lit(part).alias("part"), F.lit(name).alias("name"), F.lit(False).alias("waits"))
+    waiting = F.array(F.struct(F.lit(1).alias("part"), F.col("data").alias("name"), F.lit(True).alias("waits")))
+    made = F.when(F.col("event") == "sources", F.array(finished(1, "sources_found"))).when(F.col("event") == "complete", F.array(finished(1, "done")))
+    made = made.when(status("retrieving"), F.concat(F.array(finished(0, "understood")), waiting)).otherwise(waiting)
+    rows = _numbered_steps(rows.withColumn("m", F.explode(made)).select("*", "m.*")).join(images, ["session", "lot"], "left")
+    at, sources = _micros(F.col("ts")), F.col("name") == "sources_found"
+    state = F.when(~F.col("waits"), "completed").when(F.col("over").isNull(), "active").when(F.col("over.bad"), "error").otherwise("completed")
+    lasted = F.when(F.col("waits") & ~F.col("over.bad"), F.col("over.at") - at)
+    return rows.select(
+        "session", "step", "name", state.alias("status"), lasted.alias("duration"), F.when(sources, F.size(_listed("data"))).alias("n_sources"),
+        F.when(sources, F.coalesce("images", F.lit(0))).alias("n_images"), F.when(sources, _listed("data")).alias("badges"), F.when(F.col("name") == "done", at - F.col("began")).alias("total"),
+    )
 
 
 def document_status(events: DataFrame) -> DataFrame:
@@ -113,6 +199,15 @@ def decode_sse(lines: DataFrame) -> DataFrame:
     return df.filter(F.try_parse_json("data").isNotNull())
 
 
+def numbered_rows(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a column of 1, 2, ... in order, by ranges: rows are counted a range, and each range starts where those before it end."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = write_table(ranged.select("*", F.spark_partition_id().alias("_range"), (F.monotonically_increasing_id() % (1 << 33)).alias("_at")), "numbered")
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    starts = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_range", "_at", "_start")
+
+
 # --- evaluation ----------------------------------------------------------------------------------------------------------------
 
 
@@ -137,6 +232,11 @@ def eval_overall(results: DataFrame) -> DataFrame:
     return total.withColumn("verdict", M.verdict("overall"))
 
 
+def synth_distribution(results: DataFrame) -> DataFrame:
+    """How many rows each synthesizer made; a null one is one of its own."""
+    return results.groupBy("synthesizer").agg(F.count(F.lit(1)).alias("n"))
+
+
 def synth_eval_summary(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per metric (of a map<string,double>) mean and pass rate at 0.5, and per synthesizer the mean of the rows' means."""
     each = results.select("id", "synthesizer", F.explode("metrics").alias("name", "score"))
@@ -153,15 +253,14 @@ def parse_question_batches(df: DataFrame, column: str = "output") -> DataFrame:
 
 def resolve_contexts(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Items with question and answer, numbered, and the first 500 characters of the chunks they point at; bad indices are left out."""
-    good = items.filter("question <> '' and answer <> ''").withColumn("n", F.row_number().over(Window.partitionBy().orderBy("batch", "place")))
+    good = numbered_rows(items.filter("question <> '' and answer <> ''"), "n", "batch", "place")
     each = good.withColumn("chunk_index", F.explode_outer("context_indices")).join(chunks.select("batch", F.col("place").alias("chunk_index"), F.substring("content", 1, 500).alias("context")), ["batch", "chunk_index"], "left")
     return each.groupBy("n", "question", "answer").agg(F.sort_array(F.collect_list("context")).alias("contexts")).select(F.concat(F.lit("RAGAS-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "question", "answer", "contexts")
 
 
 def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores (n, score) of a judge that saw only rows without ERROR, in order; NaN scores are left out."""
-    rank = F.row_number().over(Window.partitionBy().orderBy("id"))
-    valid = results.filter(~F.startswith("response", F.lit("ERROR"))).select("id", rank.alias("n"))
+    valid = numbered_rows(results.filter(~F.startswith("response", F.lit("ERROR"))).select("id"), "n", "id")
     return results.join(valid.join(scores.filter(~F.isnan("score")), "n").select("id", "score"), "id", "left")
 
 
@@ -192,7 +291,10 @@ def build_turns(messages: DataFrame, n: int = 2) -> DataFrame:
     return df.select("conv_id", "turn", F.concat_ws("\n\n", F.concat(F.lit("Earlier:\n"), before), F.concat(F.lit("Question: "), "content")).alias("prompt"))
 
 
-def append_messages(history: DataFrame, new: DataFrame) -> DataFrame:
+def append_messages(history: DataFrame, new: DataFrame, most: int = 30) -> DataFrame:
+    """The history with new rows; columns that either lacks are null there, and of a new row's related_entities the first `most` stay."""
+    if "related_entities" in new.columns:
+        new = new.withColumn("related_entities", F.slice("related_entities", 1, most))
     return history.unionByName(new, allowMissingColumns=True)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.operators.dedup import noise_reason, with_refs
 
 IN_PROGRESS = ("PROCESSING", "PARSING", "INDEXING")
 ALLOWED = ("pdf", "txt", "md", "docx", "pptx")
@@ -79,15 +80,21 @@ def mark_stale(docs: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
     return docs.withColumns({"error_message": F.when(stale, message), "status": F.when(stale, "FAILED").otherwise(F.col("status"))})
 
 
-def reset_documents(docs: DataFrame, ids: list[int]) -> DataFrame:
-    mine = F.col("id").isin(*ids)
-    return docs.withColumns({"status": F.when(mine, "PENDING").otherwise(F.col("status")), **{c: F.when(mine, 0).otherwise(F.col(c)) for c in ("chunk_count", "image_count")}})
+def reset_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents named in ids (id; repeats and null do not matter) as before processing: pending, counts 0, markdown and error null where docs has them."""
+    mine = ids.select("id").distinct().withColumn("_mine", F.lit(True))
+    met, reset = docs.join(mine, "id", "left"), F.coalesce("_mine", F.lit(False))
+    fresh = {"status": F.lit("PENDING"), "chunk_count": F.lit(0), "image_count": F.lit(0), "markdown": F.lit(None), "error_message": F.lit(None)}
+    return met.withColumns({c: F.when(reset, v).otherwise(F.col(c)) for c, v in fresh.items() if c in docs.columns}).select(docs.columns)
 
 
 def validate_queries(df: DataFrame) -> DataFrame:
-    """(question, top_k) with reason: why a request is refused, empty if it is not."""
+    """(question, top_k, message if there is one) with reason: why a request is refused, empty if it is not. Null is not refused."""
     n = F.length("question")
-    return df.withColumn("reason", F.when((n < 1) | (n > 1000), "question length").when((F.col("top_k") < 1) | (F.col("top_k") > 20), "top_k").otherwise(""))
+    reason = F.when((n < 1) | (n > 1000), "question length").when((F.col("top_k") < 1) | (F.col("top_k") > 20), "top_k")
+    if "message" in df.columns:
+        reason = reason.when((F.length("message") < 1) | (F.length("message") > 5000), "message length")
+    return df.withColumn("reason", reason.otherwise(""))
 
 
 def effective_k(top_k: Column, cap: int = 8, prefetch: int = 20) -> tuple[Column, Column]:
@@ -130,6 +137,16 @@ def vector_metadata(chunks: DataFrame, docs: DataFrame) -> DataFrame:
     return chunks.join(d, "document_id").withColumn("rest", rest).select(chunk_id.alias("chunk_id"), "document_id", "chunk_index", "content", F.map_concat("rest", "custom").alias("metadata"))
 
 
+def vector_metadata_plain(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """chunk_id and the metadata map of the older form, with char_start and char_end of the chunk; custom metadata wins, chunks of no document are left out."""
+    d = docs.select(F.col("id").alias("document_id"), "filename", "file_type", F.coalesce("custom_metadata", F.create_map().cast("map<string,string>")).alias("custom"))
+    values = {c: F.col(c).cast("string") for c in ("document_id", "chunk_index", "char_start", "char_end")}
+    values |= {"source": F.coalesce("filename", F.lit("")), "file_type": F.coalesce("file_type", F.lit(""))}
+    own = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda k, _: ~F.map_contains_key("custom", k))
+    chunk_id = F.format_string("doc_%d_chunk_%d", "document_id", "chunk_index")
+    return chunks.join(d, "document_id").select(chunk_id.alias("chunk_id"), F.map_concat(own, "custom").alias("metadata"))
+
+
 def to_hits(rows: DataFrame) -> DataFrame:
     """Stored rows (chunk_id, content, metadata, score) as columns with defaults, lists decoded."""
     m = lambda k: F.try_element_at("metadata", F.lit(k))
@@ -236,6 +253,12 @@ def profile_chunks(chunks: DataFrame) -> DataFrame:
     )
 
 
+def profile_counts(chunks: DataFrame, min_len: int = 50) -> DataFrame:
+    """workspace, reason, n: chunks (with workspace) by why the noise filter drops them; kept ones have the reason kept."""
+    reason = F.coalesce(noise_reason(min_len), F.lit("kept"))
+    return with_refs(chunks).groupBy("workspace", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def usable_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.filter(F.length(T.strip("content")) > 20)
 

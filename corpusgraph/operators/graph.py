@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +128,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, center: str = "*", depth: int =
     return seen.join(deg.select("id", "degree"), "id").orderBy("hop", F.desc("degree"), "id").limit(max_nodes)
 
 
+def is_truncated(shown: DataFrame, nodes: DataFrame, edges: DataFrame, center: str = "*", depth: int = 3) -> DataFrame:
+    """One row, is_truncated: whether nodes within `depth` edges of the center were left out of a subgraph."""
+    near = subgraph(nodes, edges, center, depth, (1 << 31) - 1).agg(F.count(F.lit(1)).alias("near"))
+    return near.crossJoin(F.broadcast(shown.agg(F.count(F.lit(1)).alias("shown")))).select((F.col("near") > F.col("shown")).alias("is_truncated"))  # one row each
+
+
 def subgraph_edges(shown: DataFrame, edges: DataFrame, cut: int = 80) -> DataFrame:
     """source, target, label (the description, cut short), weight of edges between nodes of a subgraph; a null weight is 1."""
     ends = edges.join(shown.select(F.col("id").alias("source")), "source", "left_semi").join(shown.select(F.col("id").alias("target")), "target", "left_semi")
@@ -148,11 +156,13 @@ def merge_relations(relations: DataFrame) -> DataFrame:
 
 
 def ensure_entities(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """The entities and, as Other, the ends of relations that are none."""
+    """name, type, description: the entities and, as Other, the ends of relations that are none, with a fixed description."""
     known = entities.select(F.lower("name").alias("low"))
     ends = relations.select(F.explode(F.array("source", "target")).alias("name")).withColumn("low", F.lower("name")).groupBy("low").agg(F.min("name").alias("name"))
-    new = ends.join(known, "low", "left_anti").select("name", F.lit("Other").alias("type"))
-    return entities.select("name", "type").unionByName(new)
+    # Fixed value: the description of an entity that only relations name.
+    new = ends.join(known, "low", "left_anti").select("name", F.lit("Other").alias("type"), F.lit("Entity inferred from relation extraction.").alias("description"))
+    own = entities if "description" in entities.columns else entities.withColumn("description", F.lit("").cast("string"))
+    return own.select("name", "type", "description").unionByName(new)
 
 
 def kg_lines_encode(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -217,14 +227,18 @@ def decode_triplets(c: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda s: F.when(whole(s), F.array_append(s["out"], row(s))).otherwise(s["out"]))
 
 
-def build_graph(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, documents) and edges (source, target, weight) of a corpus by the offline extractor.
+def capitalised_runs(chunks: DataFrame) -> DataFrame:
+    """document_id, names: the offline extractor. Runs of capitalised words, the first of four letters at least; null content gives null."""
+    return chunks.select("document_id", F.regexp_extract_all("content", F.lit(r"\b(\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}+)*)"), 1).alias("names"))
+
+
+def build_graph(chunks: DataFrame, extractor: Callable[[DataFrame], DataFrame] = capitalised_runs) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, documents) and edges (source, target, weight) of a corpus.
 
-    Runs of capitalised words, the first of four letters at least, are entities; each is related to the next one of its chunk, so a
-    chunk gives no more edges than it has mentions. Weights add up over documents.
+    The extractor gives the names of each chunk in order (document_id, names), natively or by mapInPandas. Each name is related to the
+    next one of its chunk, so a chunk gives no more edges than it has mentions. Weights add up over documents.
     """
-    mentions = F.regexp_extract_all("content", F.lit(r"\b(\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}+)*)"), 1)
-    names = chunks.select("document_id", mentions.alias("names"))
+    names = extractor(chunks)
     nodes = names.select("document_id", F.explode("names").alias("id")).groupBy("id").agg(F.count_distinct("document_id").alias("documents"))
     link = F.zip_with("names", F.slice("names", 2, F.size("names")), lambda a, b: F.struct(F.least(a, b).alias("source"), F.greatest(a, b).alias("target"), b.isNotNull().alias("whole")))
     pairs = names.filter(F.size("names") > 1).select(F.explode(link).alias("p")).filter("p.whole")

@@ -73,6 +73,27 @@ def _(spark, d):
     return C.resolve_citations(u, src)
 
 
+@query("tx7_uncited_sources", f"WITH {USAGE} SELECT conv_id, turn, cited || 'x' AS cited FROM usage GROUP BY ALL")
+def _(spark, d):
+    u = C.citation_usage(S.messages(spark, d))
+    src = u.select("conv_id", "turn", "cited").distinct().select("conv_id", "turn", F.explode(F.array("cited", F.concat("cited", F.lit("x")))).alias("cited"))
+    return C.uncited_sources(u, src)
+
+
+@query("j7_resolve_images", "SELECT conv_id, turn, CAST(turn % 3 AS INT) AS place, CASE turn % 3 WHEN 0 THEN 'IMG-a' || conv_id WHEN 1 THEN 'IMG-2' ELSE 'IMG-zz' END AS cited, CASE turn % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' END AS image FROM conversations")
+def _(spark, d):
+    m = S.table(spark, d, "conversations").select("conv_id", "turn", (F.col("turn") % 3).cast("int").alias("place"))
+    cited = F.when(F.col("place") == 0, F.concat(F.lit("IMG-a"), F.col("conv_id").cast("string"))).when(F.col("place") == 1, "IMG-2").otherwise("IMG-zz")
+    shown = F.array(F.struct(F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("ref_id"), F.lit("first").alias("image")), F.struct(F.lit("b").alias("ref_id"), F.lit("second").alias("image")))
+    images = m.select("conv_id", "turn", F.posexplode(shown).alias("place", "x")).select("conv_id", "turn", "place", "x.*")
+    return C.resolve_images(m.withColumn("cited", cited), images)
+
+
+@query("a15_synth_distribution", "SELECT source AS synthesizer, count(*) AS n FROM documents GROUP BY source")
+def _(spark, d):
+    return C.synth_distribution(S.table(spark, d, "documents").withColumnRenamed("source", "synthesizer"))
+
+
 @query("a19_source_badges", f"WITH {USAGE} SELECT conv_id, turn, count(DISTINCT cited) AS n FROM usage WHERE place < 3 GROUP BY conv_id, turn")
 def _(spark, d):
     m = S.messages(spark, d).filter("role = 'assistant'").withColumn("ids", T.extract_citations("content"))
@@ -113,7 +134,28 @@ def _(spark, d):
 
 @query("st2_agent_timeline", f"WITH {LOG}, s AS (SELECT * FROM log WHERE event IN ('status', 'complete')) SELECT session, CAST(row_number() OVER w AS INT) AS step, CASE event WHEN 'complete' THEN 'done' ELSE data END AS name, epoch_us(lead(ts) OVER w) - epoch_us(ts) AS duration FROM s WINDOW w AS (PARTITION BY session ORDER BY seq)")
 def _(spark, d):
-    return C.agent_timeline(log(spark, d))
+    return C.agent_timeline(log(spark, d)).select("session", "step", "name", "duration")
+
+
+def agent_log(spark, d):
+    """Events of agents: kind and content follow from event_id."""
+    i = F.col("event_id")
+    kind = F.pmod(i * 7 + F.floor(i / 11), F.lit(10))
+    names = F.element_at(F.array(*map(F.lit, ("analyzing", "retrieving", "generating", "other"))), (kind + 1).cast("int"))
+    event = F.when(kind < 4, "status").when(kind == 4, "sources").when(kind == 5, "images").when(kind == 6, "thinking").when(kind == 7, "complete").when(kind == 8, "error").otherwise("token")
+    ids = F.concat_ws("|", F.concat(F.lit("s"), (i % 5).cast("string")), F.when(i % 3 > 0, F.concat(F.lit("s"), (i % 4).cast("string"))))
+    data = F.when(kind < 4, names).when(kind == 4, ids).when(kind == 5, F.when(i % 2 == 0, ids).otherwise("")).otherwise(F.concat(F.lit("t"), (i % 7).cast("string")))
+    return S.table(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), i.alias("seq"), event.alias("event"), data.alias("data"), "ts")
+
+
+@query("st2_agent_steps", None)
+def _(spark, d):
+    return C.agent_timeline(agent_log(spark, d))
+
+
+@query("st2b_client_timeline", None)
+def _(spark, d):
+    return C.client_timeline(agent_log(spark, d))
 
 
 STATUS = "st AS (SELECT user_id AS document_id, event_id AS seq, ts, ['PARSING', 'PROCESSING', 'INDEXING', 'INDEXED', 'FAILED'][CAST(event_id % 5 + 1 AS INT)] AS status FROM events)"

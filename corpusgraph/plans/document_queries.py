@@ -102,9 +102,9 @@ def _(spark, d):
     return documents.usable_chunks(S.chunks(spark, d)).select("document_id", "chunk_index")
 
 
-@query("f12_validate_queries", "SELECT item_id, CASE WHEN length(text) < 1 OR length(text) > 300 * 1000 // 300 THEN 'question length' WHEN item_id % 25 < 1 OR item_id % 25 > 20 THEN 'top_k' ELSE '' END AS reason FROM benchmark")
+@query("f12_validate_queries", "SELECT item_id, CASE WHEN length(text) < 1 OR length(text) > 1000 THEN 'question length' WHEN item_id % 25 < 1 OR item_id % 25 > 20 THEN 'top_k' WHEN length(text) * 40 > 5000 THEN 'message length' ELSE '' END AS reason FROM benchmark")
 def _(spark, d):
-    b = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 25).alias("top_k"))
+    b = S.table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), (F.col("item_id") % 25).alias("top_k"), F.repeat("text", F.lit(40)).alias("message"))
     return documents.validate_queries(b).select("item_id", "reason")
 
 
@@ -128,6 +128,14 @@ def _(spark, d):
     return m.select("chunk_id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "file_type", "extra", "page_no", "heading_path", "image_ids", "table_ids", "image_urls")])
 
 
+@query("p2_vector_metadata_plain", f"WITH {S.DOCS}, {S.CHUNKS} SELECT {_IDS}, CASE WHEN id % 4 = 0 THEN 'mine' ELSE filename END AS source, file_type, (10 * chunk_index)::VARCHAR AS char_start, (10 * chunk_index + length(content))::VARCHAR AS char_end FROM chunks JOIN docs ON id = document_id")
+def _(spark, d):
+    start = 10 * F.col("chunk_index")
+    placed = S.chunks(spark, d).withColumns({"char_start": start, "char_end": start + F.length("content")})
+    m = documents.vector_metadata_plain(placed, S.docs(spark, d).withColumn("custom_metadata", F.when(F.col("id") % 4 == 0, F.create_map(F.lit("source"), F.lit("mine")))))
+    return m.select("chunk_id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("source", "file_type", "char_start", "char_end")])
+
+
 @query("p3_to_hits", f"WITH {S.DOCS}, {S.CHUNKS} SELECT {_IDS}, document_id, chunk_index, filename AS source, page_no, CASE WHEN id % 2 = 0 THEN 'A,B' ELSE '' END AS headings, CASE WHEN chunk_index % 4 = 0 THEN 2 ELSE 0 END AS n_images, CASE WHEN chunk_index % 3 = 0 THEN 1 ELSE 0 END AS n_tables, contains(content, '|') AND contains(content, '---') AS has_table FROM chunks JOIN docs ON id = document_id")
 def _(spark, d):
     m = documents.vector_metadata(illustrated(spark, d), S.docs(spark, d).withColumn("custom_metadata", F.lit(None).cast("map<string,string>")))
@@ -153,9 +161,9 @@ def _(spark, d):
     return documents.document_chunks(docs.select((F.col("id") * 3).alias("id")), docs, S.chunks(spark, d))
 
 
-@query("p10_reset_documents", f"WITH {S.DOCS} SELECT id, CASE WHEN id IN (1, 5, 7) THEN 'PENDING' ELSE status END AS status, CASE WHEN id IN (1, 5, 7) THEN 0 ELSE chunk_count END AS chunk_count FROM docs")
+@query("p10_reset_documents", f"WITH {S.DOCS} SELECT id, CASE WHEN id % 7 = 1 THEN 'PENDING' ELSE status END AS status, CASE WHEN id % 7 = 1 THEN 0 ELSE chunk_count END AS chunk_count, CASE WHEN id % 7 <> 1 THEN filename END AS markdown FROM docs")
 def _(spark, d):
-    return documents.reset_documents(S.docs(spark, d), [1, 5, 7]).select("id", "status", "chunk_count")
+    return documents.reset_documents(S.docs(spark, d).withColumn("markdown", F.col("filename")), S.docs(spark, d).filter("id % 7 = 1")).select("id", "status", "chunk_count", "markdown")
 
 
 @query("j1_image_counts", f"WITH {S.DOCS} SELECT workspace, CAST(sum(image_count) AS BIGINT) AS n_images FROM docs GROUP BY workspace HAVING sum(image_count) > 0")
@@ -376,3 +384,9 @@ def _(spark, d):
 @query("s16_s17_slugs_and_needles", f"WITH {S.CHUNKS} SELECT document_id, chunk_index, left(trim(regexp_replace(regexp_replace(trim(content), '[`*_>#|]', ' ', 'g'), '\\s+', ' ', 'g')), 220) AS needle FROM chunks")
 def _(spark, d):
     return S.chunks(spark, d).select("document_id", "chunk_index", T.search_needle("content").alias("needle"))
+
+
+@query("tx1_profile_counts", None)
+def _(spark, d):
+    c = S.chunks(spark, d).join(S.docs(spark, d).select(F.col("id").alias("document_id"), "workspace"), "document_id")
+    return documents.profile_counts(c)

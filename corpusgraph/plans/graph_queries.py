@@ -116,6 +116,12 @@ def _(spark, d):
     return G.subgraph(*graph(spark, d), "NATION_3", 2, 150)
 
 
+@query("g6_is_truncated", f"WITH RECURSIVE {S.GRAPH}, both_ AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), walk AS (SELECT 'NATION_3' AS id, 0 AS hop UNION SELECT target, hop + 1 FROM walk JOIN both_ ON source = id WHERE hop < 2) SELECT count(DISTINCT id) > 20 AS is_truncated FROM walk")
+def _(spark, d):
+    g = graph(spark, d)
+    return G.is_truncated(G.subgraph(*g, "NATION_3", 2, 20), *g, "NATION_3", 2)
+
+
 @query("g6_subgraph_edges", f"WITH {S.GRAPH}, shown AS (SELECT r_name AS id FROM region UNION ALL SELECT n_name FROM nation) SELECT source, target, description AS label, 1.0::DOUBLE AS weight FROM edges WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)")
 def _(spark, d):
     return G.subgraph_edges(S.nodes(spark, d).filter("entity_type in ('Region', 'Nation')"), S.edges(spark, d))
@@ -159,7 +165,7 @@ def _(spark, d):
     return G.merge_relations(relations(spark, d))
 
 
-@query("u2_ensure_entities", f"WITH {MERGED}, known AS (SELECT DISTINCT 'part ' || (p_partkey % 20) AS name FROM part), ends AS (SELECT lower(name) AS low, min(name) AS name FROM (SELECT source AS name FROM merged UNION ALL SELECT target FROM merged) GROUP BY lower(name)) SELECT name, 'Part' AS type FROM known UNION ALL SELECT name, 'Other' FROM ends WHERE low NOT IN (SELECT lower(name) FROM known)")
+@query("u2_ensure_entities", f"WITH {MERGED}, known AS (SELECT DISTINCT 'part ' || (p_partkey % 20) AS name FROM part), ends AS (SELECT lower(name) AS low, min(name) AS name FROM (SELECT source AS name FROM merged UNION ALL SELECT target FROM merged) GROUP BY lower(name)) SELECT name, 'Part' AS type, '' AS description FROM known UNION ALL SELECT name, 'Other', 'Entity inferred from relation extraction.' FROM ends WHERE low NOT IN (SELECT lower(name) FROM known)")
 def _(spark, d):
     known = S.table(spark, d, "part").select(F.concat(F.lit("part "), (F.col("p_partkey") % 20).cast("string")).alias("name"), F.lit("Part").alias("type")).distinct()
     return G.ensure_entities(known, G.merge_relations(relations(spark, d)))

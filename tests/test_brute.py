@@ -154,3 +154,129 @@ def test_context_of_nothing(spark):
     hits = spark.createDataFrame([], "query_id long, rank int, content string, file string, page_no int, heading_path array<string>")
     asked = spark.createDataFrame([(1, "x")], "query_id long, question string")
     assert [tuple(r) for r in R.assemble_context(hits, queries=asked).collect()] == [(1, R.NOTHING_FOUND)]
+
+
+def ids_of(e):
+    return [x for x in (e["data"] or "").split("|") if x]
+
+
+def micros(a, b):
+    return round((b - a).total_seconds() * 1_000_000)
+
+
+def stored_steps(events):
+    """The stored steps of a session, event by event."""
+    steps, sources, images = [], [], []
+
+    def found(ts):
+        steps.append({"name": "sources_found", "ts": ts, "n": len(sources), "i": len(images), "b": list(dict.fromkeys(sources[:6]))})
+
+    for e in events:
+        if e["event"] == "status":
+            if e["data"] == "generating" and sources:
+                found(e["ts"])
+                sources, images = [], []
+            steps.append({"name": e["data"], "ts": e["ts"]})
+        elif e["event"] == "sources":
+            sources += ids_of(e)
+        elif e["event"] == "images":
+            images += ids_of(e)
+        elif e["event"] == "thinking" and (first := next((s for s in steps if s["name"] == "analyzing"), None)):
+            first["t"] = first.get("t", "") + e["data"]
+        elif e["event"] == "complete":
+            if sources and not any(s["name"] == "sources_found" for s in steps):
+                found(e["ts"])
+            steps.append({"name": "done", "ts": e["ts"]})
+            break  # nothing follows an answer
+    ends = [s["ts"] for s in steps[1:]]
+    return [(k + 1, s["name"], s.get("n"), s.get("i"), s.get("b"), s.get("t"), micros(s["ts"], ends[k]) if k < len(ends) else None) for k, s in enumerate(steps)]
+
+
+def shown_steps(events):
+    """The steps a client shows, event by event."""
+    steps = []
+
+    def end(ts, status="completed"):
+        for s in steps:
+            if s["status"] == "active":
+                s["status"] = status
+                s["d"] = micros(s["ts"], ts) if status == "completed" else None
+
+    def add(name, e, status="completed", **more):
+        steps.append({"name": name, "ts": e["ts"], "status": status, **more})
+
+    for e in events:
+        if e["event"] == "status" and e["data"] in ("analyzing", "retrieving", "generating"):
+            if e["data"] != "analyzing":
+                end(e["ts"])
+            if e["data"] == "retrieving":
+                add("understood", e)
+            add(e["data"], e, "active")
+        elif e["event"] == "sources":
+            end(e["ts"])
+            add("sources_found", e, n=len(ids_of(e)), i=0, b=ids_of(e))
+        elif e["event"] == "images":
+            if last := next((s for s in reversed(steps) if s["name"] == "sources_found"), None):
+                last["i"] += len(ids_of(e))
+        elif e["event"] == "complete":
+            end(e["ts"])
+            add("done", e, total=micros(events[0]["ts"], e["ts"]))
+        elif e["event"] == "error":
+            end(e["ts"], "error")
+    return [(k + 1, s["name"], s["status"], s.get("d"), s.get("n"), s.get("i"), s.get("b"), s.get("total")) for k, s in enumerate(steps)]
+
+
+def sessions_of(spark, sf_dir):
+    from corpusgraph.plans.chat_queries import agent_log
+
+    events = {}
+    for e in agent_log(spark, sf_dir).orderBy("seq").collect():
+        events.setdefault(e["session"], []).append(e)
+    return events
+
+
+def grouped(rows, columns):
+    out = {}
+    for r in sorted(rows, key=lambda r: r["step"]):
+        out.setdefault(r["session"], []).append(tuple(r[c] for c in columns))
+    return out
+
+
+def test_stored_steps(spark, sf_dir):
+    """One answer a session: its events end with the first complete."""
+    from corpusgraph.operators import chat as C
+
+    whole = sessions_of(spark, sf_dir)
+    cut = {s: es[: next((k + 1 for k, e in enumerate(es) if e["event"] == "complete"), len(es))] for s, es in whole.items()}
+    rows = [tuple(e) for es in cut.values() for e in es]
+    schema = "session string, seq long, event string, data string, ts timestamp_ntz"
+    got = grouped(C.agent_timeline(spark.createDataFrame(rows, schema)).collect(), ("step", "name", "n_sources", "n_images", "badges", "thinking", "duration"))
+    assert got == {s: x for s, es in cut.items() if (x := stored_steps(es))}
+    assert any(r[1] == "sources_found" for x in got.values() for r in x)
+
+
+def test_shown_steps(spark, sf_dir):
+    got = grouped(QUERIES["st2b_client_timeline"](spark, sf_dir).collect(), ("step", "name", "status", "duration", "n_sources", "n_images", "badges", "total"))
+    assert got == {s: x for s, es in sessions_of(spark, sf_dir).items() if (x := shown_steps(es))}
+
+
+def test_profile_counts(spark, sf_dir):
+    """The counts agree with the noise filter's reasons chunk by chunk."""
+    from corpusgraph.operators.dedup import filter_noise
+    from corpusgraph.plans import standins as S
+
+    source = {r["doc_id"]: r["source"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = Counter((source[r["document_id"]], r["drop_reason"] or "kept") for r in filter_noise(S.chunks(spark, sf_dir)).collect())
+    assert {(r["workspace"], r["reason"]): r["n"] for r in QUERIES["tx1_profile_counts"](spark, sf_dir).collect()} == dict(want)
+
+
+def test_rows_are_numbered_in_order(spark):
+    """Ties, nulls and several ranges; an empty table gives none."""
+    from corpusgraph.operators.chat import numbered_rows
+
+    df = spark.range(5000).selectExpr("id % 700 as a", "case when id % 9 > 0 then id end as b")
+    got = numbered_rows(df, "n", "a", "b").collect()
+    assert sorted(r["n"] for r in got) == list(range(1, 5001))
+    by_n = [(r["a"], -1 if r["b"] is None else r["b"]) for r in sorted(got, key=lambda r: r["n"])]
+    assert by_n == sorted(by_n)
+    assert numbered_rows(df.limit(0), "n", "a").collect() == []
