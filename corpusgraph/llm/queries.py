@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chats, decontam, lang_crf, licenses, mixing, simhash, substring, tokens, topk, url_lists
+from . import chats, decontam, lang_crf, lexical, licenses, merkle, mixing, quality_crf, simhash, substring, tokens, topk, url_lists
 from .common import documents
 
 
@@ -68,5 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": op2_url_filters,
     "op7_chats": op7_chats,
     "op8_top_k": op8_top_k,
+    "op11_lexical": lexical.benchmark_search,
+    "op12_quality": quality_crf.documents_quality,
+    "op13_merkle": merkle.documents_manifest,
 }
-ORACLES: dict[str, str] = {"op2_url_filters": url_lists.ORACLE, "op7_chats": chats.ORACLE, "op8_top_k": topk.ORACLE}
+ORACLES: dict[str, str] = {"op2_url_filters": url_lists.ORACLE, "op7_chats": chats.ORACLE, "op8_top_k": topk.ORACLE, "op11_lexical": lexical.ORACLE, "op13_merkle": merkle.ORACLE}
