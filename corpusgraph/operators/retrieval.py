@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.operators.vectors import hashed_embeddings, vector_search, vector_search_lsh, vector_search_many  # noqa: F401
 from corpusgraph.sources.shared import write_table
 
-#: Words of all questions up to which they are broadcast; more are joined by shuffling.
+#: Questions, and words of all questions, up to which they are broadcast; more are joined by shuffling.
 BROADCAST_TERMS = 200_000
+#: Scores that a task holds at a time.
+STEP = 1 << 21
 
 
 def rank_by(partition: str, *order) -> Column:
@@ -27,111 +34,71 @@ def check_dim(queries: DataFrame, dim: int) -> DataFrame:
     return queries.withColumn("dim_ok", F.coalesce(F.size("embedding") == dim, F.lit(False)))
 
 
-def vector_search(vectors: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
-    """The k nearest of one query vector by cosine distance."""
-    df = vectors if where is None else vectors.filter(where)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return df.filter(F.size("embedding") == len(query)).select("chunk_id", T.cosine_distance("embedding", q).alias("distance")).orderBy("distance", "chunk_id").limit(k)
+@dataclass(frozen=True)
+class Loaded:
+    """A model that each Python worker loads once, however many tasks it runs."""
 
+    load: Callable[[], Callable]
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Vectors (key, unit) in blocks of about `rows` of one dimension, dealt by hash."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.lit(df.count()) / rows))
-    dealt = df.withColumns({"block": F.pmod(F.xxhash64(key), blocks), "dim": F.size("unit")})
-    return dealt.groupBy("dim", "block").agg(F.collect_list(F.struct(F.col(key).alias("key"), "unit")).alias("rows"))
+    def get(self) -> Callable:
+        if self.key not in _MODELS:
+            _MODELS[self.key] = self.load()
+        return _MODELS[self.key]
 
 
-def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int, block_rows: int = 8192, query_rows: int = 1024, where: Column | None = None) -> DataFrame:
-    """query_id, chunk_id, distance, rank: the k nearest vectors (of those that meet where) of each query (query_id, embedding), exactly.
+_MODELS: dict[str, Callable] = {}
 
-    Vectors and queries are packed into blocks, and each pair of blocks of one dimension is one matrix product in a task, whose k best
-    for each query are all that is shuffled. Ranks go by the distance rounded to 9 places, then chunk_id. Zero vectors are at distance
-    1; null vectors and vectors of another dimension than the query's take no part; empty tables give no rows.
-    """
-    unit = lambda df, key: df.filter("embedding is not null").select(F.col(key).cast("long").alias(key), T.l2_normalize("embedding").alias("unit"))
-    v = _packed(unit(vectors if where is None else vectors.filter(where), "chunk_id"), "chunk_id", block_rows).select("dim", F.col("rows").alias("v_rows"))
-    q = _packed(unit(queries, "query_id"), "query_id", query_rows).select("dim", F.col("rows").alias("q_rows"), F.col("block").alias("q_block"))
-    pairs = v.join(q, "dim").repartition("q_block", F.rand(3))  # blocks against blocks, not rows against rows
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim, vs, qs = batch.column("dim")[i].as_py(), batch.column("v_rows")[i].values, batch.column("q_rows")[i].values
-                matrix = lambda x: x.field("unit").flatten().to_numpy().reshape(len(x), dim)
-                ids, asked = vs.field("key").to_numpy(), qs.field("key").to_numpy()
-                distance = np.round(1 - matrix(qs) @ matrix(vs).T, 9)
-                out = []
-                for row, query in zip(distance, asked.tolist(), strict=True):
-                    near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if len(row) > k else np.arange(len(row))
-                    best = near[np.lexsort((ids[near], row[near]))][:k]
-                    out.append((np.full(len(best), query), ids[best], row[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "chunk_id", "distance"])
-
-    found = pairs.mapInArrow(run, "query_id long, chunk_id long, distance double")
-    return found.withColumn("rank", rank_by("query_id", "distance", "chunk_id")).filter(F.col("rank") <= k)
-
-
-def lsh_buckets(df: DataFrame, key: str, dim: int, tables: int = 40, bits: int = 5, seed: int = 7) -> DataFrame:
-    """Sign-random-projection buckets: (key, table, bucket), a row for each table. Null vectors and those of another dimension give none."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        planes = np.random.default_rng(seed).normal(size=(tables * bits, dim))
-        for batch in batches:
-            x = np.array(batch.column("embedding").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, dim)
-            signs = (x @ planes.T >= 0).reshape(len(x), tables, bits)
-            buckets = signs @ (1 << np.arange(bits))
-            keys = np.repeat(batch.column(key).to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), pa.array(buckets.ravel().astype(np.int64))], [key, "table", "bucket"])
-
-    whole = df.filter(F.size("embedding") == dim).select(F.col(key).cast("long").alias(key), F.transform("embedding", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("embedding"))
-    return whole.mapInArrow(run, f"{key} long, table int, bucket long")
-
-
-def vector_search_lsh(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables: int = 40, bits: int = 5) -> DataFrame:
-    """Approximate: candidates that share a bucket with the query, then exact distances. The defaults find over 0.9 of the ten nearest in the tables given."""
-    v, q = lsh_buckets(vectors, "chunk_id", dim, tables, bits), lsh_buckets(queries, "query_id", dim, tables, bits)
-    pairs = q.join(v, ["table", "bucket"]).select("query_id", "chunk_id").distinct()
-    met = pairs.join(queries.select("query_id", F.col("embedding").alias("qe")), "query_id").join(vectors.select("chunk_id", "embedding"), "chunk_id")
-    met = met.select("query_id", "chunk_id", T.cosine_distance("embedding", "qe").alias("distance"))
-    return met.withColumn("rank", rank_by("query_id", "distance", "chunk_id")).filter(F.col("rank") <= k)
-
-
-def hashed_embeddings(df: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """Offline default of the embedder: normalized counts of words by the first two hex digits of their MD5, over the whole text. Null or blank texts count as [empty]."""
-    each = df.select(key, F.explode(T.word_tokens(T.sanitize_embed_input(text, None))).alias("w")).withColumn("place", F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % dim)
-    counts = each.groupBy(key, "place").agg(F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return counts.select(key, raw.alias("raw")).select(key, T.l2_normalize("raw").alias("embedding"))
-
-
-def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]], dim: int, text: str = "content", batch: int = 32, tries: int = 2) -> DataFrame:
-    """df with embedding and embed_error, from a pluggable model, in batches.
+
+def _retried(model: Callable[[list], list], rows: list, tries: int, failed: Callable[[str], object]) -> list:
+    """What the model gives for rows; a batch that fails `tries` times is halved until the bad row is alone, which gets failed(message)."""
+    for _ in range(tries):
+        try:
+            return list(model(rows))
+        except Exception as e:
+            said = f"{type(e).__name__}: {e}"
+    half = len(rows) // 2
+    return [failed(said)] if len(rows) == 1 else _retried(model, rows[:half], tries, failed) + _retried(model, rows[half:], tries, failed)
+
+
+def embed(df: DataFrame, model: Callable[[list[str]], list[list[float]]] | Loaded, dim: int, text: str = "content", batch: int = 32, tries: int = 2) -> DataFrame:
+    """df with embedding (of length 1) and embed_error, from a pluggable model of texts, in batches.
 
     A batch that fails `tries` times is halved until the bad row is alone, which gets a zero vector of dim and the message. NaN
-    components are 0.
+    components are 0, zero vectors stay; a null or blank text is the text [empty].
     """
 
-    def run(rows: list[str]) -> list[tuple[list[float], str | None]]:
-        for _ in range(tries):
-            try:
-                return [([0.0 if x != x else float(x) for x in v], None) for v in model(rows)]
-            except Exception as e:
-                said = f"{type(e).__name__}: {e}"
-        return [([0.0] * dim, said)] if len(rows) == 1 else run(rows[: len(rows) // 2]) + run(rows[len(rows) // 2 :])
-
     @F.pandas_udf("embedding array<double>, embed_error string")
-    def vectors(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([v for i in range(0, len(s), batch) for v in run(s.iloc[i : i + batch].tolist())], columns=["embedding", "embed_error"])
+    def vectors(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = model.get() if isinstance(model, Loaded) else model
+        for s in parts:
+            out = []
+            for i in range(0, len(s), batch):
+                for v in _retried(run, s.iloc[i : i + batch].tolist(), tries, lambda said: said):
+                    x = np.zeros(dim) if isinstance(v, str) else np.nan_to_num(np.array(v, float))
+                    out.append((x / (np.linalg.norm(x) or 1.0), v if isinstance(v, str) else None))
+            yield pd.DataFrame(out, columns=["embedding", "embed_error"])
 
     return df.withColumn("_v", vectors(T.sanitize_embed_input(text))).select(*df.columns, "_v.embedding", "_v.embed_error")
 
 
+def model_score(model: Callable[[list[tuple[str, str]]], list[float]] | Loaded, question: str = "question", content: str = "content", batch: int = 32, tries: int = 2) -> Column:
+    """A scorer for rerank: scores of (question, content) pairs from a pluggable model, in batches.
+
+    A pair on which the model fails, even alone, scores null, and so does one with a NaN score: null never passes a least score. Null
+    texts are empty ones.
+    """
+
+    @F.pandas_udf("double")
+    def scores(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        run = model.get() if isinstance(model, Loaded) else model
+        for q, c in parts:
+            pairs = list(zip(q.fillna("").tolist(), c.fillna("").tolist(), strict=True))
+            yield pd.Series([x for i in range(0, len(pairs), batch) for x in _retried(run, pairs[i : i + batch], tries, lambda _: None)], dtype=float)
+
+    return F.nanvl(scores(question, content), F.lit(None).cast("double"))
+
+
 # --- words ---------------------------------------------------------------------------------------------------------------------
 
 Tokenizer = Callable[[Column], Column]
@@ -157,15 +124,24 @@ def bm25_idf(counts: DataFrame) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, counts: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+def term_weights(queries: DataFrame, counts: DataFrame, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+    """query_id, term, weight: the idf of each word of a question, as often as the question has it."""
+    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return write_table(asked.join(bm25_idf(counts), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "bm25-weights")
+
+
+def _mean_words(counts: DataFrame) -> float:
+    stats = lexical_stats(counts).first()
+    return float(stats["avgdl"] or 1) if stats else 1.0
+
+
+def bm25_scores(chunks: DataFrame, queries: DataFrame, counts: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Tokenizer = T.word_tokens, weights: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, score for chunks that share a word with the query; a word counts as often as the query has it.
 
     counts are the chunks' term_counts. Words that no question has are dropped before anything is grouped.
     """
-    stats = lexical_stats(counts).first()
-    avgdl = float(stats["avgdl"] or 1) if stats else 1.0
-    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    weights = write_table(asked.join(bm25_idf(counts), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "bm25-weights")
+    avgdl = _mean_words(counts)
+    weights = term_weights(queries, counts, tokens) if weights is None else weights
     few = F.broadcast if weights.count() <= BROADCAST_TERMS else lambda df: df
     each = chunks.select("chunk_id", tokens(F.col("content")).alias("w")).select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     posted = each.join(few(weights.select("term").distinct()), "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -173,27 +149,123 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, counts: DataFrame, k1: fl
     return posted.join(few(weights), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, tokens: Tokenizer = T.word_tokens) -> DataFrame:
+class _Best:
+    """The k best rows of each question among the blocks of chunks seen so far, by score to 9 places, then chunk id."""
+
+    def __init__(self, n: int, k: int, ids: np.dtype):
+        self.k, self.score, self.exact, self.ids = k, np.full((n, k), -np.inf), np.zeros((n, k)), np.zeros((n, k), ids)
+
+    def least(self) -> np.ndarray:
+        return self.score[:, -1]
+
+    def see(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """scores: a row for each chunk, a column for each of the queries."""
+        rounded = np.round(scores, 9)
+        if ids.dtype.kind == "U" and ids.dtype.itemsize > self.ids.dtype.itemsize:
+            self.ids = self.ids.astype(ids.dtype)
+        for j in np.flatnonzero((rounded >= self.least()[queries]).any(axis=0)).tolist():
+            q, col = queries[j], rounded[:, j]
+            near = np.flatnonzero(col >= self.score[q, -1])
+            if len(near) > self.k:
+                near = near[col[near] >= np.partition(col[near], len(near) - self.k)[len(near) - self.k]]
+            s, e, x = (np.concatenate(y) for y in ((self.score[q], col[near]), (self.exact[q], scores[near, j]), (self.ids[q], ids[near])))
+            best = np.lexsort((x, -s))[: self.k]
+            self.score[q], self.exact[q], self.ids[q] = s[best], e[best], x[best]
+
+
+def _scored_in_place(chunks: DataFrame, queries: DataFrame, weights: DataFrame, avgdl: float, k: int, k1: float, b: float, tokens: Tokenizer) -> DataFrame:
+    """query_id, chunk_id, score: the k best chunks of each question in each task, from one pass over the chunks where they lie.
+
+    A question's words and weights go to all tasks. A block of chunks is a sparse product: its counts of asked words by the weights. The
+    largest value that a word reaches in a block bounds what a question can score there; blocks that cannot reach a question's k-th
+    score so far are skipped for it.
+    """
+    names = [r[0] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # as many as bm25_search has checked
+    number, vocab = {x: i for i, x in enumerate(names)}, {}
+    rows = sorted((vocab.setdefault(r["term"], len(vocab)), number[r["query_id"]], r["weight"]) for r in weights.collect())
+    term, query, weight = (np.array(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    heads = np.searchsorted(term, np.arange(len(vocab) + 1))
+    spark = chunks.sparkSession
+    sent = spark.sparkContext.broadcast((vocab, term, query, weight, heads))
+    whole = chunks.schema["chunk_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    n_queries = len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, term, query, weight, heads = sent.value
+        best, gain = _Best(n_queries, k, np.dtype(np.int64) if whole else np.dtype("U1")), np.maximum(weight, 0)
+        step = max(1, STEP // max(1, n_queries))
+        for batch in (b for whole_batch in batches for at in range(0, whole_batch.num_rows, step) for b in [whole_batch.slice(at, step)]):
+            n, words = batch.num_rows, batch.column("w")
+            ids = batch.column("chunk_id").to_numpy() if whole else np.array(batch.column("chunk_id").to_pylist(), str)
+            dl = np.diff(words.offsets.to_numpy())
+            coded = words.flatten().dictionary_encode()
+            known = np.array([vocab.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+            t = known[coded.indices.to_numpy(zero_copy_only=False)] if dl.sum() else np.zeros(0, np.int64)
+            owner = np.repeat(np.arange(n), dl)[t >= 0]
+            pair, tf = np.unique(owner * max(1, len(vocab)) + t[t >= 0], return_counts=True)
+            row, t = pair // max(1, len(vocab)), pair % max(1, len(vocab))
+            value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[row] / avgdl))
+            most = np.zeros(len(vocab))
+            np.maximum.at(most, t, value)
+            bound = np.bincount(query, gain * most[term], n_queries) if len(term) else np.zeros(n_queries)
+            live = np.flatnonzero(bound >= best.least() - 1e-8)
+            if not len(live):
+                continue
+            column = np.full(n_queries, -1)
+            column[live] = np.arange(len(live))
+            times = np.diff(heads)[t]
+            at = np.repeat(heads[t] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            to = column[query[at]] if len(at) else np.zeros(0, np.int64)
+            on = to >= 0
+            scores = np.bincount((np.repeat(row, times) * len(live) + to)[on], (np.repeat(value, times) * weight[at])[on] if len(at) else None, n * len(live))
+            best.see(live, scores.reshape(n, len(live)).astype(float), ids)
+        found = np.isfinite(best.score)
+        q = np.repeat(np.arange(n_queries), k).reshape(-1, k)[found]
+        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(best.ids[found]), pa.array(best.exact[found])], ["_q", "chunk_id", "score"])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    words = chunks.filter("chunk_id is not null").select(F.col("chunk_id").cast("long" if whole else "string"), F.coalesce(tokens(F.col("content")), F.array().cast("array<string>")).alias("w"))
+    found = words.mapInArrow(run, f"_q int, chunk_id {'long' if whole else 'string'}, score double").withColumn("chunk_id", F.col("chunk_id").cast(kind))
+    index = spark.createDataFrame(list(enumerate(names)), f"_q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
+    return found.join(F.broadcast(index), "_q").select("query_id", "chunk_id", "score")
+
+
+def _first_unscored(chunks: DataFrame, short: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score 0: the k smallest chunk ids without a score of each short question.
+
+    Chunks are numbered by id. Up to the i-th scored chunk of a question, of number n, there are n - i without a score; so the j-th
+    without one has the number j plus how many scored chunks have less than j before them.
+    """
+    from corpusgraph.operators.chat import numbered_rows
+
+    numbers = numbered_rows(chunks.select("chunk_id").filter("chunk_id is not null"), "_n", "chunk_id")
+    order = Window.partitionBy("query_id").orderBy("_n")
+    before = scored.join(numbers, "chunk_id").withColumn("_gap", F.col("_n") - F.row_number().over(order)).filter(F.col("_gap") < k)
+    each = before.groupBy("query_id").agg(*[F.count_if(F.col("_gap") < j).alias(f"_{j}") for j in range(1, k + 1)])
+    met = short.select("query_id").distinct().join(each, "query_id", "left")
+    wanted = met.select("query_id", F.explode(F.array(*[F.coalesce(F.col(f"_{j}"), F.lit(0)) + j for j in range(1, k + 1)])).alias("_n"))
+    return wanted.join(numbers, "_n").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, tokens: Tokenizer = T.word_tokens, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, chunk_id, score, rank: the k best chunks of each query, by the score rounded to 9 places, then chunk_id.
 
     With where, the chunks that do not meet it are not there: they count in no statistic. Chunks without a common word score 0, so
-    they rank above negative scores (of words most chunks have). Only queries with less than k positive scores need them: then the k
-    smallest ids without a score, which are among the first k + (scored chunks of the query). Null texts have no words; empty tables
-    give no rows.
+    they rank above negative scores (of words most chunks have). Null texts have no words; chunks without an id count in the
+    statistics and are never found; empty tables give no rows. The words of all questions are broadcast to one pass over the chunks;
+    of more than BROADCAST_TERMS they are joined.
     """
     chunks = chunks if where is None else chunks.filter(where)
     counts = write_table(term_counts(chunks, tokens), "bm25-terms")
     best = lambda df: df.withColumn("rank", rank_by("query_id", F.desc(F.round("score", 9)), "chunk_id")).filter(F.col("rank") <= k)
-    top = write_table(best(bm25_scores(chunks, queries, counts, tokens=tokens)), "bm25-top")
-    enough = top.filter("score > 5e-10").groupBy("query_id").count().filter(F.col("count") >= k)
-    short = write_table(queries.join(enough, "query_id", "left_anti").select("query_id", "question").distinct(), "bm25-short")
-    if not short.head(1):
-        return top
-    scored = write_table(bm25_scores(chunks, short, counts, tokens=tokens).select("query_id", "chunk_id"), "bm25-scored")
-    most = scored.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(k + most)
-    zeros = short.select("query_id").crossJoin(first).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return best(top.drop("rank").unionByName(zeros))
+    weights = term_weights(queries, counts, tokens)
+    if weights.count() <= BROADCAST_TERMS and queries.count() <= BROADCAST_TERMS:
+        return best(_scored_in_place(chunks, queries, weights, _mean_words(counts), k, k1, b, tokens))
+    scores = write_table(bm25_scores(chunks.filter("chunk_id is not null"), queries, counts, k1, b, tokens, weights), "bm25-scores")
+    enough = scores.filter("score > 5e-10").groupBy("query_id").count().filter(F.col("count") >= k)
+    short = write_table(queries.join(enough, "query_id", "left_anti").select("query_id").distinct(), "bm25-short")
+    scored = scores.join(short, "query_id", "left_semi").select("query_id", "chunk_id")
+    return best(scores.unionByName(_first_unscored(chunks, short, scored, k)))
 
 
 # --- both ----------------------------------------------------------------------------------------------------------------------
@@ -267,6 +339,13 @@ def assemble_context_flat(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
 
 
+def assemble_context_chunks(hits: DataFrame) -> DataFrame:
+    """query_id, context: the older form, each hit of a query under its file (Unknown where it has none) and its place."""
+    # Fixed value: the heading of a hit.
+    head = F.concat(F.lit("[Source: "), F.coalesce("file", F.lit("Unknown")), F.lit(", Chunk "), F.col("rank").cast("string"), F.lit("]\n"), F.col("content"))
+    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", head.alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("context"))
+
+
 def page_assets(hits: DataFrame, assets: DataFrame) -> DataFrame:
     """query_id and the assets (document_id, page_no, asset_id, ...) on the pages above 0 of its hits, each once."""
     pages = hits.filter("page_no > 0").select("query_id", "document_id", "page_no").distinct()

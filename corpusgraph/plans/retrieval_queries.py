@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.operators import retrieval as R
+from corpusgraph.operators import vectors as V
 from corpusgraph.sources.shared import write_table
 
 from . import standins as S
@@ -53,8 +54,8 @@ def documents_where():
     return ~F.endswith("source", F.lit("1"))
 
 
-V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
-V_MANY = f"{V}, dist AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_distance(q.e, c.e) AS distance FROM v AS q, v AS c WHERE q.vec_id % 100 = 0), vhits AS (SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS INT) AS rank FROM dist QUALIFY rank <= 10)"
+VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+V_MANY = f"{VECTORS}, dist AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, list_cosine_distance(q.e, c.e) AS distance FROM v AS q, v AS c WHERE q.vec_id % 100 = 0), vhits AS (SELECT query_id, chunk_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS INT) AS rank FROM dist QUALIFY rank <= 10)"
 _DOCS = "docs_ AS (SELECT doc_id, text FROM documents WHERE {where})"
 _TOK = "list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> '')"
 _ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w, i: i % 2 = 1), ' ') || ' nation_' || (item_id % 25) AS question FROM benchmark)"
@@ -66,8 +67,9 @@ tok AS MATERIALIZED (SELECT doc_id AS chunk_id, {_TOK.format("text")} AS w FROM
 each AS (SELECT chunk_id, len(w) AS dl, unnest(w) AS term FROM tok),
 posted AS MATERIALIZED (SELECT chunk_id, any_value(dl) AS dl, term, count(*) AS tf FROM each GROUP BY chunk_id, term),
 stats AS MATERIALIZED (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok),
-raw AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM stats) - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM posted GROUP BY term)),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw)"""
+terms AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS lift FROM (SELECT term, count(*) AS df FROM posted GROUP BY term) CROSS JOIN stats),
+lifts AS MATERIALIZED (SELECT avg(lift) AS mean_lift FROM terms),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN lift < 0 THEN 0.25 * mean_lift ELSE lift END AS idf FROM terms CROSS JOIN lifts)"""
 
 
 def bm25_sql(k: int, where: str = "true") -> str:
@@ -101,7 +103,7 @@ pa AS (SELECT *, max(score >= {least}) OVER (PARTITION BY query_id) AS passed, r
 ranked AS (SELECT query_id, chunk_id, content, channel, score, CAST(CASE WHEN passed THEN by_score ELSE ordinal END AS INT) AS rank FROM pa WHERE CASE WHEN passed THEN score >= {least} AND by_score <= {k} ELSE ordinal <= {min(k, 3)} END)"""
 
 
-@query("v1_vector_search", f"WITH {V} SELECT c.vec_id AS chunk_id, round(list_cosine_distance(q.e, c.e), 5) AS distance FROM v AS q, v AS c WHERE q.vec_id = (SELECT min(vec_id) FROM v) AND c.label <= 4 ORDER BY list_cosine_distance(q.e, c.e), c.vec_id LIMIT 10")
+@query("v1_vector_search", f"WITH {VECTORS} SELECT c.vec_id AS chunk_id, round(list_cosine_distance(q.e, c.e), 5) AS distance FROM v AS q, v AS c WHERE q.vec_id = (SELECT min(vec_id) FROM v) AND c.label <= 4 ORDER BY list_cosine_distance(q.e, c.e), c.vec_id LIMIT 10")
 def _(spark, d):
     v = vectors(spark, d)
     return R.vector_search(v, v.orderBy("chunk_id").first()["embedding"], 10, F.col("label") <= 4).withColumn("distance", F.round("distance", 5))
@@ -117,6 +119,18 @@ def _(spark, d):
     return R.vector_search_lsh(vectors(spark, d), vector_queries(spark, d), 10, 64)
 
 
+@query("v3_inverted_lists", None)
+def _(spark, d):
+    return V.search_lists(V.build_lists(vectors(spark, d), 64), vector_queries(spark, d), 10)
+
+
+@query("v3_inverted_lists_documents", None)
+def _(spark, d):
+    """Every document whose id is divisible by 100 asks for the documents nearest to it by the offline embedding."""
+    v = write_table(R.hashed_embeddings(corpus(spark, d), "chunk_id", "content"), "document-vectors")
+    return V.search_lists(V.build_lists(v, 64), v.filter("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), 10)
+
+
 @query("v4_check_dim", "SELECT vec_id AS query_id, len(embedding) = 64 AS dim_ok FROM embeddings")
 def _(spark, d):
     return R.check_dim(vectors(spark, d).withColumnRenamed("chunk_id", "query_id"), 64).select("query_id", "dim_ok")

@@ -41,7 +41,7 @@ def test_lsh_recall(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     v, q = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r["query_id"], r["chunk_id"]) for r in retrieval.vector_search_many(v, q, 5).collect()}
-    found = {(r["query_id"], r["chunk_id"]) for r in retrieval.vector_search_lsh(v, q, 5, 64, tables=24, bits=5).collect()}
+    found = {(r["query_id"], r["chunk_id"]) for r in retrieval.vector_search_lsh(v, q, 5, 64).collect()}
     assert len(exact & found) / len(exact) >= 0.9
 
 
@@ -57,10 +57,10 @@ def test_stale_documents(spark):
 def test_replace_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "chunks")
     frame = lambda rows: spark.createDataFrame(rows, "document_id long, content string")
-    events.replace_documents(spark, frame([(1, "a"), (1, "b"), (2, "c")]), path)
+    events.replace_documents(spark, frame([(1, "a"), (1, "b"), (2, "c")]), path, 1)
     for _ in range(2):
-        events.replace_documents(spark, frame([(1, "x"), (3, "y")]), path)
-    assert sorted((r["document_id"], r["content"]) for r in spark.read.parquet(path).collect()) == [(1, "x"), (2, "c"), (3, "y")]
+        events.replace_documents(spark, frame([(1, "x"), (3, "y")]), path, 2)
+    assert sorted((r["document_id"], r["content"]) for r in events.read_documents(spark, path).collect()) == [(1, "x"), (2, "c"), (3, "y")]
 
 
 def test_lsh_recall_of_the_registered_query(spark):
