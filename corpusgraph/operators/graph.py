@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
+from corpusgraph.operators.names import names_in_text
+from corpusgraph.sources.shared import write_table
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -62,19 +66,20 @@ def type_distribution(nodes: DataFrame) -> DataFrame:
 def match_entities(questions: DataFrame, nodes: DataFrame, max_entities: int = 20) -> DataFrame:
     """query_id, id, place: entities whose name (or a part of it between hyphens) holds a keyword of the question or is held by one.
 
-    Names of which a keyword is a part meet it over the name's grams of the keyword's length, names held by a keyword over the
-    keyword's own substrings, so the join is one of equal strings, and a keyword's length bounds what it gives.
+    Keywords that stand in a name are found by one pass over the names (names_in_text); names that stand in a keyword meet it over the
+    keyword's own substrings, so the join is one of equal strings, and a keyword's length bounds what it gives. Null names and
+    questions meet nothing; of more than max_entities the first by id stay.
     """
     kws = questions.select("query_id", F.explode(T.question_keywords("question")).alias("kw")).distinct()
-    names = nodes.select("id", F.lower("id").alias("low"))
-    pieces = names.select("id", F.explode(F.array_distinct(F.concat(F.array("low"), F.split("low", "-")))).alias("piece"))
-    lengths = kws.agg(F.collect_set(F.length("kw")).alias("lengths"))  # one row, a few lengths of words
-    grams = pieces.crossJoin(F.broadcast(lengths)).withColumn("n", F.explode(F.filter("lengths", lambda n: n <= F.length("piece"))))
-    grams = grams.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("piece") - F.col("n") + 1), lambda i: F.substring("piece", i, F.col("n")))).alias("kw")).distinct()
-    inside = kws.join(grams, "kw").select("query_id", "id")
+    low = F.lower("id")
+    pieces = nodes.filter("id is not null").select("id", F.explode(F.array_distinct(F.concat(F.array(low), F.split(low, "-")))).alias("piece"))
+    inside = names_in_text(pieces, "id", "piece", kws, "kw").distinct().join(kws, "kw").select("query_id", "id")
     words = kws.select("kw").distinct().withColumn("i", F.explode(F.sequence(F.lit(1), F.length("kw"))))
     parts = words.select("kw", F.explode(F.transform(F.sequence(F.lit(1), F.length("kw") - F.col("i") + 1), lambda n: F.substring("kw", F.col("i"), n))).alias("piece")).distinct()
     around = parts.join(pieces, "piece").join(kws, "kw").select("query_id", "id")
+    # an empty part of a name stands in every keyword
+    empty = pieces.filter("piece = ''").select("id").distinct().orderBy("id").limit(max_entities)
+    around = around.unionByName(kws.select("query_id").distinct().crossJoin(F.broadcast(empty)))  # max_entities rows
     found = inside.unionByName(around).distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("id"))
     return found.withColumn("place", place).filter(F.col("place") <= max_entities)
@@ -109,9 +114,9 @@ def graph_context(questions: DataFrame, nodes: DataFrame, edges: DataFrame, max_
 
 
 def related_entities(answers: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 30, pool: int = 200) -> DataFrame:
-    """answer_id, id, place: entities among the `pool` of highest degree whose names (of two characters at least) the answer holds."""
-    top = with_degree(nodes, edges).filter(F.length("id") >= 2).orderBy(F.desc("degree"), "id").limit(pool)
-    met = answers.join(F.broadcast(top), F.contains(F.lower("answer"), F.lower("id")))  # pool rows at most
+    """answer_id, id, place: entities among the `pool` of highest degree whose names (of two characters at least) the answer holds, whatever the case. Null answers hold none."""
+    top = write_table(with_degree(nodes, edges).filter(F.length("id") >= 2).orderBy(F.desc("degree"), "id").limit(pool).select("id", F.lower("id").alias("name"), "degree"), "top-entities")
+    met = names_in_text(answers.withColumn("_low", F.lower("answer")), "answer_id", "_low", top).distinct().join(F.broadcast(top), "name")  # pool rows
     place = F.row_number().over(Window.partitionBy("answer_id").orderBy(F.desc("degree"), "id"))
     return met.withColumn("place", place).filter(F.col("place") <= limit).select("answer_id", "id", "place")
 
@@ -243,3 +248,101 @@ def build_graph(chunks: DataFrame, extractor: Callable[[DataFrame], DataFrame] =
     link = F.zip_with("names", F.slice("names", 2, F.size("names")), lambda a, b: F.struct(F.least(a, b).alias("source"), F.greatest(a, b).alias("target"), b.isNotNull().alias("whole")))
     pairs = names.filter(F.size("names") > 1).select(F.explode(link).alias("p")).filter("p.whole")
     return nodes, pairs.select("p.source", "p.target").filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight"))
+
+
+# --- the graph of a corpus ---------------------------------------------------------------------------------------------------------
+
+#: What an extractor gives: for each chunk its text, the entities it names (start and end as 0-based characters), and relations in order.
+EXTRACTED = (
+    "document_id long, chunk_index int, content string, mentions array<struct<name: string, type: string, score: double, start: int, end: int>>, "
+    "relations array<struct<source: string, target: string, relation_type: string>>"
+)
+#: Between descriptions of one entity or relation, and how many of them a row shows.
+DESCRIPTION_MARK, SHOWN = "<SEP>", 8
+
+
+def named_runs(chunks: DataFrame) -> DataFrame:
+    """EXTRACTED rows of chunks (document_id, chunk_index, content), offline: runs of capitalised words, the first of four letters at least, are concepts, and each is related to the next one. Null content names nothing."""
+    run_of = r"\b(\p{Lu}\p{Ll}{3,}(?: \p{Lu}\p{Ll}+)*)"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = regex.compile(run_of)
+        for batch in batches:
+            mentions, relations = [], []
+            for t in batch.column("content"):
+                found = [(m[1], m.start(1), m.end(1)) for m in name.finditer(t.as_py() or "")]
+                mentions.append([{"name": n, "type": "Concept", "score": 1.0, "start": a, "end": b} for n, a, b in found])
+                relations.append([{"source": a[0], "target": b[0], "relation_type": "related_to"} for a, b in zip(found, found[1:], strict=False)])
+            m = pa.array(mentions, pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])))
+            r = pa.array(relations, pa.list_(pa.struct([("source", pa.string()), ("target", pa.string()), ("relation_type", pa.string())])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("document_id", "chunk_index", "content")), m, r], ["document_id", "chunk_index", "content", "mentions", "relations"])
+
+    return chunks.select(F.col("document_id").cast("long"), F.col("chunk_index").cast("int"), "content").mapInArrow(run, EXTRACTED)
+
+
+def chunk_graph(extracted: DataFrame, threshold: float = 0.45) -> tuple[DataFrame, DataFrame]:
+    """The entities and relations of each chunk (EXTRACTED rows), merged within it.
+
+    Entities (document_id, chunk_index, low, at, name, type, description, score): of mentions of one name whatever its case the best of
+    `threshold` at least, the first on a tie; ends of relations that no mention names follow as Other, with a fixed description and
+    score 0. Relations (document_id, chunk_index, a, b, at, source, target, relation_type, description): without empty or equal ends,
+    of those between two names (either way round) of one type the first.
+    """
+    chunk, text = ["document_id", "chunk_index"], F.col("content")
+    each = extracted.select(*chunk, text, F.posexplode("mentions").alias("at", "m"))
+    name, kind = T.sanitize_kg_field("m.name"), T.sanitize_kg_field("m.type", "type")
+    said = T.mention_context(text, F.col("m.start"), F.col("m.end"), kind)
+    score = F.coalesce("m.score", F.lit(0.0))
+    each = each.select(*chunk, "at", name.alias("name"), kind.alias("type"), said.alias("description"), score.alias("score")).filter((F.col("name") != "") & (F.col("score") >= threshold))
+    best = F.min(F.struct((-F.col("score")).alias("s"), "at", "name", "type", "description"))
+    entities = each.groupBy(*chunk, F.lower("name").alias("low")).agg(best.alias("x")).select(*chunk, "low", "x.at", "x.name", "x.type", "x.description", (-F.col("x.s")).alias("score"))
+
+    ties = extracted.select(*chunk, F.posexplode("relations").alias("at", "r"))
+    ties = ties.select(*chunk, "at", T.sanitize_kg_field("r.source").alias("source"), T.sanitize_kg_field("r.target").alias("target"), T.sanitize_kg_field("r.relation_type", "relation").alias("relation_type"))
+    a, b = F.lower("source"), F.lower("target")
+    ties = ties.filter((F.col("source") != "") & (F.col("target") != "") & (a != b))
+    first = F.min(F.struct("at", "source", "target", "relation_type"))
+    ties = ties.groupBy(*chunk, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lower("relation_type").alias("_kind")).agg(first.alias("x"))
+    note = F.concat("x.source", F.lit(" "), F.replace("x.relation_type", F.lit("_"), F.lit(" ")), F.lit(" "), "x.target", F.lit("."))
+    relations = ties.select(*chunk, "a", "b", "x.*", note.alias("description"))
+
+    ends = relations.select(*chunk, F.posexplode(F.array("source", "target")).alias("side", "name"), "at").withColumn("low", F.lower("name"))
+    new = ends.join(entities.select(*chunk, "low"), [*chunk, "low"], "left_anti").groupBy(*chunk, "low").agg(F.min(F.struct("at", "side", "name")).alias("x"))
+    # Fixed value: the description of an entity that only relations name. They stand after all mentions of their chunk.
+    other = new.select(*chunk, "low", (F.lit(1 << 30) + 2 * F.col("x.at") + F.col("x.side")).cast("int").alias("at"), F.col("x.name").alias("name"), F.lit("Other").alias("type"), F.lit("Entity inferred from relation extraction.").alias("description"), F.lit(0.0).alias("score"))
+    return entities.unionByName(other), relations
+
+
+def _first_descriptions(rows: DataFrame, key: list[str], shown: int) -> tuple[DataFrame, DataFrame]:
+    """All different descriptions of a key, each where it first stands, and a row a key with the first `shown` of them joined."""
+    where = ["document_id", "chunk_index", "at"]
+    every = rows.groupBy(*key, "description").agg(F.min(F.struct(*where)).alias("x")).select(*key, "description", "x.*")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*where, "description"))
+    few = every.withColumn("place", place).filter(F.col("place") <= shown)
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "description"))), lambda x: x["description"])
+    return every, few.groupBy(*key).agg(F.array_join(lines, DESCRIPTION_MARK).alias("description"))
+
+
+def corpus_graph(chunks: DataFrame, extractor: Callable[[DataFrame], DataFrame] = named_runs, threshold: float = 0.45, shown: int = SHOWN) -> dict[str, DataFrame]:
+    """The graph of all chunks (document_id, chunk_index, content): tables nodes, edges, node_descriptions, edge_descriptions.
+
+    The extractor gives EXTRACTED rows, natively or by mapInArrow or mapInPandas. Chunks are merged as chunk_graph says, then over the
+    corpus, in order of document and chunk: nodes (low, id, entity_type, description, documents, mentions) have the name and type of the
+    best mention (the first on a tie), edges (a, b, source, target, keywords, description, weight) the ends of the first relation of an
+    unordered pair, its different types, and a weight of one a chunk and type. The descriptions tables hold every different
+    description and where it first stands; a row of nodes or edges shows the first `shown` of them, so that a name in a third of all
+    documents is a row like others. Everything is combined before it is shuffled. Chunks without names give nothing; repeated chunks
+    count as often as they are given where their numbers differ, once where they do not.
+    """
+    entities, relations = (write_table(x, "graph-chunks") for x in chunk_graph(write_table(extractor(chunks), "extracted"), threshold))
+    where = ["document_id", "chunk_index", "at"]
+    best = F.min(F.struct((-F.col("score")).alias("s"), *where, "name", "type"))
+    by_document = entities.groupBy("low", "document_id").agg(best.alias("x"), F.count(F.lit(1)).alias("n"))
+    nodes = by_document.groupBy("low").agg(F.min("x").alias("x"), F.count(F.lit(1)).alias("documents"), F.sum("n").alias("mentions"))
+    node_notes, told = _first_descriptions(entities, ["low"], shown)
+    nodes = nodes.join(told, "low").select("low", F.col("x.name").alias("id"), F.col("x.type").alias("entity_type"), "description", "documents", "mentions")
+    first = F.min(F.struct(*where, "source", "target"))
+    edges = relations.groupBy("a", "b", "relation_type").agg(first.alias("x"), F.count(F.lit(1)).alias("n")).groupBy("a", "b").agg(F.min("x").alias("x"), F.sum("n").cast("double").alias("weight"), F.array_join(F.sort_array(F.collect_set("relation_type")), ",").alias("keywords"))
+    edge_notes, told = _first_descriptions(relations, ["a", "b"], shown)
+    edges = edges.join(told, ["a", "b"]).select("a", "b", "x.source", "x.target", "keywords", "description", "weight")
+    return {"nodes": nodes, "edges": edges, "node_descriptions": node_notes, "edge_descriptions": edge_notes}

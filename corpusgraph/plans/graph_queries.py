@@ -201,6 +201,13 @@ def _(spark, d):
     return nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("documents").alias("n")).unionByName(edges.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("weight").alias("n")))
 
 
+@query("g5_corpus_graph", None)
+def _(spark, d):
+    g = G.corpus_graph(S.chunks(spark, d))
+    nodes = g["nodes"].select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.col("entity_type").alias("type"), "description", F.col("documents").cast("double").alias("n"))
+    return nodes.unionByName(g["edges"].select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.col("keywords").alias("type"), "description", F.col("weight").alias("n")))
+
+
 @query("g4_record_lines", f"WITH {S.GRAPH} SELECT 'entity<|#|>' || id || '<|#|>' || entity_type || '<|#|>' || description AS line FROM nodes UNION ALL SELECT 'relation<|#|>' || source || '<|#|>' || target || '<|#|>place<|#|>' || description FROM edges")
 def _(spark, d):
     return G.kg_lines_encode(S.nodes(spark, d).select(F.col("id").alias("name"), F.col("entity_type").alias("type"), "description"), S.edges(spark, d))
