@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -143,18 +145,20 @@ def decode_list(c: C, separator: str = "|") -> Column:
     return F.filter(F.split(_c(c), "\\Q" + separator + "\\E"), lambda x: x != "")
 
 
-# Accented Latin letters and their base letters, in groups of one base letter.
-_ACCENTS = {
-    "a": "áàảãạăắằẳẵặâấầẩẫậäåā", "c": "çćč", "d": "đď", "e": "éèẻẽẹêếềểễệëēě", "i": "íìỉĩịîïī", "n": "ñńň", "o": "óòỏõọôốồổỗộơớờởỡợöō",
-    "s": "šś", "u": "úùủũụưứừửữựûüūů", "y": "ýỳỷỹỵÿ", "z": "žźż", "r": "ř", "t": "ť",
-}
+@functools.cache
+def _base_letters() -> tuple[str, str]:
+    """Characters whose canonical decomposition is a letter or digit of ASCII and accents, and what they are without accents, in lower case; besides them the Vietnamese d."""
+    found = {"đ": "d", "Đ": "d"}
+    for code in range(0x80, 0x30000):
+        bare = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not "\u0300" <= c <= "\u036f")
+        if len(bare) == 1 and bare.isascii() and bare.isalnum():
+            found[chr(code)] = bare.lower()
+    return "".join(found), "".join(found.values())
 
 
 def match_form(c: C) -> Column:
-    """Lower case without accents, anything but a-z and 0-9 as single spaces."""
-    accented = "".join(_ACCENTS.values())
-    plain = "".join(k * len(v) for k, v in _ACCENTS.items())
-    t = F.translate(F.lower(_c(c)), accented, plain)
+    """Lower case without accents (composed or not), anything but a-z and 0-9 as single spaces."""
+    t = F.lower(F.translate(_sub(_c(c), r"[\x{300}-\x{36f}]", ""), *_base_letters()))
     return F.trim(_sub(_sub(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
@@ -164,7 +168,7 @@ def heading_slug(c: C) -> Column:
 
 def search_needle(c: C) -> Column:
     """The first line with text, without Markdown marks, cut to 220 characters."""
-    lines = F.filter(F.transform(F.split(_c(c), "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(_c(c), "\n"), lambda x: strip(x)), lambda x: x != "")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     return F.substring(F.trim(_sub(_sub(first, r"[`*_>#|]", " "), r"\s+", " ")), 1, 220)
 
@@ -197,12 +201,16 @@ def truncate(c: C, n: int) -> Column:
     return F.when(F.length(_c(c)) > n, F.concat(F.substring(_c(c), 1, n), F.lit("..."))).otherwise(_c(c))
 
 
+# What an entity's description says before the text around it, and without such text.
+MENTION_IN, MENTION_ALONE = ("Mentioned as ", " in context: "), " in the source text."
+
+
 def mention_context(text: C, start: C, end: C, kind: C, around: int = 64) -> Column:
-    """What stands within `around` characters of a mention (0-based, end exclusive), cut to 180, or the type alone."""
+    """Description of an entity of a kind from what stands within `around` characters of a mention (0-based, end exclusive), cut to 180."""
     low = F.greatest(_c(start) - around, F.lit(0))
-    near = normalize_space(F.substring(_c(text), low + 1, _c(end) + around - low))
+    near = strip(_sub(F.substring(_c(text), low + 1, _c(end) + around - low), r"(?U)\s+", " "))
     cut = F.when(F.length(near) > 180, F.concat(F.substring(near, 1, 177), F.lit("..."))).otherwise(near)
-    return F.when(cut == "", F.concat(_c(kind), F.lit(" mentioned in the document."))).otherwise(cut)
+    return F.concat(F.lit(MENTION_IN[0]), _c(kind), F.when(cut == "", F.lit(MENTION_ALONE)).otherwise(F.concat(F.lit(MENTION_IN[1]), cut)))
 
 
 def normalize_space(c: C) -> Column:
@@ -297,7 +305,7 @@ def extract_tool_call(c: C) -> Column:
 
 def normalize_entity_types(types: C, fallback: list[str]) -> Column:
     """Trimmed, without empty ones; the fallback if nothing is left."""
-    kept = F.array_distinct(F.filter(F.transform(_c(types), F.trim), lambda x: x.isNotNull() & (x != "")))
+    kept = F.array_distinct(F.filter(F.transform(_c(types), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, kept).otherwise(F.array(*map(F.lit, fallback or ["Other"])))
 
 

@@ -11,14 +11,15 @@ from corpusgraph.sources.shared import write_table
 
 
 def clean_answers(messages: DataFrame) -> DataFrame:
-    """Messages with clean (no reasoning, artifacts) and plain (no citations, no Markdown)."""
-    body = T.strip_artifacts(T.strip_reasoning("content", F.lit(None).cast("string")))
-    return messages.withColumn("clean", body).withColumn("plain", T.markdown_to_text("clean"))
+    """Messages with tool_call (name and arguments of a call in the text, else null), clean (no reasoning, calls, artifacts) and plain (no citations, no Markdown)."""
+    df = messages.withColumn("_call", T.extract_tool_call(T.strip_reasoning("content", F.lit(None).cast("string"))))
+    call = F.when(F.col("_call.name").isNotNull(), F.struct("_call.name", "_call.arguments"))
+    return df.withColumns({"tool_call": call, "clean": T.strip_artifacts(F.col("_call.rest"))}).drop("_call").withColumn("plain", T.markdown_to_text("clean"))
 
 
 def history_window(messages: DataFrame, n: int = 10) -> DataFrame:
-    """Each message with the n before it, as array<struct<role, content>>."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-n, -1)
+    """Each message with the n before it, as array<struct<role, content>>; messages of one turn stand by role, then content, null turns first."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "content").rowsBetween(-n, -1)
     return messages.withColumn("history", F.collect_list(F.struct("role", "content")).over(w))
 
 
@@ -29,8 +30,8 @@ def recap(history: Column, n: int = 2, cut: int = 300) -> Column:
 
 
 def qa_pairs(messages: DataFrame) -> DataFrame:
-    """Each answer with the user message right before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
+    """Each answer with the user message right before it; messages of one turn stand as in history_window."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
     df = messages.withColumns({"before": F.lag("role").over(w), "question": F.lag("content").over(w)})
     return df.filter("role = 'assistant' and before = 'user'").select("conv_id", "turn", "question", F.col("content").alias("answer"))
 
@@ -184,10 +185,21 @@ def client_timeline(events: DataFrame) -> DataFrame:
     )
 
 
-def document_status(events: DataFrame) -> DataFrame:
-    """document_id, status (the latest), elapsed_us from the first PARSING to the last INDEXED."""
+def status_columns(events: DataFrame) -> list[Column]:
+    """Aggregates over a document's status events: status (the latest), seq, elapsed_us from the first PARSING to the last INDEXED, error.
+
+    error is the first 500 characters of the latest event's error text (a column that events may lack), for documents that failed.
+    """
     at = lambda s, f: f(F.when(F.col("status") == s, _micros(F.col("ts"))))
-    return events.groupBy("document_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), (at("INDEXED", F.max) - at("PARSING", F.min)).alias("elapsed_us"))
+    said = F.col("error") if "error" in events.columns else F.lit(None).cast("string")
+    last = F.max(F.struct("ts", "seq", "status", said.alias("error")))
+    failed = F.when(last["status"] == "FAILED", F.substring(last["error"], 1, 500))
+    return [last["status"].alias("status"), last["seq"].alias("seq"), (at("INDEXED", F.max) - at("PARSING", F.min)).alias("elapsed_us"), failed.alias("error")]
+
+
+def document_status(events: DataFrame) -> DataFrame:
+    """document_id and status_columns but seq; documents without events have no row."""
+    return events.groupBy("document_id").agg(*status_columns(events)).drop("seq")
 
 
 def decode_sse(lines: DataFrame) -> DataFrame:
@@ -252,10 +264,12 @@ def parse_question_batches(df: DataFrame, column: str = "output") -> DataFrame:
 
 
 def resolve_contexts(items: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Items with question and answer, numbered, and the first 500 characters of the chunks they point at; bad indices are left out."""
-    good = numbered_rows(items.filter("question <> '' and answer <> ''"), "n", "batch", "place")
-    each = good.withColumn("chunk_index", F.explode_outer("context_indices")).join(chunks.select("batch", F.col("place").alias("chunk_index"), F.substring("content", 1, 500).alias("context")), ["batch", "chunk_index"], "left")
-    return each.groupBy("n", "question", "answer").agg(F.sort_array(F.collect_list("context")).alias("contexts")).select(F.concat(F.lit("RAGAS-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "question", "answer", "contexts")
+    """Items with question and answer, numbered, and the first 500 characters of the chunks they point at, in the order of the indices (one given twice counts twice); indices without a chunk, and null ones, are left out."""
+    good = numbered_rows(items.filter("question <> '' and answer <> ''"), "n", "batch", "place").select("n", "batch", "question", "answer", "context_indices")
+    texts = chunks.select("batch", F.col("place").alias("chunk_index"), F.substring("content", 1, 500).alias("context"))
+    each = good.select("*", F.posexplode_outer("context_indices").alias("at", "chunk_index")).join(texts, ["batch", "chunk_index"], "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("context").isNotNull(), F.struct("at", "context"))))
+    return each.groupBy("n", "question", "answer").agg(F.transform(found, lambda x: x["context"]).alias("contexts")).select(F.concat(F.lit("RAGAS-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "question", "answer", "contexts")
 
 
 def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:
@@ -291,6 +305,36 @@ def build_turns(messages: DataFrame, n: int = 2) -> DataFrame:
     return df.select("conv_id", "turn", F.concat_ws("\n\n", F.concat(F.lit("Earlier:\n"), before), F.concat(F.lit("Question: "), "content")).alias("prompt"))
 
 
+# What stands around the parts of a user turn with sources.
+TURN_HEADS = {
+    "open": "I have retrieved the following document sources for you.\n\n=== DOCUMENT SOURCES ===\n", "close": "\n=== END SOURCES ===\n", "images": "Document Images:\n",
+    "recap": "CONVERSATION CONTEXT (previous exchange):\n", "question": "My question: ", "user": "User: ", "other": "Assistant: ",
+}
+
+
+def build_user_turns(messages: DataFrame, contexts: DataFrame, images: DataFrame | None = None, rules: str = "", n: int = 2, cut: int = 300) -> DataFrame:
+    """conv_id, turn, prompt of the user turns: sources, images, rules, what came right before, the question.
+
+    contexts has the source text of a turn (conv_id, turn, context), images its lines (conv_id, turn, place, line). A turn without a
+    context has empty sources; parts without text are left out; of several contexts of a turn the first by text counts.
+    """
+    df = history_window(messages, n).filter("role = 'user'").withColumn("_history", F.col("history"))
+    df = df.join(contexts.groupBy("conv_id", "turn").agg(F.min("context").alias("_context")), ["conv_id", "turn"], "left")
+    if images is not None:
+        lines = F.transform(F.sort_array(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+        df = df.join(images.groupBy("conv_id", "turn").agg(F.array_join(lines, "\n").alias("_images")), ["conv_id", "turn"], "left")
+    head = lambda k: F.lit(TURN_HEADS[k])
+    who = lambda m: F.when(m["role"] == "user", head("user")).otherwise(head("other"))
+    before = F.array_join(F.transform("_history", lambda m: F.concat(who(m), F.substring(F.coalesce(m["content"], F.lit("")), 1, cut))), "\n")
+    parts = [F.concat(head("open"), F.coalesce("_context", F.lit("")), head("close"))]
+    if images is not None:
+        parts.append(F.concat(head("images"), F.col("_images"), F.lit("\n")))
+    if rules:
+        parts.append(F.lit(rules + "\n"))
+    parts += [F.when(F.size("_history") > 0, F.concat(head("recap"), before, F.lit("\n"))), F.concat(head("question"), F.coalesce("content", F.lit("")))]
+    return df.select("conv_id", "turn", F.concat_ws("\n", *parts).alias("prompt"))
+
+
 def append_messages(history: DataFrame, new: DataFrame, most: int = 30) -> DataFrame:
     """The history with new rows; columns that either lacks are null there, and of a new row's related_entities the first `most` stay."""
     if "related_entities" in new.columns:

@@ -109,46 +109,100 @@ def split_for_embedding(c: Column, limit: int = 1600, overlap: int = 200) -> Col
     return F.flatten(F.transform(sentence_windows(c, limit), lambda s: F.when(F.length(s) > limit, pieces(s)).otherwise(F.array(s))))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    return docs.select("document_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    return docs.select(*key, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def split_sections(docs: DataFrame) -> DataFrame:
-    """document_id, section_no, heading_path, content: text between Markdown headings with the headings above it.
+# Fixed value: what stands between the pages of a document.
+PAGE_SEPARATOR = "-" * 48
+
+
+def with_page(lines: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
+    """Lines (document_id, line_no, line) with page_no: one more than the separator lines above; a separator itself ends its page. A null line is none."""
+    above = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rule = F.coalesce((T.strip("line") == separator).cast("int"), F.lit(0))
+    return lines.withColumn("page_no", (F.lit(1) + F.coalesce(F.sum(rule).over(above), F.lit(0))).cast("int"))
+
+
+def page_lines(lines: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
+    """The lines of each page, with page_no, without the separators."""
+    return with_page(lines, separator).filter(F.coalesce(T.strip("line") != separator, F.lit(True)))
+
+
+def split_pages(docs: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
+    """document_id, page_no (from 1), text of the pages that are not blank, without a page mark {n} at their beginning. Null texts have no pages."""
+    pages = docs.select("document_id", F.posexplode(F.split("text", re.escape(separator))).alias("at", "text"))
+    return pages.select("document_id", (F.col("at") + 1).alias("page_no"), T.strip("text").alias("text")).filter("text <> ''").withColumn("text", F.regexp_replace("text", r"\A\{\d+\}\s*", ""))
+
+
+def split_sections(docs: DataFrame, key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """key, section_no, heading_path, content: text (of each document, or page) between Markdown headings with the headings above it.
 
     A heading closes those of its level and deeper, so the path is, for each level, the last heading since one that is shallower.
+    Blank sections and null texts have no rows.
     """
-    w = Window.partitionBy("document_id").orderBy("line_no")
+    key = list(key)
+    w = Window.partitionBy(*key).orderBy("line_no")
     level = F.length(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 1))
-    df = lines_of(docs).withColumn("level", level).withColumn("section_no", F.sum((F.col("level") > 0).cast("int")).over(w))
-    heads = df.filter("level > 0").select("document_id", "section_no", "level", F.trim(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2)).alias("title"))
-    run = Window.partitionBy("document_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    df = lines_of(docs, key).withColumn("level", level).withColumn("section_no", F.sum((F.col("level") > 0).cast("int")).over(w))
+    heads = df.filter("level > 0").select(*key, "section_no", "level", F.trim(F.regexp_extract("line", r"^(#{1,6})\s+(.+)$", 2)).alias("title"))
+    run = Window.partitionBy(*key).orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
     for k in range(1, 7):
         seen = F.last(F.when(F.col("level") <= k, F.struct("level", "title")), ignorenulls=True).over(run)
         heads = heads.withColumn(f"h{k}", F.when((seen["level"] == k) & (F.col("level") >= k), seen["title"]))
-    heads = heads.select("document_id", "section_no", F.filter(F.array(*[f"h{k}" for k in range(1, 7)]), lambda x: x.isNotNull()).alias("heading_path"))
-    body = df.filter("level = 0").groupBy("document_id", "section_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    heads = heads.select(*key, "section_no", F.filter(F.array(*[f"h{k}" for k in range(1, 7)]), lambda x: x.isNotNull()).alias("heading_path"))
+    body = df.filter("level = 0").groupBy(*key, "section_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("content"))
     body = body.withColumn("content", T.strip("content")).filter("content <> ''")
-    return body.join(heads, ["document_id", "section_no"], "left").withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
+    return body.join(heads, [*key, "section_no"], "left").withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>")))
 
 
-def chunk_markdown(docs: DataFrame, max_tokens: int = 512) -> DataFrame:
-    """document_id, chunk_index, content, heading_path, has_table, has_code, contextualized of Markdown documents."""
-    pieces = split_sections(docs).select("document_id", "section_no", "heading_path", F.posexplode(pack_paragraphs(F.col("content"), max_tokens)).alias("piece", "content"))
-    index = F.row_number().over(Window.partitionBy("document_id").orderBy("section_no", "piece")) - 1
-    return pieces.filter(F.trim("content") != "").select("document_id", index.alias("chunk_index"), "content", "heading_path", T.has_table("content").alias("has_table"), T.has_code("content").alias("has_code"), T.contextualize("heading_path", "content").alias("contextualized"))
+def attach_assets(chunks: DataFrame, images: DataFrame | None, tables: DataFrame | None) -> DataFrame:
+    """Chunks (document_id, page_no, chunk_index, content) with image_refs and table_refs: the first chunk of a page has the page's assets.
+
+    assets have document_id, page_no, asset_id, caption, tables num_rows and num_cols besides; their captions follow the content, images
+    first, by asset_id. An asset that stands on several pages belongs to the first that has chunks; pages of 0 or less have none, and
+    blank captions say nothing.
+    """
+    pages = chunks.groupBy("document_id", "page_no").agg(F.min("chunk_index").alias("chunk_index")).filter("page_no > 0")
+    out = chunks
+    for assets, refs, what in ((images, "image_refs", "Image"), (tables, "table_refs", "Table")):
+        if assets is None:
+            out = out.withColumn(refs, F.array().cast("array<string>"))
+            continue
+        size = F.concat(F.lit(" ("), F.col("num_rows").cast("string"), F.lit("x"), F.col("num_cols").cast("string"), F.lit(")")) if what == "Table" else F.lit("")
+        # Fixed value: how a caption stands in a chunk.
+        line = F.when(F.coalesce("caption", F.lit("")) != "", F.concat(F.lit(f"[{what} on page "), F.col("page_no").cast("string"), size, F.lit("]: "), "caption"))
+        placed = assets.withColumn("_line", line).join(pages, ["document_id", "page_no"]).groupBy("document_id", "asset_id").agg(F.min(F.struct("chunk_index", "_line")).alias("x"))
+        grouped = placed.groupBy("document_id", F.col("x.chunk_index").alias("chunk_index")).agg(F.sort_array(F.collect_list(F.struct("asset_id", F.col("x._line").alias("line")))).alias("_found"))
+        told = F.array_join(F.filter(F.transform("_found", lambda a: a["line"]), lambda x: x.isNotNull()), "\n")
+        out = out.join(grouped, ["document_id", "chunk_index"], "left").withColumn(refs, F.coalesce(F.transform("_found", lambda a: a["asset_id"]), F.array().cast("array<string>")))
+        out = out.withColumn("content", F.concat_ws("\n\n", "content", F.nullif(told, F.lit("")))).drop("_found")
+    return out
+
+
+def chunk_markdown(docs: DataFrame, max_tokens: int = 512, images: DataFrame | None = None, tables: DataFrame | None = None, separator: str = PAGE_SEPARATOR) -> DataFrame:
+    """document_id, chunk_index, page_no, content, heading_path, has_table, has_code, contextualized, image_refs, table_refs of Markdown documents.
+
+    Pages are split first, so headings hold for their page; assets and their captions go to the first chunk of a page (attach_assets).
+    Blank and null documents give no chunks.
+    """
+    pages = split_sections(split_pages(docs, separator), ("document_id", "page_no"))
+    pieces = pages.select("document_id", "page_no", "section_no", "heading_path", F.posexplode(pack_paragraphs(F.col("content"), max_tokens)).alias("piece", "content"))
+    index = F.row_number().over(Window.partitionBy("document_id").orderBy("page_no", "section_no", "piece")) - 1
+    chunks = pieces.filter(F.trim("content") != "").select("document_id", index.alias("chunk_index"), "page_no", "content", "heading_path", T.has_table("content").alias("has_table"), T.has_code("content").alias("has_code"), T.contextualize("heading_path", "content").alias("contextualized"))
+    return attach_assets(chunks, images, tables)
 
 
-def extract_tables(docs: DataFrame) -> DataFrame:
-    """document_id, table_no, content, num_rows, num_cols of runs of pipe lines; the rule below the header is no row."""
+def extract_tables(docs: DataFrame, separator: str = PAGE_SEPARATOR) -> DataFrame:
+    """document_id, table_no, page_no, content, num_rows, num_cols of runs of pipe lines; the rule below the header is no row."""
     w = Window.partitionBy("document_id").orderBy("line_no")
     pipe = F.startswith(F.trim("line"), F.lit("|"))
-    df = lines_of(docs).withColumn("pipe", pipe).withColumn("island", F.col("line_no") - F.sum(F.col("pipe").cast("int")).over(w)).filter("pipe")
+    df = with_page(lines_of(docs), separator).withColumn("pipe", pipe).withColumn("island", F.col("line_no") - F.sum(F.col("pipe").cast("int")).over(w)).filter("pipe")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"]))
-    t = df.groupBy("document_id", "island").agg(F.min("line_no").alias("first"), lines.alias("lines"))
+    t = df.groupBy("document_id", "island").agg(F.min("line_no").alias("first"), F.first("page_no").alias("page_no"), lines.alias("lines"))
     rule = lambda x: x.rlike(r"^\|[\s:|-]+\|?$")
     return t.filter(F.size("lines") >= 2).select(
-        "document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("first")) - 1).alias("table_no"), F.array_join("lines", "\n").alias("content"),
+        "document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("first")) - 1).alias("table_no"), "page_no", F.array_join("lines", "\n").alias("content"),
         (F.size(F.filter("lines", lambda x: ~rule(x))) - 1).alias("num_rows"), (F.size(F.split(F.trim(F.regexp_replace(F.element_at("lines", 1), r"^\||\|$", "")), r"\|"))).alias("num_cols"),
     )
 
@@ -190,7 +244,7 @@ def inject_table_captions(docs: DataFrame, captions: DataFrame) -> DataFrame:
     df = lines_of(docs).withColumn("pipe", F.startswith(F.trim("line"), F.lit("|")))
     df = df.withColumns({"island": F.col("line_no") - F.sum(F.col("pipe").cast("int")).over(w), "ends": F.col("pipe") & ~F.coalesce(F.lead("pipe").over(w), F.lit(False))})
     cells = F.slice(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), 1, 3)
-    heads = df.filter("pipe").groupBy("document_id", "island").agg(F.min_by(F.array_join(F.transform(cells, F.trim), "|"), "line_no").alias("key"))
+    heads = df.filter("pipe").groupBy("document_id", "island").agg(F.min_by(F.array_join(F.transform(cells, lambda x: F.trim(x)), "|"), "line_no").alias("key"))
     named = heads.join(captions, ["document_id", "key"]).select("document_id", "island", "caption")
     met = df.join(named, ["document_id", "island"], "left").withColumn("line", F.when(F.col("ends") & F.col("caption").isNotNull(), F.concat("line", F.lit("\n\n*"), "caption", F.lit("*"))).otherwise(F.col("line")))
     return met.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))

@@ -80,7 +80,7 @@ def judged(chunks: DataFrame, min_len: int = 50, threshold: float = 0.85) -> Dat
     near = near_losers(near_pairs(quiet.filter("r = 1"), threshold)).withColumn("near", F.lit(True))
     kept = quiet.join(near, ["document_id", "chunk_index"], "left").withColumn("drop_reason", F.when(F.col("r") > 1, "exact").when(F.col("near"), "near"))
     noise = noted.filter(F.col("drop_reason").isNotNull()).withColumn("drop_reason", F.lit("noise"))
-    cols = ["document_id", "chunk_index", "content", "drop_reason"]
+    cols = [*with_refs(chunks).columns, "drop_reason"]
     return kept.select(cols).unionByName(noise.select(cols))
 
 

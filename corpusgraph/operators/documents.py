@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.operators.dedup import noise_reason, with_refs
+from corpusgraph.sources.shared import write_table
 
 IN_PROGRESS = ("PROCESSING", "PARSING", "INDEXING")
 ALLOWED = ("pdf", "txt", "md", "docx", "pptx")
@@ -185,11 +186,13 @@ def rag_stats(docs: DataFrame) -> DataFrame:
 
 
 def document_breakdown(docs: DataFrame) -> DataFrame:
-    """Each document with its bar (percent of the largest chunk count) and size label."""
+    """Each document with its bar (percent of the largest chunk count) and size label, newest first (by created_at, else updated_at, where docs have one; then id)."""
     most = docs.agg(F.max("chunk_count").alias("most"))
     size = F.when(F.col("file_size") >= 1 << 20, F.format_string("%.1f MB", F.col("file_size") / (1 << 20))).otherwise(F.format_string("%d KB", F.round(F.col("file_size") / 1024).cast("int")))
     bar = 100.0 * F.coalesce("chunk_count", F.lit(0)) / F.greatest(F.lit(1), F.coalesce("most", F.lit(1)))
-    return docs.crossJoin(F.broadcast(most)).select("id", "filename", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), bar.alias("bar"), size.alias("size_label"))
+    age = next(([F.desc(c)] for c in ("created_at", "updated_at") if c in docs.columns), [])
+    ordered = docs.crossJoin(F.broadcast(most)).orderBy(*age, F.desc("id"))  # one row
+    return ordered.select("id", "filename", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), bar.alias("bar"), size.alias("size_label"))
 
 
 def status_counts(docs: DataFrame) -> DataFrame:
@@ -274,12 +277,12 @@ def list_workspaces(docs: DataFrame, by: str = "updated") -> DataFrame:
 
 
 def link_assets(docs: DataFrame, assets: DataFrame, workspace: str = "workspace") -> DataFrame:
-    """Documents whose image placeholders show the document's assets in order; page markers go."""
-    url = T.asset_url(workspace, "asset_id")
-    placed = assets.join(docs.select(F.col("id").alias("document_id"), workspace), "document_id").withColumn("a", F.struct("page_no", "asset_id", "caption", url.alias("url")))
+    """Documents whose image placeholders show the document's assets in order, whose links to asset names (asset_id, or name where assets have one) lead to their URLs, and without page markers."""
+    url, name = T.asset_url(workspace, "asset_id"), F.col("name" if "name" in assets.columns else "asset_id")
+    placed = assets.join(docs.select(F.col("id").alias("document_id"), workspace), "document_id").withColumn("a", F.struct("page_no", "asset_id", "caption", url.alias("url"), name.alias("name")))
     grouped = placed.groupBy("document_id").agg(F.sort_array(F.collect_list("a")).alias("assets")).withColumnRenamed("document_id", "id")
-    met = docs.join(grouped, "id", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<struct<page_no:int,asset_id:string,caption:string,url:string>>")))
-    return met.select("id", T.strip_page_markers(T.inject_images("text", "assets")).alias("text"))
+    met = docs.join(grouped, "id", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<struct<page_no:int,asset_id:string,caption:string,url:string,name:string>>")))
+    return met.select("id", T.strip_page_markers(T.relink_images(T.inject_images("text", "assets"), "assets")).alias("text"))
 
 
 def prepare_embedding_inputs(chunks: DataFrame, limit: int = 1600, overlap: int = 200) -> DataFrame:
@@ -292,13 +295,36 @@ def prepare_embedding_inputs(chunks: DataFrame, limit: int = 1600, overlap: int
 def locate_passage(needles: DataFrame, blocks: DataFrame) -> DataFrame:
     """needle_id, block_no, score: the block of its document that holds a needle (document_id, needle) whole, else the one with most of its words.
 
-    Of the needle's first 12 distinct words of four characters at least, max(2, 40 %) must be in the block; the first block wins a tie.
+    Both are compared without accents, case and punctuation. Of the needle's first 12 distinct words of four characters at least,
+    max(2, 40 %) must be in the block; the first block wins a tie. Needles without letters or digits, null ones too, are found nowhere.
+
+    A block that qualifies holds one of the needle's rarest words (all but the needed number less one), or, for a needle without such
+    words, its longest one. So words of needles meet words of blocks that hold them, over the grams of that length, and only blocks
+    that share a rare word are compared.
     """
-    low = needles.withColumn("needle", T.normalize_text("needle"))
-    low = low.withColumn("words", F.slice(F.array_distinct(F.filter(F.split("needle", " "), lambda w: F.length(w) >= 4)), 1, 12))
-    met = low.join(blocks.withColumn("block", T.normalize_text("content")).select("document_id", "block_no", "block"), "document_id")
+    low = needles.select("needle_id", "document_id", T.match_form("needle").alias("needle")).filter("needle <> ''")
+    words = F.slice(F.array_distinct(F.filter(F.split("needle", " "), lambda w: F.length(w) >= 4)), 1, 12)
+    low = low.withColumn("words", words).withColumn("need", F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.size("words"))))
+    longest = F.reduce(F.split("needle", " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    keys = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(longest))
+    asked = low.select("needle_id", "document_id", F.size(keys).alias("n"), "need", F.explode(keys).alias("word"))
+
+    hay = write_table(blocks.select("document_id", "block_no", T.match_form("content").alias("block")), "blocks")
+    held = hay.select("document_id", "block_no", F.explode(F.array_distinct(F.split("block", " "))).alias("token"))
+    wanted = asked.select("document_id", "word").distinct()
+    lengths = wanted.groupBy("document_id").agg(F.collect_set(F.length("word")).alias("lengths"))  # a few lengths of words
+    tokens = held.select("document_id", "token").distinct().join(lengths, "document_id").withColumn("l", F.explode(F.filter("lengths", lambda n: n <= F.length("token"))))
+    grams = tokens.select("document_id", "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("l") + 1), lambda i: F.substring("token", i, F.col("l"))))).alias("word"))
+    inside = grams.join(wanted, ["document_id", "word"])
+    sizes = held.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("blocks"))
+    commonness = inside.join(sizes, ["document_id", "token"]).groupBy("document_id", "word").agg(F.sum("blocks").alias("blocks"))
+    place = F.row_number().over(Window.partitionBy("needle_id").orderBy("blocks", "word"))
+    # words that no block holds are the rarest of all
+    ranked = asked.join(commonness, ["document_id", "word"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("place", place)
+    rare = ranked.filter((F.col("blocks") > 0) & (F.col("place") <= F.greatest(F.lit(1), F.col("n") - F.col("need") + 1))).select("needle_id", "document_id", "word")
+    candidates = rare.join(inside, ["document_id", "word"]).select("needle_id", "document_id", "token").distinct().join(held, ["document_id", "token"]).select("needle_id", "document_id", "block_no").distinct()
+    met = candidates.join(low, ["needle_id", "document_id"]).join(hay, ["document_id", "block_no"])
     found = F.size(F.filter("words", lambda w: F.contains("block", w)))
-    need = F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.size("words")))
-    score = F.when(F.contains("block", "needle"), 1000).when(found >= need, found)
+    score = F.when(F.contains("block", "needle"), 1000).when(found >= F.col("need"), found)
     best = met.withColumn("score", score).filter("score is not null").groupBy("needle_id").agg(F.max(F.struct("score", (-F.col("block_no")).alias("first"))).alias("best"))
     return best.select("needle_id", (-F.col("best.first")).alias("block_no"), F.col("best.score").alias("score"))

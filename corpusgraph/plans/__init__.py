@@ -3,7 +3,7 @@
 import importlib
 import importlib.util
 
-MODULES = ("document_queries", "retrieval_queries", "graph_queries", "chat_queries")
+MODULES = ("document_queries", "retrieval_queries", "graph_queries", "chat_queries", "ingest_queries")
 
 
 def registered() -> tuple[dict, dict]:

@@ -167,7 +167,7 @@ def status_log(spark, d):
 
 @query("st3_document_status", f"WITH {STATUS} SELECT document_id, arg_max(status, {{'ts': ts, 'seq': seq}}) AS status, max(epoch_us(ts)) FILTER (WHERE status = 'INDEXED') - min(epoch_us(ts)) FILTER (WHERE status = 'PARSING') AS elapsed_us FROM st GROUP BY document_id")
 def _(spark, d):
-    return C.document_status(status_log(spark, d))
+    return C.document_status(status_log(spark, d)).drop("error")
 
 
 @query("st3_document_status_stream", f"WITH {STATUS} SELECT document_id, arg_max(status, {{'ts': ts, 'seq': seq}}) AS status FROM st GROUP BY document_id")
@@ -328,7 +328,7 @@ def _(spark, d):
 
 @query("c4_chunk_markdown", f"WITH {SECTIONS}, p AS (SELECT document_id, h, coalesce(sub, h) AS spot, path, {_packed('content', 256)} AS pieces FROM sections), u AS (SELECT document_id, spot, path, i, pieces[i] AS content FROM (SELECT *, unnest(range(1, len(pieces) + 1)) AS i FROM p)) SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY spot, i) - 1 AS INT) AS chunk_index, content, path, contains(content, '|') AND contains(content, '---') AS has_table, contains(content, '```') AS has_code, path || ': ' || left(content, 100) AS contextualized FROM u")
 def _(spark, d):
-    return K.chunk_markdown(markdown(spark, d), 64).withColumn("path", F.array_join("heading_path", " > ")).drop("heading_path")
+    return K.chunk_markdown(markdown(spark, d), 64).withColumn("path", F.array_join("heading_path", " > ")).drop("heading_path", "page_no", "image_refs", "table_refs")
 
 
 @query("c1_chunk_recursive", None)
@@ -348,7 +348,7 @@ def _(spark, d):
 
 @query("st5_ingest_stream", f"WITH {S.DOCS} SELECT id AS document_id, chunk_count AS n FROM docs")
 def _(spark, d):
-    return E.ingest_count(spark, d)
+    return E.ingest_lines(spark, d)
 
 
 @query("x4_build_turns", f"WITH {S.MESSAGES}, h AS (SELECT *, string_agg(role || ': ' || left(content, 300), chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS before FROM messages) SELECT conv_id, turn, CASE WHEN before IS NULL THEN '' ELSE 'Earlier:' || chr(10) || before || chr(10) || chr(10) END || 'Question: ' || content AS prompt FROM h WHERE role = 'user'")

@@ -335,7 +335,7 @@ def _(spark, d):
     return documents.resolve_assets(hits, S.assets(spark, d))
 
 
-@query("j9_locate_passage", f"WITH {S.CHUNKS}, n AS (SELECT document_id, chunk_index, lower(trim(regexp_replace(content, '\\s+', ' ', 'g'))) AS t FROM chunks) SELECT a.document_id, a.chunk_index AS needle, CAST(min(b.chunk_index) AS INT) AS block_no, 1000 AS score FROM n AS a JOIN n AS b ON a.document_id = b.document_id AND contains(b.t, a.t) GROUP BY a.document_id, a.chunk_index")
+@query("j9_locate_passage", f"WITH {S.CHUNKS}, n AS (SELECT document_id, chunk_index, {_MATCH.replace("text", "content")} AS t FROM chunks) SELECT a.document_id, a.chunk_index AS needle, CAST(min(b.chunk_index) AS INT) AS block_no, 1000 AS score FROM n AS a JOIN n AS b ON a.document_id = b.document_id AND contains(b.t, a.t) WHERE a.t <> '' GROUP BY a.document_id, a.chunk_index")
 def _(spark, d):
     c = S.chunks(spark, d)
     needles = c.select(F.struct("document_id", "chunk_index").alias("needle_id"), "document_id", F.col("content").alias("needle"))

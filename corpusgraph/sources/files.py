@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.batches import KEYS, read_part, put_batch, read_batches
+
 EVAL_SCHEMA = "id string, category string, user_input string, reference string, reference_contexts array<string>, synthesizer_name string, response string, source_count int, latency_ms double, metrics map<string,double>"
 
 
@@ -35,31 +39,43 @@ def read_eval_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVAL_SCHEMA).option("multiLine", "true").json(path)
 
 
-def write_vectors(df: DataFrame, path: str, on_dim_change: str = "replace") -> None:
-    """Upsert vectors (workspace, chunk_id, embedding, ...) into a collection partitioned by workspace.
+COLLECTION = ["workspace", "chunk_id"]
+
+
+def _collection_dims(spark: SparkSession, path: str) -> DataFrame | None:
+    """workspace, dim, since: the dimension of each workspace's latest batch, and the last batch before it of another one (none: null)."""
+    keys = read_part(spark, path, KEYS)
+    if keys is None:
+        return None
+    each = keys.groupBy("workspace", "batch").agg(F.max("dim").alias("dim"))  # a row for each batch of a workspace
+    last = each.groupBy("workspace").agg(F.max_by("dim", "batch").alias("now"))
+    met = each.join(last, "workspace")
+    return met.groupBy("workspace").agg(F.first("now").alias("dim"), F.max(F.when(~F.col("dim").eqNullSafe(F.col("now")), F.col("batch"))).alias("since"))
+
+
+def write_vectors(df: DataFrame, path: str, on_dim_change: str = "replace", batch: int | None = None) -> None:
+    """Upsert vectors (workspace, chunk_id, embedding, ...) into a collection.
 
-    Rows of the workspaces written keep what the batch does not have; if a workspace's dimension changed its rows are replaced
-    (or, with on_dim_change="error", an error is raised).
+    Only the batch is written. Rows of a workspace stay beside it if its dimension is theirs; if the dimension changed the batch takes
+    the place of all of them (or, with on_dim_change="error", an error is raised). batch numbers the write (the time unless given); the
+    same one written again takes its own place.
     """
     spark = df.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:  # no collection yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df.write.partitionBy("workspace").parquet(path)
-        return
-    dims = lambda x, name: x.groupBy("workspace").agg(F.max(F.size("embedding")).alias(name))
-    changed = dims(old, "was").join(dims(df, "now"), "workspace").filter("was <> now").select("workspace")
-    if on_dim_change == "error" and changed.head(1):
-        raise ValueError("the dimension of a collection changed")
-    kept = old.join(df.select("workspace").distinct(), "workspace", "left_semi").join(changed, "workspace", "left_anti").join(df.select("workspace", "chunk_id"), ["workspace", "chunk_id"], "left_anti")
-    staged = f"{path.rstrip('/')}.staged"  # beside the collection, so on the same store
-    kept.unionByName(df, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace").parquet(path)
+    keys = df.select(*COLLECTION, F.size("embedding").alias("dim"))
+    old = _collection_dims(spark, path) if on_dim_change == "error" else None
+    if old is not None:
+        now = keys.groupBy("workspace").agg(F.max("dim").alias("now"))
+        if old.join(now, "workspace").filter("dim <> now").head(1):
+            raise ValueError("the dimension of a collection changed")
+    put_batch(df, path, COLLECTION, time.time_ns() if batch is None else batch, keys.groupBy(*COLLECTION).agg(F.max("dim").alias("dim")))
 
 
 def read_vectors(spark: SparkSession, path: str, workspace: str | None = None, ids: DataFrame | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    """The vectors of a collection, or of a workspace, or those of ids (chunk_id)."""
+    df, dims = read_batches(spark, path, COLLECTION), _collection_dims(spark, path)
+    if df is None:
+        raise FileNotFoundError(f"no collection at {path}")
+    dims = dims.select(F.col("workspace").alias("_workspace"), "since")
+    df = df.join(dims, F.col("workspace").eqNullSafe(F.col("_workspace"))).filter("since is null or batch > since").drop("_workspace", "since", "batch")
     df = df if workspace is None else df.filter(F.col("workspace") == workspace)
     return df if ids is None else df.join(ids.select("chunk_id"), "chunk_id", "left_semi")
