@@ -98,15 +98,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = queries.filter("vec_id is not null").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", F.size("v").alias("d"), F.xxhash64("vec_id").alias("h"))
     asked = write_table(asked, "top-queries")
 
-    def packed(df: DataFrame, rows: int, names: str) -> DataFrame:
+    def numbered(df: DataFrame, rows: int):
+        """How many blocks the rows of each vector length make."""
         counts = {r["d"]: r["n"] for r in df.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each vector length
-        blocks = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, -(-n // rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
-        dealt = df.withColumn("blocks", blocks[F.col("d")]).withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
-        return dealt.groupBy("d", "block").agg(F.collect_list(F.struct(*names.split())).alias("rows"), F.first("blocks").cast("int").alias("blocks"))
-
-    c = packed(same, BLOCK_ROWS, "v ids").select("d", F.col("block").alias("c_block"), F.col("rows").alias("c_rows"))
-    q = packed(asked, QUERY_ROWS, "v vec_id").select("d", F.floor(F.col("block") / QUERY_BLOCKS).alias("q_part"), F.col("rows").alias("q_rows"))
-    pairs = c.join(q, "d").repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "d", "c_block", "q_part").sortWithinPartitions("d", "c_block")
+        return F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, -(-n // rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
+
+    def packed(df: DataFrame, blocks, names: str) -> DataFrame:
+        dealt = df.withColumn("block", F.pmod("h", blocks[F.col("d")]).cast("int"))
+        return dealt.groupBy("d", "block").agg(F.collect_list(F.struct(*names.split())).alias("rows"))
+
+    c_blocks = numbered(same, BLOCK_ROWS)
+    c = packed(same, c_blocks, "v ids").select("d", F.col("block").alias("c_block"), F.col("rows").alias("c_rows"))
+    q = packed(asked, numbered(asked, QUERY_ROWS), "v vec_id").select("d", F.floor(F.col("block") / QUERY_BLOCKS).alias("q_part"), F.col("rows").alias("q_rows"))
+    # query blocks are copied to each candidate block: they meet by its number, not by the vectors' length alone
+    q = q.withColumn("c_block", F.explode(F.sequence(F.lit(0), c_blocks[F.col("d")] - 1)))
+    pairs = c.join(q, ["d", "c_block"]).repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), "d", "c_block", "q_part").sortWithinPartitions("d", "c_block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, lists = None, None
