@@ -1,4 +1,8 @@
-"""Chat logs and evaluation: history, citations, ratings, event logs, score summaries."""
+"""Chat logs and evaluation: history, citations, ratings, event logs, score summaries.
+
+Unless a function says otherwise: a null id is a group of its own where rows are grouped and meets nothing where they are joined, a
+null text gives null (and is no text where texts are looked into), equal rows count each, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

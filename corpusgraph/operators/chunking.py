@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +42,34 @@ def split_recursive(text: str, size: int = 500, overlap: int = 50, separators: t
     return out
 
 
-def chunk_recursive(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
-    """document_id, chunk_index, content, char_start, char_end, total_chunks. A piece is located from a cursor by its first 50 characters; blank documents give no rows."""
+PIECES = "document_id long, chunk_index int, content string, char_start int, char_end int, total_chunks int"
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def chunk_recursive(docs: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """document_id, chunk_index, content, char_start, char_end, total_chunks. A piece is located from a cursor by its first 50 characters; blank and null documents give no rows."""
+    names, kinds = zip(*(x.split() for x in PIECES.split(", ")), strict=True)
+    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[k]) for n, k in zip(names, kinds, strict=True)])
+
+    def located(text: str) -> Iterator[tuple]:
+        pieces, at = (split_recursive(text, size, overlap) if text and text.strip() else []), 0
+        for i, p in enumerate(pieces):
+            start = text.find(p[:50], at)
+            start = at if start < 0 else start
+            yield i, p, start, start + len(p), len(pieces)
+            at = max(start + len(p) - overlap, at + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["document_id"], batch["text"], strict=True):
-                pieces, at = (split_recursive(text, size, overlap) if text and text.strip() else []), 0
-                for i, p in enumerate(pieces):
-                    start = text.find(p[:50], at)
-                    start = at if start < 0 else start
-                    rows.append((doc_id, i, p, start, start + len(p), len(pieces)))
-                    at = max(start + len(p) - overlap, at + 1)
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "char_start", "char_end", "total_chunks"])
-
-    return docs.select("document_id", "text").mapInPandas(run, "document_id long, chunk_index int, content string, char_start int, char_end int, total_chunks int")
+            for doc_id, text in zip(batch.column("document_id"), batch.column("text"), strict=True):
+                rows += [(doc_id.as_py(), *x) for x in located(text.as_py())]
+                if len(rows) >= 2000:  # so that pieces are not held beside a whole batch of texts
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return docs.select(F.col("document_id").cast("long").alias("document_id"), "text").mapInArrow(run, PIECES)
 
 
 def _fold(parts: Column, limit: int, glue: str) -> Column:

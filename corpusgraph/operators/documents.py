@@ -1,4 +1,8 @@
-"""Documents, workspaces and their assets: filters, listings, counts, status."""
+"""Documents, workspaces and their assets: filters, listings, counts, status.
+
+Unless a function says otherwise: a null id is a group of its own where rows are grouped and meets nothing where they are joined, a
+null text gives null (and is no text where texts are looked into), equal rows count each, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -292,6 +296,11 @@ def prepare_embedding_inputs(chunks: DataFrame, limit: int = 1600, overlap: int
     return chunks.select("document_id", "chunk_index", F.posexplode(split_for_embedding(T.sanitize_embed_input("content"), limit, overlap)).alias("part", "input"))
 
 
+def search_keys(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with match_form, slug, needle and keywords (distinct, in order) of a text; a null text has no keywords, an empty needle, and null for the others."""
+    return df.withColumns({"match_form": T.match_form(text), "slug": T.heading_slug(text), "needle": T.search_needle(text), "keywords": F.coalesce(T.question_keywords(text), F.array().cast("array<string>"))})
+
+
 def locate_passage(needles: DataFrame, blocks: DataFrame) -> DataFrame:
     """needle_id, block_no, score: the block of its document that holds a needle (document_id, needle) whole, else the one with most of its words.
 

@@ -1,4 +1,8 @@
-"""Knowledge graph tables: mentions to nodes and edges, search, neighbourhoods, analytics, context text."""
+"""Knowledge graph tables: mentions to nodes and edges, search, neighbourhoods, analytics, context text.
+
+Unless a function says otherwise: a null id is a group of its own where rows are grouped and meets nothing where they are joined, a
+null text gives null (and is no text where texts are looked into), equal rows count each, and an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -37,6 +41,11 @@ def entity_list(nodes: DataFrame, edges: DataFrame, search: str = "", sort: str
     return df.orderBy(*order)
 
 
+def entity_types(nodes: DataFrame) -> DataFrame:
+    """entity_type: the different types, in order, null first."""
+    return nodes.select("entity_type").distinct().orderBy("entity_type")
+
+
 def kg_relationships(edges: DataFrame, entity: str = "", limit: int = 500) -> DataFrame:
     e = entity.lower()
     df = edges.filter((F.lower("source") == e) | (F.lower("target") == e)) if e else edges

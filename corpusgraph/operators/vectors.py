@@ -75,13 +75,13 @@ FOUND = "query_id long, chunk_id long, distance double"
 
 def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Candidates from one pass over the vectors (part, key, unit), to which all queries (parts, key, unit) are sent; a task gives k a query."""
-    rows = queries.collect()  # as many as _nearest has checked
-    names = np.array([r["key"] for r in rows], np.int64)
-    by_part: dict[int, list[int]] = {}
-    for i, r in enumerate(rows):
-        for part in r["parts"]:
-            by_part.setdefault(part, []).append(i)
-    index = {part: (np.array(at), np.array([rows[i]["unit"] for i in at])) for part, at in by_part.items()}
+    sent_rows = queries.select("key", "parts", "unit").toArrow().combine_chunks()  # as many as _nearest has checked
+    names, parts, units = sent_rows["key"].to_numpy(), sent_rows["parts"].combine_chunks(), sent_rows["unit"].combine_chunks()
+    owner, part = np.repeat(np.arange(len(names)), np.diff(parts.offsets.to_numpy())), parts.flatten().to_numpy(zero_copy_only=False)
+    index = {}
+    for p in np.unique(part).tolist():
+        rows = owner[part == p]
+        index[p] = (rows, _matrix(units.take(pa.array(rows)), len(rows)))
     sent = queries.sparkSession.sparkContext.broadcast((names, index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,7 +64,7 @@ def _(spark, d):
 
 @query("a18_entity_types", f"WITH {S.GRAPH} SELECT DISTINCT entity_type FROM nodes")
 def _(spark, d):
-    return S.nodes(spark, d).select("entity_type").distinct().orderBy("entity_type")
+    return G.entity_types(S.nodes(spark, d))
 
 
 @query("t9_top_entities", f"WITH {S.GRAPH} SELECT id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN degrees USING (id) ORDER BY degree DESC, id LIMIT 10")
@@ -73,11 +73,15 @@ def _(spark, d):
 
 
 def asked(spark, d):
-    """Each order priority and part type of the catalogue asks about what it names."""
-    return S.table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.min("o_custkey").alias("c")).select(F.col("c").alias("query_id"), F.concat(F.lit("Which nation_1? Customer#00000000"), (F.col("c") % 10).cast("string"), F.lit(" or re, of furniture")).alias("question")).dropDuplicates(["query_id"])
+    """Each benchmark item asks with its text, and after a nation and a customer."""
+    i = F.col("item_id")
+    question = F.concat("text", F.lit(" nation_"), (i % 25).cast("string"), F.lit("? Customer#00000000"), (i % 10).cast("string"), F.lit(" or re, of furniture"))
+    return S.table(spark, d, "benchmark").select(i.alias("query_id"), question.alias("question"))
+
+
+ASKED = "asked AS (SELECT item_id AS query_id, text || ' nation_' || (item_id % 25) || '? Customer#00000000' || (item_id % 10) || ' or re, of furniture' AS question FROM benchmark)"
 
 
-ASKED = "asked AS (SELECT DISTINCT query_id, 'Which nation_1? Customer#00000000' || (query_id % 10) || ' or re, of furniture' AS question FROM (SELECT min(o_custkey) AS query_id FROM orders GROUP BY o_orderpriority, o_orderstatus))"
 def matched_sql() -> str:
     """Entities and edges that the questions of asked name; needs the graph and asked."""
     return """kw AS (SELECT DISTINCT query_id, regexp_replace(w, '^[.,?!:;"\'\'()\\[\\]{}]+|[.,?!:;"\'\'()\\[\\]{}]+$', '', 'g') AS kw FROM (SELECT query_id, unnest(string_split_regex(lower(question), '\\s+')) AS w FROM asked)),

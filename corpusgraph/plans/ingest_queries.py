@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import metrics as M
+from corpusgraph.functions import segment
 from corpusgraph.functions import text as T
 from corpusgraph.operators import chat as C
 from corpusgraph.operators import chunking as K
@@ -18,7 +19,7 @@ from corpusgraph.streaming import events as E
 
 from . import standins as S
 from .chat_queries import LOG, MD, SECTIONS, STATUS, _packed, log, markdown, status_log
-from .retrieval_queries import KEYWORD_RANKED, _reranked
+from .retrieval_queries import _TOK, KEYWORD_RANKED, _reranked, corpus, questions
 
 Q: dict = {}
 O: dict = {}
@@ -122,6 +123,25 @@ def _(spark, d):
     return E.read_documents(spark, to).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- compounds ---------------------------------------------------------------------------------------------------------------------
+
+
+def compounds(spark, d):
+    return segment.learn_compounds(corpus(spark, d), 4, 2.0)
+
+
+@query("s20_compounds", f"WITH t AS MATERIALIZED (SELECT {_TOK.format('text')} AS w FROM documents WHERE text IS NOT NULL), s AS (SELECT a, count(*) AS n FROM (SELECT unnest(w) AS a FROM t) GROUP BY a), p AS (SELECT x.a AS a, x.b AS b, count(*) AS n FROM (SELECT unnest(list_transform(w[1:len(w) - 1], lambda v, i: {{'a': v, 'b': w[i + 1]}})) AS x FROM t WHERE len(w) > 1) GROUP BY ALL), z AS (SELECT sum(len(w)) AS words, sum(greatest(len(w) - 1, 0)) AS pairs FROM t) SELECT p.a || ' ' || p.b AS compound, p.n, round(ln(p.n / pairs) - ln(x.n / words) - ln(y.n / words), 6) AS pmi FROM p JOIN s AS x ON x.a = p.a JOIN s AS y ON y.a = p.b, z WHERE p.n >= 4 AND ln(p.n / pairs) - ln(x.n / words) - ln(y.n / words) >= 2.0")
+def _(spark, d):
+    return compounds(spark, d).withColumn("pmi", F.round("pmi", 6))
+
+
+@query("s20_segmented_search", None)
+def _(spark, d):
+    """BM25 in which the corpus' own compounds are one term each."""
+    known = [r[0] for r in compounds(spark, d).select("compound").collect()]  # MOST_COMPOUNDS at most, which segmenter checks
+    return R.bm25_search(corpus(spark, d), questions(spark, d), 10, tokens=segment.segmenter(spark, known))
+
+
 # --- streams that close --------------------------------------------------------------------------------------------------------------
 
 CLOSED = f"""{LOG}, g AS (SELECT *, lag(event) OVER w AS before, epoch_ms(ts) AS ms, epoch_ms(ts) - lag(epoch_ms(ts)) OVER w AS gap FROM log WINDOW w AS (PARTITION BY session ORDER BY ts, seq)),
@@ -241,6 +261,11 @@ def _(spark, d):
     return docs.select("doc_id", T.normalize_page_dividers(divided).alias("divided"), F.array_join(T.normalize_entity_types(types, ["Person", "Place"]), ",").alias("types"))
 
 
+@query("tx6_keywords", "WITH k AS (SELECT doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents), b AS (SELECT DISTINCT doc_id, regexp_replace(w, '^[.,?!:;\"''()\\[\\]{}]+|[.,?!:;\"''()\\[\\]{}]+$', '', 'g') AS kw FROM k) SELECT doc_id, kw FROM b WHERE length(kw) >= 2")
+def _(spark, d):
+    return documents.search_keys(S.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode("keywords").alias("kw"))
+
+
 @query("j9_accent_free", f"WITH {S.CHUNKS}, n AS (SELECT document_id, chunk_index, trim(regexp_replace(regexp_replace(lower(strip_accents(replace(content, 'ß', ' '))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM chunks) SELECT a.document_id, a.chunk_index AS needle, CAST(min(b.chunk_index) AS INT) AS block_no, 1000 AS score FROM n AS a JOIN n AS b ON a.document_id = b.document_id AND contains(b.t, a.t) WHERE a.t <> '' GROUP BY a.document_id, a.chunk_index")
 def _(spark, d):
     """Each line, in capitals and without its accents, in its document."""

@@ -186,3 +186,53 @@ def test_pair_scores_of_a_model(spark):
     got = {r["ordinal"]: r["s"] for r in df.withColumn("s", R.model_score(model)).collect()}
     assert got[3] is None and got[6] is None and [round(got[i], 3) for i in (1, 2, 4, 5)] == [1.4, 1.1, 1.0, 1.2]
     assert [r["ordinal"] for r in R.rerank(df, R.model_score(R.Loaded(lambda: model)), 2, 1.05).orderBy("rank").collect()] == [1, 5]
+
+
+def test_compounds_by_the_fewest_tokens():
+    """Every way to part the words, by hand: the fewest tokens, then the longest first ones."""
+    import itertools
+
+    from corpusgraph.functions.segment import Compounds
+
+    known = {"a b", "b c", "c d e", "a b c", "d e", "e f g h", "A  A"}
+    trie, joined = Compounds(known), {k.lower().replace("  ", " ") for k in known}
+
+    def ways(words):
+        if not words:
+            yield []
+        for k in range(1, len(words) + 1):
+            if k == 1 or " ".join(words[:k]) in joined:
+                for rest in ways(words[k:]):
+                    yield [words[:k], *rest]
+
+    for n in range(7):
+        for words in itertools.product("abcde", repeat=n) if n < 5 else [tuple("abcdefgh"[:n]), tuple("aabcdefgh"), tuple("cdefgh")]:
+            best = min(ways(list(words)), key=lambda w: (len(w), [-len(x) for x in w]))
+            assert trie.join(list(words)) == ["_".join(x) for x in best]
+
+
+def test_a_compound_is_one_term(spark):
+    from corpusgraph.functions.segment import segmenter
+
+    chunks = spark.createDataFrame([(1, "Sinh viên học"), (2, "sinh vật và viên đá"), (3, None), (4, "giáo viên")], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "SINH VIÊN"), (2, "viên")], "query_id long, question string")
+    cut = segmenter(spark, ["sinh viên", "giáo viên", "sinh vật"])
+    got = {(r["query_id"], r["chunk_id"]) for r in R.bm25_search(chunks, asked, 4, tokens=cut).collect() if r["score"] > 0}
+    assert got == {(1, 1), (2, 2)}
+    tokens = {r["chunk_id"]: r["t"] for r in chunks.select("chunk_id", cut(F.col("content")).alias("t")).collect()}
+    assert tokens == {1: ["sinh_viên", "học"], 2: ["sinh_vật", "và", "viên", "đá"], 3: None, 4: ["giáo_viên"]}
+
+
+def test_segmented_search(spark, sf_dir):
+    """The registered query against BM25 by hand over joined words."""
+    from corpusgraph.functions.segment import Compounds
+    from corpusgraph.plans.ingest_queries import compounds
+    from tests.test_brute import bm25_by_hand
+
+    trie = Compounds([r["compound"] for r in compounds(spark, sf_dir).collect()])
+    join = lambda t: " ".join(trie.join((t or "").lower().split()))
+    chunks = [(r["chunk_id"], join(r["content"])) for r in queries.corpus(spark, sf_dir).collect()]
+    assert sum("_" in t for _, t in chunks) > 50
+    got = QUERIES["s20_segmented_search"](spark, sf_dir).collect()
+    for q in queries.questions(spark, sf_dir).collect():
+        assert [r["chunk_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q["query_id"]] == bm25_by_hand(chunks, join(q["question"]), 10)
