@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +68,71 @@ def near_losers(pairs: DataFrame) -> DataFrame:
     return ordered.select("document_id", F.explode(gone).alias("chunk_index"))
 
 
+def _shingles(text: str, n: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the n-grams of characters; a shorter text is its own only one."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(code) < n:
+        return np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint64)
+    h = np.zeros(len(code) - n + 1, np.uint64)
+    for k in range(n):
+        h = (h ^ code[k : len(code) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def _losers(texts: list[str], threshold: float) -> list[int]:
+    """Which of the texts, in order, are similar to an earlier one that is not itself one of these.
+
+    Two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of each, so a text meets only the kept ones that share
+    such a shingle; a group of near copies has one kept text, so it is never compared pair by pair.
+    """
+    sets = [_shingles(t) for t in texts]
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    lost, kept, at = [], {}, 0
+    for i, own in enumerate(sets):
+        mine = place[at : at + len(own)]
+        at += len(own)
+        order = np.lexsort((mine, count[mine]))[: len(own) - math.ceil(threshold * len(own)) + 1]
+        rare = [x for x in mine[order].tolist() if count[x] > 1]
+        for j in {j for x in rare for j in kept.get(x, ())}:
+            other = sets[j]
+            if min(len(own), len(other)) >= threshold * max(len(own), len(other)):
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if both / (len(own) + len(other) - both) >= threshold:
+                    lost.append(i)
+                    break
+        else:
+            for x in rare:
+                kept.setdefault(x, []).append(i)
+    return lost
+
+
+def near_losers_in_order(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """document_id, chunk_index of the chunks that near_losers(near_pairs(chunks, threshold)) gives, judged where a document's chunks lie.
+
+    A document's chunks are one row, as its text was, so nothing but that row is shuffled. Null contents are empty ones, which are alike.
+    """
+    rows = chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", T.normalize_text(F.coalesce("content", F.lit(""))).alias("text")))).alias("x")).filter(F.size("x") > 1)
+    kinds = [(c, chunks.schema[c].dataType.simpleString()) for c in ("document_id", "chunk_index")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found = [], []
+            for i in range(batch.num_rows):
+                x = batch.column("x")[i].values
+                lost = _losers(x.field("text").to_pylist(), threshold)
+                owner += [i] * len(lost)
+                found.append(x.field("chunk_index").take(pa.array(lost, pa.int64())))
+            if owner:
+                yield pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array(owner)), pa.concat_arrays(found)], ["document_id", "chunk_index"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds))
+
+
 def dedup_near(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     if threshold >= 1:
         return chunks
-    return chunks.join(near_losers(near_pairs(chunks, threshold)), ["document_id", "chunk_index"], "left_anti")
+    return chunks.join(near_losers_in_order(chunks, threshold), ["document_id", "chunk_index"], "left_anti")
 
 
 def renumber(chunks: DataFrame) -> DataFrame:
@@ -77,7 +144,7 @@ def judged(chunks: DataFrame, min_len: int = 50, threshold: float = 0.85) -> Dat
     """Every chunk with drop_reason: noise, exact, near, or null for those kept."""
     noted = filter_noise(chunks, min_len)
     quiet = noted.filter(F.col("drop_reason").isNull()).withColumn("hash", T.content_hash("content")).withColumn("r", exact_rank())
-    near = near_losers(near_pairs(quiet.filter("r = 1"), threshold)).withColumn("near", F.lit(True))
+    near = near_losers_in_order(quiet.filter("r = 1"), threshold).withColumn("near", F.lit(True))
     kept = quiet.join(near, ["document_id", "chunk_index"], "left").withColumn("drop_reason", F.when(F.col("r") > 1, "exact").when(F.col("near"), "near"))
     noise = noted.filter(F.col("drop_reason").isNotNull()).withColumn("drop_reason", F.lit("noise"))
     cols = [*with_refs(chunks).columns, "drop_reason"]

@@ -52,7 +52,11 @@ def run_to_table(spark: SparkSession, stream: DataFrame, keys: list[str], versio
 
 
 def assemble_answers_stream(events: DataFrame) -> DataFrame:
-    """session, answer, done, version after each batch: tokens by sequence number, those before the last rollback dropped, whatever order the events come in."""
+    """session, answer, done, version after each batch: tokens by sequence number, those before the last rollback dropped, whatever order the events come in.
+
+    An answer is given anew after each batch that brings events of its session, so a session's tokens stay in state; where answers end,
+    closed_answers_stream lets go of them.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seqs, tokens, cut, done, version = state.get if state.exists else ([], [], -1, False, 0)

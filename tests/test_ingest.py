@@ -265,3 +265,24 @@ def test_ties_of_turn(spark):
     m = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "assistant", "b"), (1, 0, "user", "c"), (1, None, "user", "first")], "conv_id long, turn int, role string, content string")
     got = {r["content"]: [x["content"] for x in r["history"]] for r in C.history_window(m).collect()}
     assert got == {"first": [], "b": ["first"], "a": ["first", "b"], "c": ["first", "b", "a"]}
+
+
+def test_near_copies_in_order(spark):
+    """What is judged where the chunks lie is what pairs and their order give: groups, chains, short, empty and null contents."""
+    import random
+
+    from corpusgraph.operators import dedup
+
+    rng, rows = random.Random(4), []
+    for doc in range(25):
+        base = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(30)) for _ in range(3)]
+        for i in range(rng.randrange(1, 14)):
+            words = rng.choice(base).split()
+            for _ in range(rng.randrange(0, 4)):
+                words[rng.randrange(len(words))] = "".join(rng.choices("xyz", k=3))
+            rows.append((doc, i, rng.choice([" ".join(words), " ".join(words).upper(), "abc", "abd", "", None, "Añb"] if i % 4 == 3 else [" ".join(words)])))
+    df = spark.createDataFrame(rows, "document_id long, chunk_index int, content string")
+    for t in (0.6, 0.85, 1.0):
+        want = sorted(map(tuple, dedup.near_losers(dedup.near_pairs(df, t)).collect()))
+        assert sorted(map(tuple, dedup.near_losers_in_order(df, t).collect())) == want and len(want) > 10
+    assert dedup.near_losers_in_order(df.limit(0)).collect() == []
