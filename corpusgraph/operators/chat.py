@@ -273,7 +273,7 @@ def resolve_contexts(items: DataFrame, chunks: DataFrame) -> DataFrame:
     texts = chunks.select("batch", F.col("place").alias("chunk_index"), F.substring("content", 1, 500).alias("context"))
     each = good.select("*", F.posexplode_outer("context_indices").alias("at", "chunk_index")).join(texts, ["batch", "chunk_index"], "left")
     found = F.array_sort(F.collect_list(F.when(F.col("context").isNotNull(), F.struct("at", "context"))))
-    return each.groupBy("n", "question", "answer").agg(F.transform(found, lambda x: x["context"]).alias("contexts")).select(F.concat(F.lit("RAGAS-"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "question", "answer", "contexts")
+    return each.groupBy("n", "question", "answer").agg(F.transform(found, lambda x: x["context"]).alias("contexts")).select(F.concat(F.lit("RAGAS-"), F.when(F.col("n") < 1000, F.lpad(F.col("n").cast("string"), 3, "0")).otherwise(F.col("n").cast("string"))).alias("id"), "question", "answer", "contexts")
 
 
 def attach_scores(results: DataFrame, scores: DataFrame) -> DataFrame:

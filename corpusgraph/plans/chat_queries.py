@@ -369,7 +369,7 @@ def _(spark, d):
     return answers(spark, d).select("id", F.round(M.answer_substance("answer"), 6).alias("substance"), F.round(M.context_utilization_v2("answer", "source_count"), 6).alias("utilization"))
 
 
-@query("m12_resolve_contexts", f"WITH {S.CHUNKS}, i AS (SELECT row_number() OVER (ORDER BY item_id) AS n, item_id, text FROM benchmark) SELECT 'RAGAS-' || CASE WHEN n < 1000 THEN right('000' || n, 3) ELSE left(n::VARCHAR, 3) END AS id, text AS answer, left(content, 500) AS context FROM i JOIN chunks ON document_id = item_id AND chunk_index = 0")
+@query("m12_resolve_contexts", f"WITH {S.CHUNKS}, i AS (SELECT row_number() OVER (ORDER BY item_id) AS n, item_id, text FROM benchmark) SELECT 'RAGAS-' || CASE WHEN n < 1000 THEN right('000' || n, 3) ELSE n::VARCHAR END AS id, text AS answer, left(content, 500) AS context FROM i JOIN chunks ON document_id = item_id AND chunk_index = 0")
 def _(spark, d):
     b = S.table(spark, d, "benchmark").select(F.col("item_id").alias("batch"), F.lit(0).alias("place"), F.lit("q").alias("question"), F.col("text").alias("answer"), F.array(F.lit(0), F.lit(99_999)).alias("context_indices"))
     c = S.chunks(spark, d).select(F.col("document_id").alias("batch"), F.col("chunk_index").alias("place"), "content")

@@ -208,7 +208,7 @@ def _(spark, d):
     return S.table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(M.missing_keywords("text", F.array(F.lit("The"), F.lit("und"), F.lit("zzz"), F.col("lang"))), ",").alias("missing"))
 
 
-@query("m12_contexts_in_order", f"WITH {S.CHUNKS}, n AS (SELECT document_id, max(chunk_index) AS last FROM chunks GROUP BY document_id), o AS (SELECT *, row_number() OVER (ORDER BY document_id) AS n FROM n), c AS (SELECT document_id, list_transform(list_filter([last, 0, 999999, last], lambda i: i <= last), lambda i: i) AS spots FROM o), t AS (SELECT document_id, list(left(content, 500) ORDER BY chunk_index) AS texts FROM chunks GROUP BY document_id) SELECT 'RAGAS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE left(n::VARCHAR, 3) END AS id, array_to_string(list_transform(spots, lambda i: texts[i + 1]), '~') AS contexts FROM o JOIN c USING (document_id) JOIN t USING (document_id)")
+@query("m12_contexts_in_order", f"WITH {S.CHUNKS}, n AS (SELECT document_id, max(chunk_index) AS last FROM chunks GROUP BY document_id), o AS (SELECT *, row_number() OVER (ORDER BY document_id) AS n FROM n), c AS (SELECT document_id, list_transform(list_filter([last, 0, 999999, last], lambda i: i <= last), lambda i: i) AS spots FROM o), t AS (SELECT document_id, list(left(content, 500) ORDER BY chunk_index) AS texts FROM chunks GROUP BY document_id) SELECT 'RAGAS-' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS id, array_to_string(list_transform(spots, lambda i: texts[i + 1]), '~') AS contexts FROM o JOIN c USING (document_id) JOIN t USING (document_id)")
 def _(spark, d):
     """Each document asks with its last line, its first, one that is not there, and its last again."""
     chunks = S.chunks(spark, d).select(F.col("document_id").alias("batch"), F.col("chunk_index").alias("place"), "content")
