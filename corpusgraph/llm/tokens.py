@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,16 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15
 #: A block takes whole documents up to so many ids (or one longer document), and decodes by itself.
 BLOCK_IDS = 1 << 16
-#: Entries a Python worker keeps of encoded words; a bound on memory only, other words are encoded each time.
+#: Entries a Python worker keeps of encoded pieces; a bound on memory only, other pieces are encoded each time.
 CACHE_WORDS = 800_000
+#: Bytes of text that are encoded at a time (a single longer text stands alone), and pieces of it that are looked up at a time.
+SLICE_BYTES = 1 << 22
+PIECES = 1 << 20
+#: A text is encoded whole if it is empty, white space stands at its end or beside other, or some is neither a space nor a line end.
+WHOLE = r"\A\z|\A[ \n]|[ \n]\z|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Kinds of UTF-8 bytes.
+SPACE, ALNUM, MARK, HIGH = 1, 2, 3, 4
+KINDS = np.array([SPACE if b in b" \n" else ALNUM if chr(b).isalnum() else MARK if 32 < b < 127 else 0 for b in range(128)] + [HIGH] * 128, np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -105,11 +114,11 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class Encoder:
-    """The tokenizers library behind a cache of encoded words.
+    """The tokenizers library behind a cache of encoded pieces.
 
-    A text whose words are parted by single spaces and line ends alone is cut before each of them: byte-level pre-tokenization also
-    cuts there, so the ids of the parts are the ids of the text. Any other text goes to the library whole. A word of Latin letters,
-    and a full stop or comma after it, are pieces of their own, for which the library's model alone is asked.
+    A text whose words are parted by single spaces and line ends alone is cut before each of them, and before ASCII marks that follow a
+    letter or digit: byte-level pre-tokenization also cuts there, so the ids of the pieces are the ids of the text. Any other text goes
+    to the library whole. Pieces are looked up once for each slice of texts. For a word of Latin letters the library's model alone is asked.
     """
 
     def __init__(self, path: str):
@@ -127,8 +136,7 @@ class Encoder:
         self.cuts = self.cuts and len(self._ids(["\n"])[0]) == 4
         self.known: dict[str, bytes] = {}
         if self.cuts:
-            self.line, *points = self._ids(["\n", ".", ","])
-            self.points = dict(zip(".,", points, strict=True))
+            (self.line,) = self._ids(["\n"])
             # the byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for those from 256 on, in order
             plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
             self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - plain))}
@@ -142,52 +150,73 @@ class Encoder:
         mapped = piece.replace(" ", self.alphabet[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out: list = [b""] * len(batch)
-        whole, cut = [], []
-        for i, text in enumerate(batch):
-            if self.cuts and (keys := _keys(text)) and not any(m in text for m in self.marks):
-                cut.append((i, keys))
-            elif text:
-                whole.append(i)
-        for i, ids in zip(whole, self._ids([batch[i] for i in whole]), strict=True):
-            out[i] = ids
-        known, new = self.known, {}
-        seen = set()
-        for _, keys in cut:
-            seen.update(keys)
-        todo = []
-        for k in seen.difference(known):
-            line = k[0] == "\n"
-            word, mark = (k[1:-1], k[-1]) if line and k[-1] in self.points else (k[:-1], k[-1]) if k[-1] in self.points else (k[1:] if line else k, "")
-            if word.isalpha() and max(word) < "\u0250":
-                new[k] = (self.line if line else b"") + self._letters(word if line else " " + word) + self.points.get(mark, b"")
-            else:
-                todo.append(k)
-        new.update(zip(todo, self._ids([k if k[0] == "\n" else " " + k for k in todo]), strict=True))
-        if len(known) < CACHE_WORDS:
-            known.update(new)
-            find = known
-        else:
-            find = {k: new[k] if k in new else known[k] for k in seen}
-        get = find.__getitem__
-        for i, keys in cut:
-            out[i] = b"".join(map(get, keys))[4:]  # without the line end put before the first word
+    def encode(self, batch: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text; no text is null."""
+        texts = batch.cast(pa.string()) if isinstance(batch, pa.Array) else pa.array(batch, pa.string())
+        whole = np.ones(len(texts), bool)
+        if self.cuts:
+            whole = pc.match_substring_regex(texts, WHOLE).to_numpy(zero_copy_only=False)
+            for mark in self.marks:
+                whole = whole | pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        out = [b""] * len(texts)
+        for way, mine in ((self._ids, whole), (self._cut, ~whole)):
+            if mine.any():
+                chosen = texts.filter(pa.array(mine))
+                for i, ids in zip(np.flatnonzero(mine).tolist(), way(chosen.to_pylist() if way == self._ids else chosen), strict=True):
+                    out[i] = ids
         return out
 
+    def _cut(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of texts that may be cut, each with a line end put before it so that all pieces of first words are alike."""
+        lines = pc.binary_join_element_wise(pa.scalar("\n"), texts, pa.scalar(""))
+        _, offsets, values = lines.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(lines) + 1]
+        data = np.frombuffer(values, np.uint8)[: offsets[-1]]
+        starts = np.append(_starts(data), len(data)).astype(np.int32)
+        parts, counts = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(starts) - 1, PIECES):
+            bounds = starts[a : a + PIECES + 1]
+            pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), values).dictionary_encode()
+            found = self._find(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            at = pieces.indices.to_numpy()
+            n = sizes[at]
+            ends = np.cumsum(n)
+            shift = (np.cumsum(sizes) - sizes)[at] - (ends - n)
+            parts.append(np.frombuffer(b"".join(found), "<u4")[np.repeat(shift, n) + np.arange(ends[-1])])
+            counts.append(n)
+        ids = np.concatenate(parts).tobytes()
+        before = np.cumsum(np.concatenate(counts))[np.searchsorted(starts, offsets)].tolist()
+        return [ids[4 * x + 4 : 4 * y] for x, y in zip(before, before[1:], strict=False)]  # without the line end
+
+    def _find(self, pieces: list[str]) -> list[bytes]:
+        """Ids of different pieces, from the cache or the library."""
+        found: list = list(map(self.known.get, pieces))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        rest = []
+        for i in new:
+            piece = pieces[i]
+            word = piece[1:]
+            if piece[0] in " \n" and word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                found[i] = self._letters(piece) if piece[0] == " " else self.line + self._letters(word)
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._ids([pieces[i] for i in rest]), strict=True):
+            found[i] = ids
+        self.known.update((pieces[i], found[i]) for i in new[: max(0, CACHE_WORDS - len(self.known))])
+        return found
+
 
-def _keys(text: str) -> list[str] | None:
-    """The words of a text, with the line end put before each first word of a line; None unless single spaces and line ends are all its white space."""
-    words, at = text.split(), 0
-    lines = text.split("\n")
-    spaces = text.count(" ") + len(lines) - 1
-    if len(words) != spaces + 1 or sum(map(len, words)) + spaces != len(text):
-        return None
-    for line in lines:
-        words[at] = "\n" + words[at]
-        at += line.count(" ") + 1
-    return words
+def _starts(data: np.ndarray) -> np.ndarray:
+    """Where the pieces of UTF-8 bytes start: at white space, and at ASCII marks behind an ASCII letter or digit or a letter of U+00C0 to U+00FF."""
+    kinds = KINDS[data]
+    starts = kinds == SPACE
+    marks = kinds[1:] == MARK
+    starts[1:] |= marks & (kinds[:-1] == ALNUM)
+    at = np.flatnonzero(marks & (kinds[:-1] == HIGH)) + 1
+    letter = (data[at - 2] == 0xC3) & (data[at - 1] != 0x97) & (data[at - 1] != 0xB7)  # all but the signs of multiplication and division
+    starts[at[letter]] = True
+    return np.flatnonzero(starts)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -257,8 +286,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, par
             number, first, held, ids, names, counts = number + 1, first + held, 0, [], [], []
             return row
 
-        for batch in text_slices(batches, "text"):
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), enc.encode([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), enc.encode(pc.fill_null(batch.column("text"), "")), strict=True):
                 data += tail
                 n = len(data) // 4
                 if held and held + n > BLOCK_IDS:

@@ -54,6 +54,44 @@ def test_parts_have_the_ids_of_the_whole(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == library_ids(texts)
 
 
+@given(st.lists(st.lists(st.sampled_from(["a", "Zé", "é", "ÿ", "×", "÷", "ª", "ɐ", "1", "²", "\u0301", "漢", "😀", "\x00", "\x1c", "\x7f", "'", "'s", "'ll", "’", "\"", ".", ",", "**", "_", "#", "=", "<|endoftext|>", " ", " ", " ", "\n", "\n", "\xa0", "\u2028", "\x85", "\t"]), max_size=25).map("".join), max_size=12))
+@settings(max_examples=600, deadline=None)
+def test_cuts_at_marks_keep_the_ids(texts):
+    enc = tokens.encoder(tokenizer_path())
+    pieces, tokens.PIECES = tokens.PIECES, 5
+    try:
+        got = enc.encode(texts)
+    finally:
+        tokens.PIECES = pieces
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def asked(enc, monkeypatch):
+    """What the library is asked for from now on, without the empty lists."""
+    pieces, letters, ids = [], enc._letters, enc._ids
+    monkeypatch.setattr(enc, "_letters", lambda piece: pieces.append(piece) or letters(piece))
+    monkeypatch.setattr(enc, "_ids", lambda parts: pieces.extend(parts) or ids(parts))
+    return pieces
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow(monkeypatch):
+    enc = tokens.Encoder(tokenizer_path())
+    pieces = asked(enc, monkeypatch)
+    texts = ["und Straßen Straßen, Straßen. Straßen### Straßen,***", "und Straßen; né né. né,"]
+    got = [enc.encode(texts), enc.encode(texts)]
+    assert sorted(pieces) == sorted(["und", " Straßen", " né", ",", ".", "###", ",***", ";"])
+    assert [[np.frombuffer(x, "<u4").tolist() for x in g] for g in got] == [library_ids(texts)] * 2
+
+
+def test_the_cache_never_exceeds_its_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 30)
+    enc = tokens.Encoder(tokenizer_path())
+    for k in range(3):
+        texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{'x' * k}" for i in range(j, j + 40)) for j in range(0, 200, 40)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == library_ids(texts)
+        assert len(enc.known) == 30
+
+
 def test_round_trip(spark):
     rows = [(i, t, "z") for i, t in enumerate(ODD)] + [(3, "again", "z"), (None, "no id", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")  # n_tokens: a clashing extra column
