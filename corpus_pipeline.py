@@ -1,7 +1,8 @@
 """The corpus pipeline: documents go through five stages, each over all that the stage before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads it back
-as the next stage's documents. All stages but the last return the columns of documents. SQL cannot express the pipeline: the CRF,
+as the next stage's documents. All stages but the last return the columns of documents. Stages bound the session's Arrow batches by bytes
+(small_batches), unless it has a limit of its own. SQL cannot express the pipeline: the CRF,
 the SimHash components, the alignment, the budget fit and the tokenizer are tested against brute-force versions instead.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusgraph.llm import decontam, lang_crf, mixing, simhash, tokens
-from corpusgraph.llm.common import write_table
+from corpusgraph.llm.common import small_batches, write_table
 from corpusgraph.llm.queries import tokenizer_path
 
 #: Mean marginal under which no language is taken to be known: none then holds half of the words.
@@ -22,6 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts go; repeated rows are judged alike. Without a labelled document nothing is judged and all stay as they are.
     """
+    small_batches(spark)
     model = lang_crf.fit(docs.filter(lang_crf.remainder("doc_id") != 1))
     if not model.labels:  # nothing to learn from, so nothing to judge by
         return docs
@@ -30,11 +32,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; null and wordless texts are copies of each other, null ids come last."""
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; null texts hold none and stay, repeated rows go or stay alike."""
+    small_batches(spark)
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -45,6 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the mix in files, and a row for each document read back from them; a null text is the end id alone, null ids come last."""
+    small_batches(spark)
     return tokens.read_token_files(tokens.write_token_files(docs, tokenizer_path()))
 
 

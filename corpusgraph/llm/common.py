@@ -14,6 +14,14 @@ from corpusgraph.sources.shared import write_table  # noqa: F401
 
 #: Bytes of text that one Python step holds at a time (a single longer text stands alone).
 SLICE_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python step at a time (a single longer row stands alone).
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let this session's Arrow batches take BATCH_BYTES: by rows alone, a batch of texts is a whole file split in the JVM and in Python. A limit that the session has stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +18,8 @@ from .common import text_slices, texts
 UNKNOWN = "und"
 #: Words of one chain; longer texts are a row of chains, so that no word is left out and work per word is even.
 CHAIN_WORDS = 64
+#: Bytes of text that are labelled at a time, which take about a hundred times as much memory; longer texts go in parts of so many words.
+SLICE_BYTES, PART_WORDS = 1 << 18, 512 * CHAIN_WORDS
 #: Hash places of character trigrams, of affixes (three prefixes, three suffixes), and of words in the lexicon.
 TRIGRAMS, AFFIXES, LEXICON = 1 << 15, 1 << 13, 1 << 15
 #: Bounds of the training sample: documents of each language, words of each document, chains, passes.
@@ -226,10 +229,11 @@ def fit(labelled: DataFrame, seed: int = 42) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(labels) * LEXICON, np.int64)
-        for batch in text_slices(batches, "text"):
-            words = Words.of(texts(batch))
-            own = np.array([index[x] for x in batch.column("lang").to_pylist()])
-            sums += np.bincount(own[words.text] * LEXICON + words.lexicon(), minlength=len(sums))
+        for batch in text_slices(batches, "text", SLICE_BYTES):
+            data, own = texts(batch), np.array([index[x] for x in batch.column("lang").to_pylist()])
+            for part in [data] if len(data) > 1 or len(data[0]) <= SLICE_BYTES else ([x] for x in whole_chains(data[0])):
+                words = Words.of(part)
+                sums += np.bincount(own[words.text] * LEXICON + words.lexicon(), minlength=len(sums))
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], ["place", "n"])
 
@@ -242,7 +246,7 @@ def fit(labelled: DataFrame, seed: int = 42) -> Model:
     drawn = docs.withColumn("h", place).filter(F.shiftrightunsigned("h", 11) / float(1 << 53) <= share[F.col("lang")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             words, out = Words.of(texts(batch)), []
             ends = np.searchsorted(words.text, np.arange(batch.num_rows + 1))
             for i, h in enumerate(batch.column("h").to_pylist()):
@@ -275,6 +279,33 @@ def predict(model: Model, data: list[bytes]) -> tuple[list[str], np.ndarray, Wor
     return names, means, words, gamma
 
 
+def whole_chains(text: bytes) -> Iterator[bytes]:
+    """The text in lower case, cut before every PART_WORDS-th word: the chains of the parts are those of the whole."""
+    low = text.decode().lower().encode()
+    letter = _LETTER[np.frombuffer(low, np.uint8)]
+    starts = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    cuts = [0, *starts[PART_WORDS::PART_WORDS].tolist(), len(low)]
+    for a, b in itertools.pairwise(cuts):
+        yield low[a:b]
+
+
+def languages(model: Model, data: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """Label and score of each text; a text over SLICE_BYTES is labelled part by part, as its chains do not depend on each other."""
+    names, means = [UNKNOWN] * len(data), np.zeros(len(data))
+    short = [i for i, t in enumerate(data) if len(t) <= SLICE_BYTES or not model.labels]
+    for i, name, mean in zip(short, *predict(model, [data[i] for i in short])[:2], strict=True):
+        names[i], means[i] = name, mean
+    for i in sorted({*range(len(data))} - {*short}):
+        size, sums = 0, np.zeros(len(model.labels))
+        for part in whole_chains(data[i]):
+            words = Words.of([part])
+            size += len(words.start)
+            sums += marginals(model, words).sum(axis=0, dtype=float)
+        if size and (data[i].isascii() or _ANY_LETTER.search(data[i].decode())):
+            names[i], means[i] = model.labels[sums.argmax()], min(1.0, sums.max() / size)
+    return names, means
+
+
 def keep_known(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
     """The documents (all their columns) whose language is known with min_score at least; lang becomes the predicted language.
 
@@ -284,8 +315,8 @@ def keep_known(docs: DataFrame, model: Model, min_score: float) -> DataFrame:
     place = docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            names, means, _, _ = predict(sent.value, texts(batch))
+        for batch in text_slices(batches, "text", SLICE_BYTES):
+            names, means = languages(sent.value, texts(batch))
             named = batch.set_column(place, batch.schema.field(place).with_type(pa.string()), pa.array(names, pa.string()))
             yield named.filter(pa.array([name != UNKNOWN and mean >= min_score for name, mean in zip(names, means, strict=True)]))
 
@@ -303,9 +334,9 @@ def identify(docs: DataFrame, model: Model, keep: tuple = (), with_spans: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE_BYTES):
             n = batch.num_rows
-            names, means, words, gamma = predict(model, texts(batch))
+            names, means, words, gamma = predict(model, texts(batch)) if with_spans else (*languages(model, texts(batch)), None, None)
             spans = [[] for _ in range(n)]
             if with_spans and len(gamma):
                 tag = gamma.argmax(axis=1)

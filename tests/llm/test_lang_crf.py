@@ -1,7 +1,10 @@
 import itertools
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusgraph.llm import lang_crf
@@ -71,3 +74,30 @@ def test_nothing_to_learn_from(spark):
     one = lang_crf.predict_held_out(spark.createDataFrame([(i, "a b", "xx") for i in range(9)], "doc_id long, text string, lang string")).collect()
     assert {r["lang_pred"] for r in one} == {"xx"}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in one)
+
+
+def test_memory_does_not_grow_with_the_batch_or_a_text(model):
+    """A batch of a megabyte of short texts, and one long text of two megabytes, are labelled in a bounded part of memory."""
+    line = "the quick brown fox and the lazy dog, "
+    batch = pa.RecordBatch.from_pydict({"lang": ["x"] * 501, "text": [line * 55] * 500 + [line * 55_000]})
+    context = types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x))
+    docs = types.SimpleNamespace(columns=["lang", "text"], schema=None, sparkSession=types.SimpleNamespace(sparkContext=context), mapInArrow=lambda f, _: f)
+    run = lang_crf.keep_known(docs, model, 0.5)
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 501 and peak < 60e6
+
+
+def test_long_texts_are_labelled_as_a_whole(model, monkeypatch):
+    monkeypatch.setattr(lang_crf, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(lang_crf, "PART_WORDS", 2 * lang_crf.CHAIN_WORDS)
+    texts = ["the of and " * 500, "12 ΑΣ'Α, der die und É " * 300, "漢字 " * 999, "1 " * 999, "— " * 999, "a" * 5000, "short the", "the " * 128 + "x" * 600, "the " * 127 + "x" * 600]
+    data = [t.encode() for t in texts]
+    names, means = lang_crf.languages(model, data)
+    want_names, want_means, _, _ = lang_crf.predict(model, data)
+    assert names == want_names and np.allclose(means, want_means, atol=1e-6)
+    assert b"".join(lang_crf.whole_chains(data[1])) == texts[1].lower().encode()

@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from corpusgraph.llm import decontam
+from corpusgraph.llm import common, decontam
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
 
@@ -59,3 +59,27 @@ def test_odd_rows_and_extra_columns(spark, sf_dir, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf_dir).count() == 0
 
 
+
+
+def test_batches_are_bounded_by_bytes(spark, sf_dir):
+    """After a stage a Python step gets a few megabytes at a time, not a whole split; a limit that the session has stays."""
+    key, docs = "spark.sql.execution.arrow.maxBytesPerBatch", spark.createDataFrame([(1, "the of and in", "en", "s", 13)], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    own = spark.conf.get(key, None)
+    try:
+        for k in (0, 1, 2, 4):
+            spark.conf.unset(key)
+            corpus_pipeline.STAGES[k][1](spark, docs, sf_dir)
+            got = [r["n"] for r in spark.range(0, 400, 1, 1).selectExpr("repeat(string(id % 10), 50000) text").mapInArrow(sizes, "n long").collect()]
+            assert len(got) > 1 and max(got) < common.BATCH_BYTES + 100_000
+        spark.conf.set(key, "1234567")
+        corpus_pipeline.STAGES[0][1](spark, docs, sf_dir)
+        assert spark.conf.get(key) == "1234567"
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
