@@ -155,8 +155,8 @@ def subgraph_edges(shown: DataFrame, edges: DataFrame, cut: int = 80) -> DataFra
 
 
 def merge_mentions(mentions: DataFrame, threshold: float = 0.45) -> DataFrame:
-    """name, type, description, score: of mentions of one name whatever its case, the best (the first on a tie)."""
-    rank = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(F.desc("score"), "position"))
+    """name, type, score, position: of mentions of one name whatever its case, the best (the first on a tie; those without a position come last)."""
+    rank = F.row_number().over(Window.partitionBy(F.lower("name")).orderBy(F.desc("score"), F.asc_nulls_last("position"), "name", "type"))
     return mentions.filter(F.col("score") >= threshold).withColumn("r", rank).filter("r = 1").select("name", "type", "score", "position")
 
 

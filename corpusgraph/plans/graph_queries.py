@@ -142,7 +142,7 @@ MENTIONS = "mentions AS (SELECT o_orderkey AS position, CASE WHEN o_orderkey % 2
 
 def mentions(spark, d):
     o, c = S.table(spark, d, "orders"), S.table(spark, d, "customer")
-    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("type"), F.round(F.col("o_totalprice") % 100 / 100, 2).alias("score"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("position"), F.when(F.col("o_orderkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("type"), S.rounded(F.col("o_totalprice") % 100 / 100, 2).alias("score"))
 
 
 @query("g1_merge_mentions", f"WITH {MENTIONS} SELECT name, type, score, position FROM mentions WHERE score >= 0.45 QUALIFY row_number() OVER (PARTITION BY lower(name) ORDER BY score DESC, position) = 1")

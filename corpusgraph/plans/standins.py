@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusgraph.sources.files import read_table
@@ -15,6 +15,11 @@ def _pick(values: tuple, by):
     return F.element_at(F.array(*map(F.lit, values)), (by + 1).cast("int"))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double as SQL rounds it: scaled, rounded half away from zero, scaled back. Spark rounds its shortest decimal form instead, so 0.145 would be 0.15, not 0.14."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
