@@ -157,9 +157,11 @@ def _base_letters() -> tuple[str, str]:
 
 
 def match_form(c: C) -> Column:
-    """Lower case without accents (composed or not), anything but a-z and 0-9 as single spaces."""
-    t = F.lower(F.translate(_sub(_c(c), r"[\x{300}-\x{36f}]", ""), *_base_letters()))
-    return F.trim(_sub(_sub(t, r"[^a-z0-9\s]", " "), r"\s+", " "))
+    """Lower case without accents (composed or not), anything but a-z and 0-9 as single spaces. Only texts beyond ASCII are looked through for accents."""
+    accented, bare = _base_letters()
+    accents = "".join(map(chr, range(0x300, 0x370)))  # go, as they have no counterpart
+    plain = let(_c(c), lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), F.translate(t, accented + accents, bare)).otherwise(t))
+    return F.trim(_sub(F.lower(plain), r"[^a-z0-9]+", " "))
 
 
 def heading_slug(c: C) -> Column:

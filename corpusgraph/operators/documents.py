@@ -6,12 +6,15 @@ null text gives null (and is no text where texts are looked into), equal rows co
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 from corpusgraph.operators.dedup import noise_reason, with_refs
-from corpusgraph.sources.shared import write_table
+from corpusgraph.operators.passages import Blocks
 
 IN_PROGRESS = ("PROCESSING", "PARSING", "INDEXING")
 ALLOWED = ("pdf", "txt", "md", "docx", "pptx")
@@ -307,33 +310,25 @@ def locate_passage(needles: DataFrame, blocks: DataFrame) -> DataFrame:
     Both are compared without accents, case and punctuation. Of the needle's first 12 distinct words of four characters at least,
     max(2, 40 %) must be in the block; the first block wins a tie. Needles without letters or digits, null ones too, are found nowhere.
 
-    A block that qualifies holds one of the needle's rarest words (all but the needed number less one), or, for a needle without such
-    words, its longest one. So words of needles meet words of blocks that hold them, over the grams of that length, and only blocks
-    that share a rare word are compared.
+    A document's needles are one row, and its blocks another, as its text was; they meet there, so nothing but these rows and what is
+    found is shuffled. Of rows of one needle_id the best counts; null ids, numbers and texts meet nothing.
     """
-    low = needles.select("needle_id", "document_id", T.match_form("needle").alias("needle")).filter("needle <> ''")
-    words = F.slice(F.array_distinct(F.filter(F.split("needle", " "), lambda w: F.length(w) >= 4)), 1, 12)
-    low = low.withColumn("words", words).withColumn("need", F.greatest(F.lit(2), F.ceil(F.lit(0.4) * F.size("words"))))
-    longest = F.reduce(F.split("needle", " "), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    keys = F.when(F.size("words") > 0, F.col("words")).otherwise(F.array(longest))
-    asked = low.select("needle_id", "document_id", F.size(keys).alias("n"), "need", F.explode(keys).alias("word"))
-
-    hay = write_table(blocks.select("document_id", "block_no", T.match_form("content").alias("block")), "blocks")
-    held = hay.select("document_id", "block_no", F.explode(F.array_distinct(F.split("block", " "))).alias("token"))
-    wanted = asked.select("document_id", "word").distinct()
-    lengths = wanted.groupBy("document_id").agg(F.collect_set(F.length("word")).alias("lengths"))  # a few lengths of words
-    tokens = held.select("document_id", "token").distinct().join(lengths, "document_id").withColumn("l", F.explode(F.filter("lengths", lambda n: n <= F.length("token"))))
-    grams = tokens.select("document_id", "token", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - F.col("l") + 1), lambda i: F.substring("token", i, F.col("l"))))).alias("word"))
-    inside = grams.join(wanted, ["document_id", "word"])
-    sizes = held.groupBy("document_id", "token").agg(F.count(F.lit(1)).alias("blocks"))
-    commonness = inside.join(sizes, ["document_id", "token"]).groupBy("document_id", "word").agg(F.sum("blocks").alias("blocks"))
-    place = F.row_number().over(Window.partitionBy("needle_id").orderBy("blocks", "word"))
-    # words that no block holds are the rarest of all
-    ranked = asked.join(commonness, ["document_id", "word"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(0))).withColumn("place", place)
-    rare = ranked.filter((F.col("blocks") > 0) & (F.col("place") <= F.greatest(F.lit(1), F.col("n") - F.col("need") + 1))).select("needle_id", "document_id", "word")
-    candidates = rare.join(inside, ["document_id", "word"]).select("needle_id", "document_id", "token").distinct().join(held, ["document_id", "token"]).select("needle_id", "document_id", "block_no").distinct()
-    met = candidates.join(low, ["needle_id", "document_id"]).join(hay, ["document_id", "block_no"])
-    found = F.size(F.filter("words", lambda w: F.contains("block", w)))
-    score = F.when(F.contains("block", "needle"), 1000).when(found >= F.col("need"), found)
-    best = met.withColumn("score", score).filter("score is not null").groupBy("needle_id").agg(F.max(F.struct("score", (-F.col("block_no")).alias("first"))).alias("best"))
+    kinds = {c: df.schema[c].dataType.simpleString() for c, df in (("needle_id", needles), ("block_no", blocks))}
+    gathered = lambda df, c, text, name: df.select("document_id", c, T.match_form(text).alias("t")).filter(F.col("document_id").isNotNull() & F.col(c).isNotNull() & (F.col("t") != "")).groupBy("document_id").agg(F.collect_list(F.struct(c, "t")).alias(name))
+    met = gathered(needles, "needle_id", "needle", "asked").join(gathered(blocks, "block_no", "content", "held"), "document_id").select("asked", "held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, held = batch.column("asked")[i].values, batch.column("held")[i].values
+                needle = asked.field("t").to_pylist()
+                hay = Blocks(zip(held.field("block_no").to_pylist(), held.field("t").to_pylist(), strict=True), needle)
+                found = {n: hay.find(n) for n in set(needle)}
+                at = [j for j, n in enumerate(needle) if found[n]]
+                if at:
+                    block, score = zip(*(found[needle[j]] for j in at), strict=True)
+                    yield pa.RecordBatch.from_arrays([asked.field("needle_id").take(pa.array(at)), pa.array(block, held.field("block_no").type), pa.array(score, pa.int32())], ["needle_id", "block_no", "score"])
+
+    found = met.mapInArrow(run, f"needle_id {kinds['needle_id']}, block_no {kinds['block_no']}, score int")
+    best = found.groupBy("needle_id").agg(F.max(F.struct("score", (-F.col("block_no")).alias("first"))).alias("best"))
     return best.select("needle_id", (-F.col("best.first")).alias("block_no"), F.col("best.score").alias("score"))

@@ -1,13 +1,16 @@
 """Registered queries against their SQL on small tables of odd rows."""
 
 import datetime as dt
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from corpusgraph.operators.passages import Blocks
 from corpusgraph.plans import registered
+from tests.test_ingest import locate_by_hand
 from tests.test_queries import rows
 
 QUERIES, ORACLES = registered()
@@ -50,3 +53,34 @@ def docs(texts):
 def test_markers_in_odd_texts(same):
     texts = ["", None, " lead", "\n\nx\n", "\t<unused7>: own", "a <unused3> b", "<", "<_<unused1>:", "x<_unused2>", "\x0b y", "end <unused", " z ", "<unused1>: "]
     assert len(same("s_markers", documents=docs(texts))) == len(texts)
+
+
+@pytest.mark.parametrize("name", ["j9_accent_free"])
+def test_passages_of_odd_texts(same, name):
+    """Lines within earlier and later lines, at the edges of words and without long words; repeated, wordless, empty and null ones; a text of many lines."""
+    rng = random.Random(3)
+    texts = ["", None, "\n", "ab\nx abc y\nb\n!!\nbc\nab", "Résumé d'été\nle resume d ete\nE", "same\nsame\nsame", "Straße\nSTRASSE", "über alles\nBER ALL\n12 3\n2"]
+    texts.append("\n".join(" ".join(rng.choices(["tion", "station", "nations", "rat", "rational", "a", "be"], k=rng.randrange(1, 6))) for _ in range(300)))
+    assert len(same(name, documents=docs(texts))) > 300
+
+
+def test_blocks_by_words_as_by_the_whole_text():
+    """Both ways give what all blocks by hand give, for needles whole in a block, scattered over it, and of short words."""
+    rng = random.Random(5)
+    words = ["tion", "station", "nations", "rationale", "rational", "ab", "c", "resume", "sumer", "presumed"]
+    for _ in range(60):
+        blocks = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in rng.sample(range(100), 12)]
+        needles = [" ".join(rng.choices(words, k=rng.randrange(1, 9))) for _ in range(12)] + ["esum", "c", "b c", "none of these words"]
+        whole, by_words = Blocks(blocks, needles), Blocks(blocks, needles, direct=0)
+        assert whole.direct and not by_words.direct
+        for n in needles:
+            assert whole.find(n) == by_words.find(n) == locate_by_hand(n, blocks)
+
+
+@pytest.mark.parametrize("name, text", [("j9_accent_free", "a line of words")])
+def test_only_documents_are_shuffled(spark, tmp_path, name, text):
+    """No grams and no shingles are rows of their own: what is sent grows with the texts, not many times as fast."""
+    lines = ["".join(random.Random(i).choices("abcdefgh ", k=400)) for i in range(200)]
+    pq.write_table(pa.table(docs(["\n".join(lines), text])), str(tmp_path / "documents.parquet"))
+    plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == plan.count("Generate posexplode") > 0
