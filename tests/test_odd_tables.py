@@ -55,7 +55,7 @@ def test_markers_in_odd_texts(same):
     assert len(same("s_markers", documents=docs(texts))) == len(texts)
 
 
-@pytest.mark.parametrize("name", ["j9_accent_free"])
+@pytest.mark.parametrize("name", ["j9_locate_passage", "j9_accent_free"])
 def test_passages_of_odd_texts(same, name):
     """Lines within earlier and later lines, at the edges of words and without long words; repeated, wordless, empty and null ones; a text of many lines."""
     rng = random.Random(3)
@@ -77,7 +77,7 @@ def test_blocks_by_words_as_by_the_whole_text():
             assert whole.find(n) == by_words.find(n) == locate_by_hand(n, blocks)
 
 
-@pytest.mark.parametrize("name, text", [("j9_accent_free", "a line of words")])
+@pytest.mark.parametrize("name, text", [("j9_locate_passage", "a line of words"), ("j9_accent_free", "a line of words")])
 def test_only_documents_are_shuffled(spark, tmp_path, name, text):
     """No grams and no shingles are rows of their own: what is sent grows with the texts, not many times as fast."""
     lines = ["".join(random.Random(i).choices("abcdefgh ", k=400)) for i in range(200)]
