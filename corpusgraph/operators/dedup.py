@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import text as T
 
+#: Pairs that a task gives at a time (a chunk's own ones more).
+PAIR_ROWS = 1 << 14
+
 
 def noise_reason(min_len: int = 50):
     """Why a chunk is noise (null if it is not). Chunks with image or table references are kept."""
@@ -41,23 +44,23 @@ def dedup_exact(chunks: DataFrame) -> DataFrame:
 def near_pairs(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     """document_id, a, b (chunk_index, a < b), similarity of chunks of one document whose shingle sets are similar enough.
 
-    Shingles are ordered by how rare they are in the document; two sets of similarity t share one of the first n - ceil(t * n) + 1
-    of each, so only chunks that share such a rare shingle (and whose sizes allow t) are compared.
+    A document's chunks are one row, as its text was, and are compared where it lies (_pairs). Null contents are empty ones, which are
+    alike; chunks without a document or an index are in no pair. Pairs of a group of near copies are all given, so they grow with its square.
     """
-    sets = chunks.select("document_id", "chunk_index", T.shingle_hashes("content").alias("grams")).withColumn("n", F.size("grams"))
-    each = sets.select("document_id", "chunk_index", "n", F.explode("grams").alias("gram"))
-    rare = each.groupBy("document_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("document_id", "chunk_index").orderBy("df", "gram"))
-    prefix = each.join(rare.filter("df > 1"), ["document_id", "gram"]).withColumn("left_over", F.count(F.lit(1)).over(Window.partitionBy("document_id", "chunk_index")))
-    # shingles of one chunk alone are the rarest; they take places of the prefix but match nothing
-    prefix = prefix.withColumn("place", place + F.col("n") - F.col("left_over")).filter(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a = prefix.select("document_id", "gram", F.col("chunk_index").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("document_id", "gram", F.col("chunk_index").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, ["document_id", "gram"]).filter("a < b").filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb")).select("document_id", "a", "b").distinct()
-    left = sets.select("document_id", F.col("chunk_index").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select("document_id", F.col("chunk_index").alias("b"), F.col("grams").alias("gb"))
-    met = pairs.join(left, ["document_id", "a"]).join(right, ["document_id", "b"]).withColumn("similarity", T.jaccard("ga", "gb"))
-    return met.filter(F.col("similarity") >= threshold).select("document_id", "a", "b", "similarity")
+    rows = _by_document(chunks.filter("document_id is not null and chunk_index is not null"))
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("document_id", "chunk_index")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = batch.column("x")[i].values
+                index = x.field("chunk_index")
+                for a, b, similarity in _pairs(x.field("text").to_pylist(), threshold):
+                    ends = [index.take(pa.array(at, pa.int64())) for at in (a, b)]
+                    pairs = pa.RecordBatch.from_arrays([batch.column("document_id").take(pa.array([i] * len(a))), *ends, pa.array(similarity, pa.float64())], ["document_id", "a", "b", "similarity"])
+                    yield pairs.filter(pc.not_equal(*ends))  # repeated rows of one chunk are no pair
+
+    return rows.mapInArrow(run, f"document_id {kinds['document_id']}, a {kinds['chunk_index']}, b {kinds['chunk_index']}, similarity double")
 
 
 def near_losers(pairs: DataFrame) -> DataFrame:
@@ -80,39 +83,77 @@ def _shingles(text: str, n: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def _rare(sets: list[np.ndarray], threshold: float) -> Iterator[list[int]]:
+    """Of each set, numbers of its n - ceil(t n) + 1 rarest shingles, as far as other sets have them: two sets of similarity t share one of these."""
+    sizes = np.array([len(own) for own in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(len(sets)), sizes), count[place]
+    order = np.lexsort((place, often, owner))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = order[(rank < np.repeat(sizes - np.ceil(threshold * sizes).astype(np.int64) + 1, sizes)) & (often[order] > 1)]
+    ends, numbers = np.cumsum(np.bincount(owner[order], minlength=len(sets))).tolist(), place[order].tolist()
+    for start, end in zip([0, *ends], ends, strict=False):
+        yield numbers[start:end]
+
+
+def _similarity(own: np.ndarray, other: np.ndarray, threshold: float) -> float | None:
+    """Of two sets, if it is the threshold at least."""
+    if min(len(own), len(other)) < threshold * max(len(own), len(other)):
+        return None
+    both = len(np.intersect1d(own, other, assume_unique=True))
+    similarity = both / (len(own) + len(other) - both)
+    return similarity if similarity >= threshold else None
+
+
 def _losers(texts: list[str], threshold: float) -> list[int]:
     """Which of the texts, in order, are similar to an earlier one that is not itself one of these.
 
-    Two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of each, so a text meets only the kept ones that share
-    such a shingle; a group of near copies has one kept text, so it is never compared pair by pair.
+    A text meets only the kept ones that share a rare shingle; a group of near copies has one kept text, so it is never compared pair
+    by pair.
     """
     sets = [_shingles(t) for t in texts]
-    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    lost, kept, at = [], {}, 0
-    for i, own in enumerate(sets):
-        mine = place[at : at + len(own)]
-        at += len(own)
-        order = np.lexsort((mine, count[mine]))[: len(own) - math.ceil(threshold * len(own)) + 1]
-        rare = [x for x in mine[order].tolist() if count[x] > 1]
-        for j in {j for x in rare for j in kept.get(x, ())}:
-            other = sets[j]
-            if min(len(own), len(other)) >= threshold * max(len(own), len(other)):
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if both / (len(own) + len(other) - both) >= threshold:
-                    lost.append(i)
-                    break
+    lost, kept = [], {}
+    for i, rare in enumerate(_rare(sets, threshold)):
+        if any(_similarity(sets[i], sets[j], threshold) is not None for j in {j for x in rare for j in kept.get(x, ())}):
+            lost.append(i)
         else:
             for x in rare:
                 kept.setdefault(x, []).append(i)
     return lost
 
 
+def _pairs(texts: list[str], threshold: float) -> Iterator[tuple[list[int], list[int], list[float]]]:
+    """All pairs of texts that are similar enough, as places of the earlier ones, of the later ones, and similarities, some PAIR_ROWS at a time."""
+    sets = [_shingles(t) for t in texts]
+    met, first, second, how = {}, [], [], []
+    for i, rare in enumerate(_rare(sets, threshold)):
+        for j in {j for x in rare for j in met.get(x, ())}:
+            similarity = _similarity(sets[i], sets[j], threshold)
+            if similarity is not None:
+                first.append(j)
+                second.append(i)
+                how.append(similarity)
+        for x in rare:
+            met.setdefault(x, []).append(i)
+        if len(first) >= PAIR_ROWS:
+            yield first, second, how
+            first, second, how = [], [], []
+    if first:
+        yield first, second, how
+
+
+def _by_document(chunks: DataFrame) -> DataFrame:
+    """document_id, x: the chunks (chunk_index, normalized text) of each document of several, in order; null contents are empty ones."""
+    each = F.struct("chunk_index", T.normalize_text(F.coalesce("content", F.lit(""))).alias("text"))
+    return chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(each)).alias("x")).filter(F.size("x") > 1)
+
+
 def near_losers_in_order(chunks: DataFrame, threshold: float = 0.85) -> DataFrame:
     """document_id, chunk_index of the chunks that near_losers(near_pairs(chunks, threshold)) gives, judged where a document's chunks lie.
 
     A document's chunks are one row, as its text was, so nothing but that row is shuffled. Null contents are empty ones, which are alike.
     """
-    rows = chunks.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("chunk_index", T.normalize_text(F.coalesce("content", F.lit(""))).alias("text")))).alias("x")).filter(F.size("x") > 1)
+    rows = _by_document(chunks)
     kinds = [(c, chunks.schema[c].dataType.simpleString()) for c in ("document_id", "chunk_index")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,21 @@ def test_markers_in_odd_texts(same):
     assert len(same("s_markers", documents=docs(texts))) == len(texts)
 
 
+def test_near_pairs_of_odd_texts(same):
+    """Near copies in groups and chains within documents, similarities between two millionths such as 549/640, exact copies, short, empty and null texts."""
+    rng, texts = random.Random(7), ["", None, "short", "\n\n"]
+    base = "".join(rng.sample([chr(0x4E00 + i) for i in range(2000)], 644))  # 640 shingles
+    texts.append("\n".join([base, base[:553], base[:614], base[:60], base.upper(), base[:600] + " again"]))
+    for _ in range(12):
+        lines = [" ".join("".join(rng.choices("abcdef", k=5)) for _ in range(25)) for _ in range(3)]
+        for _ in range(rng.randrange(12)):
+            words = rng.choice(lines).split()
+            words[rng.randrange(25)] = "".join(rng.choices("xyz", k=4))
+            lines.append(" ".join(words))
+        texts.append("\n".join(lines))
+    assert len(same("d5_near_pairs", documents=docs(texts))) > 50
+
+
 @pytest.mark.parametrize("name", ["j9_locate_passage", "j9_accent_free"])
 def test_passages_of_odd_texts(same, name):
     """Lines within earlier and later lines, at the edges of words and without long words; repeated, wordless, empty and null ones; a text of many lines."""
@@ -77,7 +92,7 @@ def test_blocks_by_words_as_by_the_whole_text():
             assert whole.find(n) == by_words.find(n) == locate_by_hand(n, blocks)
 
 
-@pytest.mark.parametrize("name, text", [("j9_locate_passage", "a line of words"), ("j9_accent_free", "a line of words")])
+@pytest.mark.parametrize("name, text", [("j9_locate_passage", "a line of words"), ("j9_accent_free", "a line of words"), ("d5_near_pairs", "a line of words " * 5)])
 def test_only_documents_are_shuffled(spark, tmp_path, name, text):
     """No grams and no shingles are rows of their own: what is sent grows with the texts, not many times as fast."""
     lines = ["".join(random.Random(i).choices("abcdefgh ", k=400)) for i in range(200)]
