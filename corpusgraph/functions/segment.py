@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.sources.shared import write_table
+
 from . import text as T
 
-#: Compounds that a segmenter may hold, as all tasks get them.
+#: Compounds that a segmenter may hold, as all tasks get them; join_compounds has no bound.
 MOST_COMPOUNDS = 1_000_000
+#: Bits of the table by which join_compounds leaves pairs out.
+MOST_BITS = 1 << 28
 
 
 class Compounds:
@@ -86,3 +92,58 @@ def learn_compounds(chunks: DataFrame, least: int = 5, bound: float = 3.0, token
     each = met.filter(F.col("n") >= least).join(left, "a").join(right, "b").crossJoin(F.broadcast(sizes))  # one row
     pmi = F.log(F.col("n") / F.col("pairs")) - F.log(F.col("na") / F.col("words")) - F.log(F.col("nb") / F.col("words"))
     return each.withColumn("pmi", pmi).filter(F.col("pmi") >= bound).select(F.concat_ws(" ", "a", "b").alias("compound"), "n", "pmi")
+
+
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """A bit table, 16 bits a hash, MOST_BITS at most, in which the bits of the hashes (h) are set: those it does not hold are not among them."""
+    size = min(MOST_BITS, 1 << max(16, (16 * hashes.count()).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(size - 1))
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for i in range(batch.num_rows):
+                bits = np.zeros(1 << 15, np.uint8)
+                bits[batch.column("p")[i].values.to_numpy()] = 1
+                blocks.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(blocks, pa.binary())], ["k", "bits"])
+
+    blocks = hashes.select(F.shiftright(at, 15).cast("int").alias("k"), at.bitwiseAND(F.lit((1 << 15) - 1)).cast("int").alias("p")).groupBy("k").agg(F.collect_set("p").alias("p"))
+    table = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in blocks.mapInArrow(filled, "k int, bits binary").toLocalIterator():  # all together the table's size
+        table[r["k"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.ravel()
+
+
+def join_compounds(texts: DataFrame, column: str, compounds: DataFrame, joiner: str = "_", tokens: Callable[[Column], Column] = T.word_tokens) -> DataFrame:
+    """texts with the tokens of a column, compounds (compound: two words each) joined, as its new value, parted by single spaces; null stays null.
+
+    Any number of compounds is joined: each text gets those among its own neighbouring words by joins, and no task or driver holds them
+    all. A bit table of the compounds keeps most of the other pairs out of the shuffle; from some twenty million compounds on it fills up.
+    """
+    spark = texts.sparkSession
+    words = F.split("compound", " ")
+    known = write_table(compounds.select("compound", F.xxhash64(words[0], words[1]).alias("h")).distinct(), "compounds")
+    sent = spark.sparkContext.broadcast(_bits(known.select("h")))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for batch in batches:
+            h, key = batch.column("h").flatten().to_numpy(), np.repeat(batch.column("key").to_numpy(), np.diff(batch.column("h").offsets.to_numpy()))
+            at = h & (8 * len(table) - 1)
+            on = (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(h[on])], ["key", "h"])
+
+    # equal texts have one key; texts that share one by chance share their compounds, all of them true ones
+    keyed = texts.withColumn("_key", F.xxhash64(column))
+    w = tokens(F.col(column))
+    pairs = keyed.select(F.col("_key").alias("key"), w.alias("w")).filter(F.size("w") > 1)
+    hashes = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.xxhash64(a, b)))
+    met = pairs.select("key", hashes.alias("h")).mapInArrow(possible, "key long, h long").join(known, "h")
+    own = met.groupBy(F.col("key").alias("_key")).agg(F.collect_set("compound").alias("_own"))
+
+    @F.pandas_udf("string")
+    def joined(w: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else " ".join(x if o is None else Compounds(o).join(list(x), joiner)) for x, o in zip(w, own, strict=True)], dtype=object)
+
+    return keyed.join(own, "_key", "left").withColumn(column, joined(tokens(F.col(column)), F.col("_own"))).select(texts.columns)

@@ -14,7 +14,7 @@ from corpusgraph.operators import chunking as K
 from corpusgraph.operators import documents
 from corpusgraph.operators import retrieval as R
 from corpusgraph.sources import batches, files
-from corpusgraph.sources.shared import scratch
+from corpusgraph.sources.shared import scratch, write_table
 from corpusgraph.streaming import events as E
 
 from . import standins as S
@@ -138,8 +138,9 @@ def _(spark, d):
 @query("s20_segmented_search", None)
 def _(spark, d):
     """BM25 in which the corpus' own compounds are one term each."""
-    known = [r[0] for r in compounds(spark, d).select("compound").collect()]  # MOST_COMPOUNDS at most, which segmenter checks
-    return R.bm25_search(corpus(spark, d), questions(spark, d), 10, tokens=segment.segmenter(spark, known))
+    known = write_table(compounds(spark, d).select("compound"), "known-compounds")
+    chunks = write_table(segment.join_compounds(corpus(spark, d).select("chunk_id", "content"), "content", known), "segmented")
+    return R.bm25_search(chunks, segment.join_compounds(questions(spark, d), "question", known), 10)
 
 
 # --- streams that close --------------------------------------------------------------------------------------------------------------

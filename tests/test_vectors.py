@@ -1,5 +1,6 @@
 """Exact and approximate vector search, lexical search in place and by joins, pluggable models."""
 
+import random
 import os
 
 import numpy as np
@@ -223,6 +224,23 @@ def test_a_compound_is_one_term(spark):
     assert tokens == {1: ["sinh_viên", "học"], 2: ["sinh_vật", "và", "viên", "đá"], 3: None, 4: ["giáo_viên"]}
 
 
+def test_compounds_are_joined_without_a_bound(spark, monkeypatch):
+    """As the segmenter joins them, for repeated, null, empty and one-word texts, also where the bit table is full and the compounds are more than a segmenter may hold."""
+    from corpusgraph.functions import segment
+
+    rng = random.Random(2)
+    texts = [None, "", " ", "a", "A  b"] + [" ".join(rng.choices("abcdef", k=rng.randrange(2, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(i % 50 or None, t) for i, t in enumerate(texts + texts[:9])], "id long, t string")
+    known = [f"{a} {b}" for a, b in ("ab", "bc", "cc", "fa", "de")]
+    want = sorted(((r["id"], r["w"] and " ".join(r["w"])) for r in df.select("id", segment.segmenter(spark, known)(F.col("t")).alias("w")).collect()), key=str)
+    monkeypatch.setattr(segment, "MOST_COMPOUNDS", 3)
+    for bits in (1 << 28, 1 << 15):
+        monkeypatch.setattr(segment, "MOST_BITS", bits)
+        more = [] if bits > 1 << 15 else [f"x{i} y" for i in range(100_000)]
+        got = segment.join_compounds(df, "t", spark.createDataFrame([(c,) for c in known + more], "compound string"))
+        assert sorted(((r["id"], r["t"] or (None if r["t"] is None else [])) for r in got.collect()), key=str) == want
+
+
 def test_segmented_search(spark, sf_dir):
     """The registered query against BM25 by hand over joined words."""
     from corpusgraph.functions.segment import Compounds
